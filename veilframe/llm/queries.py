@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam
+from .decontam import op8_benchmark_decontamination
 from .tokens import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_files": op10_token_files}
+    return {f.__name__: f for f in (op8_benchmark_decontamination, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_benchmark_decontamination": decontam.ORACLE}
