@@ -23,9 +23,11 @@ shard. Other columns are left out of the files.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,16 +49,40 @@ FRAME_BYTES = 1 << 18
 SHARD_BYTES = 32 << 20
 #: A space beside other white space, or at the end.
 BESIDE = re.compile(r"\s | \s| \Z")
-#: Distinct pieces remembered by a task; beyond it the memory starts anew.
-PIECES = 300_000
+END = struct.pack("<I", END_ID)
+#: Distinct pieces remembered by a worker.
+PIECES = 1_000_000
+#: A part whose pieces PIECE finds as the vocabulary's splitting rule does: no apostrophe, no white space but single line ends.
+SIMPLE = re.compile(r"(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n(?=\S))+")
+PIECE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n")
+#: The vocabulary writes a byte that isn't a visible Latin-1 character as the next free one from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+class Memo(dict):
+    """Pieces and their ids in two generations: when the young one is full, the old one goes."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int = PIECES):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.make(piece)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Text to ids as little-endian bytes, with the end id; the library sees each distinct piece once.
+    """Text to ids as little-endian bytes, with the end id; pieces seen before aren't encoded again.
 
     The vocabulary's splitting rule always ends a piece before a space that follows a character that isn't white
     space, so a text may be cut there and the parts encoded alone. A text with a space beside other white space is
-    encoded whole.
+    encoded whole. A part of Latin letters, digits and marks is split by that rule here and its pieces go to the
+    library's merges, all others to the whole library.
     """
 
     def __init__(self, path: str):
@@ -64,40 +90,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes], new: list[str], lead: str) -> None:
-        if len(memo) + len(new) > PIECES:
-            memo.clear()
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.merges = self.tokenizer.model
+        self.later = Memo(lambda w: self._part(w, True))
+        self.first = Memo(lambda w: self._part(w, False), PIECES // 8)
+        self.bare = Memo(lambda w: self._piece(w), PIECES // 8)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _part(self, part: str, space: bool) -> bytes:
+        if part.isascii() and part.isalpha():
+            return array("I", [t.id for t in self.merges.tokenize(f"\u0120{part}" if space else part)]).tobytes()
+        if not SIMPLE.fullmatch(part):
+            return array("I", self.tokenizer.encode(f" {part}" if space else part, add_special_tokens=False).ids).tobytes()
+        pieces = PIECE.findall(part)
+        if len(pieces) == 1:
+            return self._piece(f" {part}" if space else part)
+        return (self.later[pieces[0]] if space else self.bare[pieces[0]]) + b"".join(map(self.bare.__getitem__, pieces[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        end = struct.pack("<I", END_ID)
-        cut = [None if BESIDE.search(t) else t.split(" ") for t in texts]
-        heads = {c[0] for c in cut if c}
-        tails = {w for c in cut if c for w in c[1:]}
-        if new := [w for w in heads if w not in self.first]:
-            self._learn(self.first, new, "")
-            if any(w not in self.first for w in heads):
-                self._learn(self.first, list(heads), "")
-        if new := [w for w in tails if w not in self.later]:
-            self._learn(self.later, new, " ")
-            if len(new) < len(tails) and any(w not in self.later for w in tails):
-                self._learn(self.later, list(tails), " ")
-        later = self.later.__getitem__
         out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() + end)
+        for t in texts:
+            if BESIDE.search(t):
+                ids = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
             else:
-                out.append(self.first[c[0]] + b"".join(map(later, c[1:])) + end)
+                head, *tail = t.split(" ")
+                ids = self.first[head] + b"".join(map(self.later.__getitem__, tail))
+            out.append(ids + END)
         return out
 
 
+#: Encoders of this worker process by vocabulary file; they outlive a task.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
 def frames(docs: Iterator[tuple[int | None, bytes]], level: int = 3, frame_bytes: int = FRAME_BYTES) -> Iterator[bytes]:
     """The rows of a shard: frames, index frame, seek table; nothing for no documents."""
     z = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
@@ -185,12 +218,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, level: int = 3, sha
     shards = max(1, -(-text_bytes(docs) // shard_bytes))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-
         def documents() -> Iterator[tuple[int | None, bytes]]:
-            nonlocal encoder
-            for t in batches(it, 4 << 20):
-                encoder = encoder or Encoder(tokenizer)
+            encoder = encoder_of(tokenizer)
+            for t in batches(it, 1 << 20):
                 texts = [x or "" for x in t["text"].to_pylist()]
                 yield from zip(t["doc_id"].to_pylist(), encoder.encode(texts), strict=True)
 
