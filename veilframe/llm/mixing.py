@@ -21,6 +21,7 @@ of sources, of (source, bucket) sums and of shards are brought together, and non
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,14 @@ BLOCK = 2048
 #: Blocks in a shard, about; the number of shards is a power of two.
 SHARD = 256
 #: Sub-streams of a source, whose sums are prefix-summed before their documents are.
-BUCKETS = 256
+BUCKETS = 4096
+#: Steps of the permutation, fixed primes; one that doesn't divide the number of blocks is used.
+STEPS = (1000003, 999983, 999979, 999961, 999959, 999953, 999931, 999917)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words) and more columns."""
+    return docs.select(*more, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -55,27 +58,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     every = Window.partitionBy()
     left = F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))
     s = s.withColumn("level", left / F.sum("weight").over(at.rowsBetween(0, Window.unboundedFollowing)))
-    level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(every)
+    s = s.withColumn("nth", F.row_number().over(at))
+    level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("nth", "level"))).over(every)["level"]
     s = s.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), "cap")))
     return s.select("source", F.col("s").cast("int").alias("s"), "source_size", "target")
 
 
 def stream(sizes: DataFrame, goal: DataFrame, seed: int, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, s, size, source_size, target and start: the document's place in its source's stream of words.
+    """sizes with s, source_size, target, bucket, nth (place in the bucket) and start: the document's place in its source's stream of words.
 
     The stream runs through the source's buckets; bucket sums give each bucket's start and a window within the bucket
     gives the rest, so a source that holds most rows is summed by many tasks.
     """
     d = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    # a bucket has a share of the source's words that shrinks as the source grows
-    d = d.join(F.broadcast(goal), sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    d = d.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     d = d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sums = d.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("upto", F.sum("size").over(inside))
-    return d.join(base, ["s", "bucket"]).select("doc_id", "source", "s", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    d = d.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside))
+    return d.join(base, ["s", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("h", "upto", "base")
 
 
 def uniform(*keys: Column) -> Column:
@@ -83,31 +86,128 @@ def uniform(*keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*keys), 12).cast("double") + 0.5) / float(1 << 52)
 
 
-HYPERGEOMETRIC = """
-aggregate(
-  array(named_struct('good', {good}, 'rest', {rest}, 'n', {n}, 'u', {u})),
-  0L,
-  (z, a) -> case
-    when a.n <= 0 or a.good <= 0 then 0L
-    when a.rest <= 0 then a.n
-    else aggregate(
-      array(named_struct('low', greatest(0L, a.n - a.rest), 'high', least(a.n, a.good),
-        'mode', greatest(greatest(0L, a.n - a.rest), least(least(a.n, a.good), cast(floor(cast(a.n + 1 as double) * (a.good + 1) / (a.good + a.rest + 2)) as long))),
-        'reach', cast(ceil(12 * sqrt(greatest(1D, cast(a.n as double) * a.good / (a.good + a.rest) * (cast(a.rest as double) / (a.good + a.rest)))) + 12) as long))),
-      0L,
-      (y, w) -> aggregate(
-        array(transform(sequence(greatest(w.low, w.mode - w.reach), least(w.high, w.mode + w.reach)), x -> x)),
-        0L,
-        (q, xs) -> {draw}))
-  end)
-"""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
-#: Weights relative to the mode, made by the recurrence up and down from it, then the inverse of their sum at u.
-DRAW = """
-aggregate(
-  array(aggregate(xs, named_struct('total', 0D, 'p', 1D, 'x', xs[0]), (t, x) -> named_struct('total', t.total + {weight}, 'p', 1D, 'x', x)).total),
-  0L,
-  (r, total) -> aggregate(xs, named_struct('sum', 0D, 'got', cast(-1 as bigint), 'x', xs[0]),
-    (t, x) -> named_struct('sum', t.sum + {weight}, 'got', case when t.got < 0 and t.sum + {weight} >= a.u * total then x else t.got end, 'x', x),
-    t -> case when t.got < 0 then t.x else t.got end))
-"""
+
+def hypergeometric(good: Column, rest: Column, n: Column, u: Column) -> Column:
+    """How many of n balls drawn from good + rest are good, as the inverse of the distribution at u.
+
+    The weights run by their recurrence over 12 standard deviations either side of the mode; beyond is less than 1e-20.
+    """
+    total = (good + rest).cast("double")
+    low, high = F.greatest(F.lit(0), n - rest), F.least(n, good)
+    mode = F.floor((n + 1).cast("double") * (good + 1) / (total + 2)).cast("long")
+    reach = F.ceil(12 * F.sqrt(n * (good / total) * (rest / total)) + 12).cast("long")
+    window = F.sequence(F.least(high, F.greatest(low, mode - reach)), F.greatest(low, F.least(high, mode + reach)))
+
+    def then(w: Column, x: Column) -> Column:
+        return w * ((good - x).cast("double") * (n - x)) / ((x + 1).cast("double") * (rest - n + x + 1))
+
+    def draw(xs: Column) -> Column:
+        start = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("got")]
+        whole = F.aggregate(xs, F.struct(*start), lambda t, x: F.struct(then(t["w"], x).alias("w"), (t["sum"] + t["w"]).alias("sum"), t["got"].alias("got")), lambda t: t["sum"])
+
+        def pick(goal: Column) -> Column:
+            step = lambda t, x: F.struct(
+                then(t["w"], x).alias("w"), (t["sum"] + t["w"]).alias("sum"), F.when((t["got"] < 0) & (t["sum"] + t["w"] >= goal), x).otherwise(t["got"]).alias("got")
+            )
+            return F.aggregate(xs, F.struct(*start), step, lambda t: F.when(t["got"] < 0, F.element_at(xs, -1)).otherwise(t["got"]))
+
+        return let(whole * u, pick)
+
+    return F.when((n <= 0) | (good <= 0), F.lit(0).cast("long")).when(rest <= 0, n).otherwise(let(window, draw))
+
+
+def deal(goal: DataFrame, seed: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """shard, s, slot, block: every block of every source in its shard, by the splitting tree.
+
+    One row holds each source's number of blocks; each level of the tree makes two rows of one.
+    """
+    quotas = goal.select("s", F.ceil(F.round("target") / block).cast("long").alias("q"))
+    root = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "q"))), lambda x: x["q"]).alias("counts"), F.sum("q").alias("n"))
+    levels = max(0, math.ceil(math.log2(max(1, (root.first()["n"] or 0) / shard))))  # one number
+    nodes = root.select(F.lit(0).cast("long").alias("node"), "counts", "n")
+    for level in range(levels):
+        left_n = F.ceil(F.col("n") / 2).cast("long")
+
+        key = [F.lit(seed), F.lit(level), F.col("node")]
+
+        def split(acc: Column, s: Column) -> Column:
+            good = F.element_at(F.col("counts"), s + 1)
+            x = hypergeometric(good, acc["rest"] - good, acc["need"], uniform(*key, s))  # noqa: B023
+            return let(x, lambda x: F.struct((acc["rest"] - good).alias("rest"), (acc["need"] - x).alias("need"), F.concat(acc["left"], F.array(x)).alias("left")))
+
+        start = F.struct(F.col("n").alias("rest"), left_n.alias("need"), F.expr("cast(array() as array<bigint>)").alias("left"))
+        nodes = nodes.withColumn("left", F.when(F.size("counts") > 0, F.aggregate(F.sequence(F.lit(0), F.size("counts") - 1), start, split, lambda acc: acc["left"])))
+        both = F.array(
+            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts"), left_n.alias("n")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("counts", "left", lambda a, b: a - b).alias("counts"), (F.col("n") - left_n).alias("n")),
+        )
+        nodes = nodes.select(F.explode(both).alias("x")).select("x.*")
+        if level % 4 == 3:
+            nodes = materialize(nodes, "tree")
+    quota = nodes.select(F.col("node").alias("shard"), F.posexplode("counts").alias("s", "q"))
+    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    quota = quota.withColumn("base", F.coalesce(F.sum("q").over(before), F.lit(0))).withColumn("all", F.sum("q").over(Window.partitionBy("s"))).where("q > 0")
+    numbers = quota.select("shard", "s", "all", F.explode(F.expr("sequence(base, base + q - 1)")).alias("number"))
+    step = F.filter(F.array(*[F.lit(p) for p in STEPS]), lambda p: F.col("all") % p != 0)[0]
+    # a keyed permutation of 0..all-1: its step has no factor in common with all
+    block_no = F.pmod(F.col("number") * step + F.pmod(F.xxhash64(F.lit(seed), "s"), F.col("all")), F.col("all"))
+    return numbers.select("shard", "s", block_no.alias("block"), F.xxhash64(F.lit(seed), F.lit("slot"), "s", "number").alias("slot"))
+
+
+def pieces(placed: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
+    """placed with epoch, block, piece_from, piece_to: the words of a document (from 0) that a block of the mix takes; nulls where none does."""
+    epochs = F.transform(
+        F.sequence(F.lit(0), F.lit(repeats - 1)),
+        lambda e: F.struct(e.alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at"), F.least(F.col("start") + e * F.col("source_size") + F.col("size"), F.round("target").cast("long")).alias("stop")),
+    )
+    found = F.flatten(
+        F.transform(
+            F.filter(epochs, lambda x: x["stop"] > x["at"]),
+            lambda x: F.transform(
+                F.sequence(F.floor(x["at"] / block), F.floor((x["stop"] - 1) / block)),
+                lambda b: F.struct(x["epoch"].alias("epoch"), b.alias("block"), (F.greatest(x["at"], b * block) - x["at"]).alias("piece_from"), (F.least(x["stop"], (b + 1) * block) - x["at"]).alias("piece_to")),
+            ),
+        )
+    )
+    return placed.withColumn("piece", F.explode_outer(found)).select("*", "piece.*").drop("piece")
+
+
+def mix(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix of sizes (source, size and an id): a row for each piece of a document, with shard and slot; documents not taken have one row with nulls."""
+    goal = materialize(targets(sizes, weights), "targets")
+    return pieces(stream(sizes, goal, seed), block).join(deal(goal, seed, block, shard), ["s", "block"], "left")
+
+
+def taken(mixed: DataFrame, *more: str) -> DataFrame:
+    """A row for each document of a mix: the words taken of it, repeats counted, and how often it is begun."""
+    keys = ["s", "bucket", "nth", "doc_id", "source", "size", "source_size", "target", *more]
+    words = F.when(F.col("shard").isNotNull(), F.col("piece_to") - F.col("piece_from")).otherwise(0)
+    return mixed.groupBy(*keys).agg(F.sum(words).cast("long").alias("taken"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents."""
+    sizes = materialize(sized(docs_table(spark, sf_dir)), "sizes")
+    return taken(mix(sizes)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """docs as the mix takes them, a row for each time a document is begun; the last time its text may be cut at a word. All columns as they were, n_chars that of the text."""
+    own = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    sizes = materialize(sized(own, "_key"), "sizes")
+    got = taken(mix(sizes, seed), "_key").where("taken > 0").select("_key", "size", "taken")
+    cuts = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")
+    # rows alike in key are alike in text; their cuts are put together and meet one of them
+    cuts = got.groupBy("_key", "size").agg(F.flatten(F.collect_list(cuts)).alias("cuts"))
+    if not sizes.groupBy("_key").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["_key"])
+    rows = own.join(cuts, "_key").withColumn("cut", F.explode("cuts"))
+    text = F.when(F.col("cut") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("cut").cast("int")), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
