@@ -177,6 +177,8 @@ class Phrases:
         index = FMIndex(text, self.size)
         low, high = index.search(self.patterns, self.lengths)
         hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return out
         count = high[hit] - low[hit]
         which = np.repeat(hit, count)
         rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[hit], count)
