@@ -16,7 +16,6 @@ The benchmark is the stated query set: it is searched in blocks of a bounded siz
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

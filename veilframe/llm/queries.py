@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, substrings
 from .decontam import op8_benchmark_decontamination
 from .jaccard import op6_ngram_jaccard_join
 from .langid import op2_language_id
 from .mixing import op1_source_mixing
+from .substrings import op3_substring_dedup
 from .tokens import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op6_ngram_jaccard_join, op8_benchmark_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_substring_dedup, op6_ngram_jaccard_join, op8_benchmark_decontamination, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": decontam.ORACLE}
+    return {"op3_substring_dedup": substrings.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
