@@ -8,9 +8,9 @@ picks sketch positions, each with a chance that makes 1 / similarity picks on av
 for each pick and its value. Buckets of more than a few classes are split again in the same way, on positions picked
 anew for each bucket; small ones are compared by brute force: sizes, then the estimate from one bit of each position.
 Runs are repeated until a pair at the least similarity is met with the target recall, counted at the deepest level.
-A pair is taken in the first bucket only that its classes share. Buckets that the last level leaves large are cut into
-chunks and each two chunks compared, so nothing is dropped. Pairs taken are proven on the whole sets, gathered once for
-each group of pairs with a common smallest neighbour; large groups are cut into chunks as well.
+Buckets that the last level leaves large are cut into chunks and each two chunks compared, so nothing is dropped. A
+bucket sends the links of a forest, not its pairs. Classes that these hold together are a family; in it all pairs are
+proven on the whole sets and counted where the sets are. Large families are cut into chunks as well.
 
 Null and empty texts have no set and link with nothing. Repeated rows are rows of one class. A null id stays null and
 is never the smallest. An empty table gives no rows. Extra columns are kept by keep_first(), whatever their names.
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, as_bytes, docs_table, materialize, mix, windows, word_hashes
-from .components import components
+from .components import components, forest
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 BINS, SPLIT_BINS = 512, 128
-#: Classes in a bucket that is compared by brute force, levels of splitting, pairs of a group proven together.
-SMALL, LEVELS, PROOF = 64, 3, 20_000
+#: Classes in a bucket that is compared by brute force, and levels of splitting.
+SMALL, LEVELS = 64, 3
+#: Classes of a family, and their elements, proven together; a larger family is cut and each two parts are proven.
+PROOF, PROOF_WORDS = 1024, 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _FILL = _rng.integers(0, BINS, (BINS, 32))
@@ -159,48 +161,50 @@ def leaves(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return one.unionByName(many)
 
 
-def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: pairs of classes whose estimate isn't below the least similarity by four standard deviations; each once."""
+def near(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links that hold together the classes whose estimate isn't below the least similarity by four standard deviations; for each bucket a forest, not all pairs."""
     spark = classes.sparkSession
     rows = materialize(leaves(classes, similarity), "leaves")
-    lists = rows.select("d", "key").distinct().groupBy("d").agg(F.transform(F.collect_list("key"), lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
-    own = classes.select("d", "n", "bits").join(lists, "d")
     # a bucket or a couple of chunks goes to one task; it holds some hundreds of classes at most
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.join(own, "d").withColumn("bucket", F.xxhash64("key", "low", "high")).repartition(n, "bucket").sortWithinPartitions("bucket", "key", "low", "high")
-    dealt = dealt.select("bucket", F.shiftright("key", 32).cast("int").alias("key"), (F.col("low") != F.col("high")).alias("cross"), "part", "d", "n", "bits", "keys")
+    dealt = rows.join(classes.select("d", "n", "bits"), "d").withColumn("bucket", F.xxhash64("key", "low", "high")).repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = dealt.select("bucket", (F.col("low") != F.col("high")).alias("cross"), "part", "d", "n", "bits")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in it:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            bucket = t["bucket"].to_numpy()
-            if not len(bucket):
-                continue
-            cut = int(np.flatnonzero(bucket == bucket[-1])[0])
-            if cut:
-                yield from compare(t.slice(0, cut), similarity)
-            held = t.slice(cut)
-        if held is not None:
-            yield from compare(held, similarity)
+        for t in grouped(it, "bucket"):
+            links = forest(compare(t, similarity))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def compare(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
+def grouped(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by key."""
+    held: list[pa.Table] = []
+    for b in it:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        last = t[key][-1]
+        if held and last == held[-1][key][-1] and t[key][0] == last:
+            held.append(t)
+            continue
+        cut = int(np.flatnonzero(t[key].to_numpy() == last.as_py())[0])
+        yield_now = pa.concat_tables([*held, t.slice(0, cut)])
+        if yield_now.num_rows:
+            yield yield_now.combine_chunks()
+        held = [t.slice(cut)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def compare(t: pa.Table, similarity: float) -> Iterator[tuple[bytes, bytes]]:
     """Brute force in each bucket of a table sorted by bucket: rows i and i + k, for k = 1, 2, ... while any bucket is that long."""
-    bucket, key, part, n = (t[c].to_numpy() for c in ("bucket", "key", "part", "n"))
+    bucket, part, n = (t[c].to_numpy() for c in ("bucket", "part", "n"))
     cross = t["cross"].to_numpy(zero_copy_only=False).astype(bool)
-    ids = t["d"].combine_chunks()
-    names = np.frombuffer(b"".join(ids.to_pylist()), dtype=">u8").reshape(-1, 2)
+    ids = t["d"].to_pylist()
     bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 64)
-    lists = t["keys"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy().astype(np.int64)
-    width = int(sizes.max())
-    keys = np.full((len(sizes), width), np.iinfo(np.int64).max)
-    keys[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     effective = BINS * (1 - np.exp(-n / BINS))
     at = np.arange(len(bucket))
     for k in range(1, len(bucket)):
@@ -210,78 +214,96 @@ def compare(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
             break
         i = at[~cross[at] | (part[at] != part[at + k])]
         j = i + k
-        i, j = (x[np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])] for x in (i, j))
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-        near = 1 - 2 * apart / BINS >= similarity - 4 * 0.6 / np.sqrt(np.minimum(effective[i], effective[j]))
-        i, j = i[near], j[near]
-        for s in range(0, len(i), 20000):
-            x, y = i[s : s + 20000], j[s : s + 20000]
-            earlier = keys[x] < key[x, None]
-            shared = ((keys[x][:, :, None] == keys[y][:, None, :]) & earlier[:, :, None]).any(axis=(1, 2))
-            x, y = x[~shared], y[~shared]
-            if len(x):
-                less = (names[x, 0] < names[y, 0]) | ((names[x, 0] == names[y, 0]) & (names[x, 1] < names[y, 1]))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.where(less, x, y))), ids.take(pa.array(np.where(less, y, x)))], ["a", "b"])
-
-
-def proven(pairs: DataFrame, docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. members: doc_id and d."""
-    both = pairs.union(pairs.select("b", "a"))
-    lead = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    found = pairs.join(lead.withColumnRenamed("m", "x"), "a").join(lead.select(F.col("a").alias("b"), F.col("m").alias("y")), "b").select("a", "b", F.least("x", "y").alias("g"))
-    sizes = found.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / PROOF)).cast("int").alias("k"))
-    found = found.join(sizes, "g")
-    chunk = lambda x: F.pmod(F.xxhash64(x), F.col("k"))
-    found = materialize(found.select("a", "b", F.xxhash64("g", F.least(chunk("a"), chunk("b")), F.greatest(chunk("a"), chunk("b"))).alias("g")), "pairs")
-    needed = found.select("g", F.col("a").alias("d")).union(found.select("g", F.col("b").alias("d"))).distinct()
-    firsts = members.join(needed.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("first"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(firsts.withColumnRenamed("first", "first_"), F.col("first").eqNullSafe(F.col("first_"))).select("d", "text")
-    rows = needed.join(texts, "d").select("g", F.lit(0).alias("kind"), F.col("d").alias("a"), F.lit(None).cast("binary").alias("b"), F.col("text").cast("binary").alias("text"))
-    rows = rows.union(found.select("g", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+        close = 1 - 2 * apart / BINS >= similarity - 4 * 0.6 / np.sqrt(np.minimum(effective[i], effective[j]))
+        for x, y in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            yield ids[x], ids[y]
+
+
+def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, links: for each class a its links to others by whole sets, in parts to be summed, and a link to b that holds a family's linked classes together (null where it is the smallest).
+
+    families: a (class) and b (its family). classes: d, n, m (documents), first (a document's id). All pairs of a family
+    are compared where its sets are; they are counted, not sent.
+    """
+    members = families.union(families.select("b", "b").distinct()).toDF("d", "family").join(classes.select("d", "n", "m", "first"), "d")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PROOF), F.ceil(F.sum("n") / PROOF_WORDS)).cast("int").alias("k"))
+    members = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("d"), F.col("k")).cast("int"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    members = members.select("d", "m", "first", "part", F.xxhash64("family", F.least("part", "o"), F.greatest("part", "o")).alias("g"), (F.col("part") != F.col("o")).alias("cross"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
+    rows = members.join(texts, F.col("first").eqNullSafe(F.col("_id"))).select("g", "cross", "part", "d", "m", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, group, sets = WordHash(), None, {}
+        memo = WordHash()
+        group, rows = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                yield from prove(rows, similarity)
+
         for b in it:
-            good: list[tuple[bytes, bytes]] = []
-            for g, kind, x, y, text in zip(*(b[c].to_pylist() for c in ("g", "kind", "a", "b", "text")), strict=True):
+            for g, cross, part, d, m, text in zip(*(b[c].to_pylist() for c in ("g", "cross", "part", "d", "m", "text")), strict=True):
                 if g != group:
-                    group, sets = g, {}
-                if kind == 0:
-                    found = shingles(text or b"", memo)
-                    if x not in sets and digest(found) == x:
-                        sets[x] = found
-                else:
-                    p, q = sets[x], sets[y]
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    if common >= similarity * (len(p) + len(q) - common):
-                        good.append((x, y))
-            if good:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.binary()), pa.array([y for _, y in good], pa.binary())], ["a", "b"])
-
-    return rows.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(run, "a binary, b binary")
-
-
-def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """members (doc_id, d) of all documents, and links (a, b) between classes."""
-    found = materialize(features(docs, similarity, recall), "features")
-    members = found.select("doc_id", "d")
-    classes = found.where("d is not null").dropDuplicates(["d"])
-    links = materialize(proven(candidates(classes, similarity), docs, members, similarity), "links")
-    return members, links
+                    yield from done()
+                    group, rows = g, {}
+                if d not in rows and digest(found := shingles(text or b"", memo)) == d:
+                    rows[d] = (found, m, part if cross else None)
+        yield from done()
+
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary, links long")
+
+
+def prove(rows: dict[bytes, tuple], similarity: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of some sets: how many elements they share by products of blocks of their incidence matrix."""
+    ids = sorted(rows)
+    sets = [rows[d][0] for d in ids]
+    sizes = np.array([len(x) for x in sets])
+    m = np.array([rows[d][1] for d in ids], dtype=np.int64)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[element] > 1
+    owner, element = owner[shared], (np.cumsum(count > 1) - 1)[element[shared]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    width = 2048
+    total = int(element[-1]) + 1 if len(element) else 0
+    cuts = np.searchsorted(element, np.arange(0, total + width, width))
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        block = np.zeros((len(ids), min(width, total - k * width)), dtype=np.float32)
+        block[owner[i:j], element[i:j] - k * width] = 1
+        common += block @ block.T
+    common = np.rint(common).astype(np.int64)
+    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(linked, False)
+    part = [rows[d][2] for d in ids]
+    if part[0] is not None:
+        part = np.array(part)
+        linked &= part[:, None] != part[None, :]
+    links = linked @ m
+    i, j = np.nonzero(np.triu(linked))
+    roots = dict(forest(zip(i.tolist(), j.tolist(), strict=True)))
+    at = np.flatnonzero(links)
+    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in at], pa.binary()), pa.array([ids[roots[x]] if x in roots else None for x in at.tolist()], pa.binary()), pa.array(links[at])], ["a", "b", "links"])
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each document: doc_id, class_id (smallest doc_id of equal sets), component_id (smallest reached by links), n_links, kept."""
-    members, links = linked(docs, similarity, recall)
-    classes = members.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
-    both = links.union(links.select("b", "a"))
-    near = both.join(classes.select(F.col("d").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("near")).withColumnRenamed("a", "d")
-    roots = components(links).select(F.col("a").alias("d"), F.col("b").alias("root"))
-    of = classes.join(near, "d", "left").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    smallest = of.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of = of.join(smallest, "root").select("d", "class_id", "component_id", (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    out = members.join(of, "d", "left")
+    found = materialize(features(docs, similarity, recall), "features")
+    counts = found.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
+    classes = materialize(found.where("d is not null").drop("doc_id").dropDuplicates(["d"]).join(counts, "d"), "classes")
+    families = components(near(classes, similarity))
+    links = materialize(proven(families, classes, docs, similarity), "links")
+    roots = components(links.where("b is not null")).select(F.col("a").alias("d"), F.col("b").alias("root"))
+    of = classes.select("d", "first", "m").join(links.groupBy(F.col("a").alias("d")).agg(F.sum("links").alias("near")), "d", "left")
+    of = of.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
+    smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = of.join(smallest, "root").select("d", F.col("first").alias("class_id"), "component_id", (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = found.select("doc_id", "d").join(of, "d", "left")
     first = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), first.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.eqNullSafe(F.col("doc_id")).alias("kept"))
 
