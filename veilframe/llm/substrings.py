@@ -3,10 +3,11 @@
 A window is a run of `window` words. Two equal windows at i and j have a shift d below the period with both i + d and
 j + d at positions of the difference cover, so the anchors there (shorter runs of words that still lie in the windows)
 are equal: only cover positions are hashed, and only windows around an anchor that occurs elsewhere are looked at
-further. Those are hashed whole, in 128 bits, and counted; each word of a window that occurs twice goes.
+further. Those are hashed whole, in 96 bits, and counted; each word of a window that occurs twice goes.
 
-Documents are dealt to blocks of a bounded size. A block sends each hash once with its count, so a passage in a third
-of all documents gives a row per block, not per occurrence. Counts come back to the blocks, where they meet the texts.
+Documents are dealt to blocks of a bounded size. A block sends each hash once with a place in the block, so a passage in
+a third of all documents gives a row per block, not per occurrence. The places of repeated ones come back to the blocks,
+where they meet the texts.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null and empty texts have no words; the hash of no words is that of the
 empty string. Windows are judged on the input. Repeated rows repeat their windows, so both lose them. A null id is an
@@ -15,14 +16,13 @@ id like any other, rows apart. An empty table gives no rows. Extra columns aren'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, batches, block_of, docs_table, text_bytes, windows, word_hashes
+from .common import WordHash, as_bytes, block_of, docs_table, text_bytes, windows, word_hashes
 
 WINDOW = 35
 #: A difference cover: each number below PERIOD is a difference of two of COVER modulo PERIOD. Fixed values.
@@ -65,67 +65,66 @@ def around(t: Texts, hit: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero((upto[PERIOD : PERIOD + n] > upto[:n]) & (t.left >= window))
 
 
-def _sent(block: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct rows of a block number and hashes, with their counts."""
-    order = np.lexsort((*columns, block))
-    rows = [block[order], *(c[order] for c in columns)]
+def _sent(block: int, at: np.ndarray, *hashes: np.ndarray) -> pa.Table:
+    """A row for each distinct hash of a block: the hash, and where: block, first place, and whether there are more, in one number."""
+    order = np.lexsort((at, *hashes[::-1]))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(order)))
-    for i in range(0, len(at), 50000):
-        part = at[i : i + 50000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0][part].astype(np.int32)), *(pa.array(c[part].view(np.int64)) for c in rows[1:]), pa.array(count[i : i + 50000].astype(np.int32))],
-            ["block", *[f"h{k}" for k in range(1, len(rows))], "n"],
-        )
+    new[1:] = np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(order))) > 1
+    pick = order[first]
+    place = (np.int64(block) << 33) | (at[pick] << 1) | many
+    return pa.table({f"h{k}": pa.array(h[pick].view(np.int64) if h.dtype == np.uint64 else h[pick]) for k, h in enumerate(hashes, 1)} | {"place": pa.array(place)})
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """block and hashes of the rows whose hashes occur twice at least, over all blocks. A hash has a row per block at most, or few more."""
-    return rows.withColumn("all", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("all") > 1).select("block", *keys)
+    """block and at of the rows whose hashes occur twice at least, over all blocks. A hash has a row for each block that has it."""
+    n = F.sum(F.col("place").bitwiseAND(1) + 1).over(Window.partitionBy(*keys))
+    return rows.withColumn("n", n).where("n > 1").select(F.shiftright("place", 33).cast("int").alias("block"), F.shiftright(F.col("place").bitwiseAND((1 << 33) - 1), 1).cast("int").alias("at"))
+
+
+def _ordered(t: pa.Table, memo: WordHash) -> tuple[pa.Table, Texts]:
+    """A block's documents, always in the same order, whatever order they came in."""
+    order = pa.compute.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+    t = t.take(order)
+    return t, Texts(as_bytes(t["text"]), memo)
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (word ranges removed, ends out) and kept (the text without them, its words joined by a space)."""
     blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
-    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
 
-    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for b in batches(it, 8 << 20):
-            t = Texts(as_bytes(b["text"]), memo)
-            at, h = anchors(t, window)
-            if len(at):
-                yield from _sent(np.repeat(b["block"].to_numpy(), t.lengths)[at], h)
+    def first(key: tuple, texts: pa.Table) -> pa.Table:
+        _, t = _ordered(texts, WordHash())
+        at, h = anchors(t, window)
+        return _sent(key[0].as_py(), at, h)
 
     def second(key: tuple, texts: pa.Table, hits: pa.Table) -> pa.Table:
-        out = []
-        t = Texts(as_bytes(texts["text"]), WordHash())
-        if hits.num_rows and len(t.hashes):
-            at, h = anchors(t, window)
-            at = around(t, at[np.isin(h, hits["h1"].to_numpy().view(np.uint64))], window)
-            if len(at):
-                out = list(_sent(np.full(len(at), key[0].as_py()), t.runs(window)[at], t.runs(window, 1)[at]))
-        return pa.Table.from_batches(out, schema=pa.schema([("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32())]))
+        empty = np.empty(0, dtype=np.int64)
+        if not hits.num_rows or not texts.num_rows:
+            return _sent(0, empty, empty, empty.astype(np.int32))
+        _, t = _ordered(texts, WordHash())
+        at, h = anchors(t, window)
+        told = hits["at"].to_numpy()
+        at = around(t, at[np.isin(h, h[np.searchsorted(at, told)])], window)
+        return _sent(key[0].as_py(), at, *pair(t, at))
+
+    def pair(t: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of the windows at some places."""
+        return t.runs(window)[at], (t.runs(window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def third(key: tuple, texts: pa.Table, hits: pa.Table) -> pa.Table:
-        t = Texts(as_bytes(texts["text"]), WordHash())
+        texts, t = _ordered(texts, WordHash())
         gone = np.zeros(len(t.hashes) + 1, dtype=np.int64)
-        if hits.num_rows and len(t.hashes):
-            h1, h2 = (hits[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            order = np.argsort(h1, kind="stable")
-            h1, h2 = h1[order], h2[order]
-            own = t.runs(window)
-            at = np.flatnonzero((t.left >= window) & np.isin(own, h1))
-            second_own = t.runs(window, 1)[at]
-            # of equal first hashes, any with an equal second one
-            low, high = np.searchsorted(h1, own[at]), np.searchsorted(h1, own[at], side="right")
-            ok = np.zeros(len(at), dtype=bool)
-            for k in range(int((high - low).max(initial=0))):
-                live = low + k < high
-                ok[live] |= h2[low[live] + k] == second_own[live]
-            at = at[ok]
+        if hits.num_rows:
+            told = hits["at"].to_numpy()
+            h1, h2 = pair(t, np.arange(len(t.hashes)))
+            at = np.flatnonzero((t.left >= window) & np.isin(h1, h1[told]))
+            # the same window elsewhere in the block goes as well
+            both = np.unique(np.rec.fromarrays([h1[told], h2[told]]))
+            mine = np.rec.fromarrays([h1[at], h2[at]])
+            at = at[both[np.minimum(np.searchsorted(both, mine), len(both) - 1)] == mine]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         removed = np.cumsum(gone)[:-1] > 0
@@ -136,12 +135,12 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             spans.append([{"start": int(i), "stop": int(j)} for i, j in edge.reshape(-1, 2)])
             kept.append(b" ".join([w for w, gone in zip(words, r.tolist(), strict=True) if not gone] if len(edge) else words))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        return pa.table({"doc_id": texts["doc_id"].cast(pa.int64()), "n_words": pa.array(t.lengths), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(t.lengths), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
-    found = repeated(dealt.select("text", "block").mapInArrow(first, "block int, h1 long, n int"), ["h1"])
-    by = dealt.groupBy("block")
-    found = repeated(by.cogroup(found.groupBy("block")).applyInArrow(second, "block int, h1 long, h2 long, n int"), ["h1", "h2"])
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(third, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept binary")
+    by = lambda: dealt.groupBy("block")
+    found = repeated(by().applyInArrow(first, "h1 long, place long"), ["h1"])
+    found = repeated(by().cogroup(found.groupBy("block")).applyInArrow(second, "h1 long, h2 int, place long"), ["h1", "h2"])
+    return by().cogroup(found.groupBy("block")).applyInArrow(third, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept binary")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
