@@ -47,6 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session told to hand Python Arrow batches of 2 MB at most: rows of texts differ a thousandfold in length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    return df
+
+
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -69,7 +75,7 @@ def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash, remembered; emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

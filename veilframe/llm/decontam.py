@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, docs_table
+from .common import as_bytes, batches, docs_table, small_batches
 
 WINDOW = 13
 #: Bytes of text indexed at once by a task.
@@ -242,7 +242,7 @@ def _search(docs: DataFrame, phrases: Phrases, key: str) -> DataFrame:
             items = pa.array([sorted(i for i in s if i is not None) for _, s in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([t[key].combine_chunks(), pa.array(counts, pa.int64()), spans, items], [key, "n_words", "spans", "items"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {SPANS}, items array<string>")
+    return small_batches(docs).select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {SPANS}, items array<string>")
 
 
 def n_hit():

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, docs_table, materialize, mix, windows, word_hashes
+from .common import WordHash, as_bytes, docs_table, materialize, mix, small_batches, windows, word_hashes
 from .components import components, forest
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
@@ -35,7 +35,7 @@ BINS, SPLIT_BINS = 512, 128
 #: Classes in a bucket that is compared by brute force, and levels of splitting.
 SMALL, LEVELS = 64, 3
 #: Classes of a family, and their elements, proven together; a larger family is cut and each two parts are proven.
-PROOF, PROOF_WORDS = 1024, 1 << 20
+PROOF, PROOF_WORDS = 1024, 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _FILL = _rng.integers(0, BINS, (BINS, 32))
@@ -97,8 +97,8 @@ def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         for b in it:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
                 rows = []
                 for text in as_bytes(pa.chunked_array([part["text"]])):
                     found = shingles(text, memo)
@@ -114,7 +114,7 @@ def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
                     ["doc_id", "d", "n", "bits", "parts", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d binary, n int, bits binary, parts binary, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d binary, n int, bits binary, parts binary, keys array<long>")
 
 
 def _counted(rows: DataFrame) -> DataFrame:

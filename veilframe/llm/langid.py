@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_table, fold_of
+from .common import docs_table, fold_of, small_batches
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -93,7 +93,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str, min_margin: float =
                 [key, "lang_pred", "score", "margin", "rejected"],
             )
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, margin double, rejected boolean")
+    return small_batches(docs).select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, margin double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = 0.003) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, block_of, docs_table, text_bytes, windows, word_hashes
+from .common import WordHash, as_bytes, block_of, docs_table, small_batches, text_bytes, windows, word_hashes
 
 WINDOW = 35
 #: A difference cover: each number below PERIOD is a difference of two of COVER modulo PERIOD. Fixed values.
@@ -93,7 +93,7 @@ def _ordered(t: pa.Table, memo: WordHash) -> tuple[pa.Table, Texts]:
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (word ranges removed, ends out) and kept (the text without them, its words joined by a space)."""
     blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
+    dealt = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
 
     def first(key: tuple, texts: pa.Table) -> pa.Table:
         _, t = _ordered(texts, WordHash())

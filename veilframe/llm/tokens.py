@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, docs_table, new_path, text_bytes
+from .common import batches, docs_table, new_path, small_batches, text_bytes
 
 PAD = b"P*M\x18\x00\x00\x00\x00"
 SEEK_MAGIC = 0x8F92EAB1
@@ -214,7 +214,7 @@ class Shard:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, level: int = 3, shard_bytes: int = SHARD_BYTES) -> str:
     """Encode docs (doc_id, text) and write the shards to path; shards in name order hold ascending doc_ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shards = max(1, -(-text_bytes(docs) // shard_bytes))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_table, fold_of, materialize
+from .common import docs_table, fold_of, materialize, small_batches
 
 # Letters of other scripts that look like Latin ones, after NFKD and lower-casing.
 HOMOGLYPHS = str.maketrans("авекмнорстухіјѕԁһαβεικνορτυχı", "abekmhopctyxijsdhabeikvoptuxi")
@@ -147,7 +147,7 @@ def counted(labelled: DataFrame, longest: int = 9) -> DataFrame:
         yield from sent()
 
     sums = [F.sum(c).alias(c) for c in ("docs", "pos", "neg")]
-    return labelled.select("text", "label").mapInArrow(run, "term string, docs long, pos long, neg long").groupBy("term").agg(*sums)
+    return small_batches(labelled).select("text", "label").mapInArrow(run, "term string, docs long, pos long, neg long").groupBy("term").agg(*sums)
 
 
 def learn(labelled: DataFrame, size: int = 2000, least: int = 5, curve_rows: int = 20000) -> Lexicon:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b[key], pa.array([shared.value.score(t) for t in b["text"].to_pylist()], pa.float64())], [key, "score"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, score double")
+    return small_batches(docs).select(key, "text").mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
