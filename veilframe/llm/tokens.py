@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, docs_table, new_path, small_batches, text_bytes
+from .common import batches, docs_table, materialize, new_path, small_batches, text_bytes
 
 PAD = b"P*M\x18\x00\x00\x00\x00"
 SEEK_MAGIC = 0x8F92EAB1
@@ -49,9 +49,10 @@ FRAME_BYTES = 1 << 18
 SHARD_BYTES = 32 << 20
 #: A space beside other white space, or at the end.
 BESIDE = re.compile(r"\s | \s| \Z")
+RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 END = struct.pack("<I", END_ID)
 #: Distinct pieces remembered by a worker.
-PIECES = 1_000_000
+PIECES = 450_000
 #: A part whose pieces PIECE finds as the vocabulary's splitting rule does: no apostrophe, no white space but single line ends.
 SIMPLE = re.compile(r"(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n(?=\S))+")
 PIECE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n")
@@ -60,19 +61,24 @@ _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
+def beside(text: str) -> bool:
+    """Whether a space stands beside other white space, or at the end; fast where the only white space is spaces and line ends."""
+    if text.isascii() and not any(c in text for c in RARE):
+        return "  " in text or "\n " in text or " \n" in text or text[-1:] == " "
+    return BESIDE.search(text) is not None
+
+
 class Memo(dict):
-    """Pieces and their ids in two generations: when the young one is full, the old one goes."""
+    """Pieces and their ids; when it is full the pieces it has, the frequent ones among them, stay."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int = PIECES):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) or self.make(piece)
-        if len(self) >= self.limit // 2:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+        ids = self.make(piece)
+        if len(self) < self.limit:
+            self[piece] = ids
         return ids
 
 
@@ -111,7 +117,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if BESIDE.search(t):
+            if beside(t):
                 ids = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
             else:
                 head, *tail = t.split(" ")
@@ -262,7 +268,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards of path."""
-    rows = read_tokens(spark, path).select("shard", "doc_id", "local_start", "n_tokens", "ids_crc32")
+    rows = materialize(read_tokens(spark, path).select("shard", "doc_id", "local_start", "n_tokens", "ids_crc32"), "digest")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
