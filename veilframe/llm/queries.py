@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontam, substrings
 from .decontam import op8_benchmark_decontamination
 from .jaccard import op6_ngram_jaccard_join
+from .classlm import op7_class_lm
 from .langid import op2_language_id
 from .mixing import op1_source_mixing
+from .pii import op5_pii_pseudonyms
 from .substrings import op3_substring_dedup
 from .tokens import op10_token_files
 from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_substring_dedup, op6_ngram_jaccard_join, op8_benchmark_decontamination, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_substring_dedup, op5_pii_pseudonyms, op6_ngram_jaccard_join, op7_class_lm, op8_benchmark_decontamination, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
