@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, substrings
+from . import decontam, embeddings, substrings
+from .classlm import op7_class_lm
 from .decontam import op8_benchmark_decontamination
+from .embeddings import op4_embedding_near_dedup
 from .jaccard import op6_ngram_jaccard_join
-from .classlm import op7_class_lm
 from .langid import op2_language_id
 from .mixing import op1_source_mixing
 from .pii import op5_pii_pseudonyms
@@ -18,9 +19,27 @@ from .tokens import op10_token_files
 from .toxicity import op9_toxicity
 
 
+OPERATORS = (
+    op1_source_mixing,
+    op2_language_id,
+    op3_substring_dedup,
+    op4_embedding_near_dedup,
+    op5_pii_pseudonyms,
+    op6_ngram_jaccard_join,
+    op7_class_lm,
+    op8_benchmark_decontamination,
+    op9_toxicity,
+    op10_token_files,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_substring_dedup, op5_pii_pseudonyms, op6_ngram_jaccard_join, op7_class_lm, op8_benchmark_decontamination, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substrings.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
+    return {
+        "op3_substring_dedup": substrings.ORACLE,
+        "op4_embedding_near_dedup": embeddings.ORACLE,
+        "op8_benchmark_decontamination": decontam.ORACLE,
+    }
