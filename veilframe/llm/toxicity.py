@@ -7,7 +7,7 @@ either label; of a word's beginnings the shortest that says as much is kept. Exc
 does not count. A text's weights are summed, repeats of a term damped, and normalised by length; a logistic curve, fitted on
 labelled rows, gives the score.
 
-Counts cover all labelled rows that may be learned from. Null, empty and wordless texts get the curve's value at no
+The lexicon is learned from a bounded sample of labels; scores cover all texts whole. Null, empty and wordless texts get the curve's value at no
 match. Rows of labels with a null label, and labels of rows that don't exist, aren't learned. With several labels for an
 id each counts. Repeated rows are scored alike. Without labels every score is 0.5 less a little. Only the text is an
 input of a score.
@@ -150,9 +150,14 @@ def counted(labelled: DataFrame, longest: int = 9) -> DataFrame:
     return small_batches(labelled).select("text", "label").mapInArrow(run, "term string, docs long, pos long, neg long").groupBy("term").agg(*sums)
 
 
-def learn(labelled: DataFrame, size: int = 2000, least: int = 5, curve_rows: int = 20000) -> Lexicon:
-    """A lexicon of at most size terms from labelled (text, label 0 or 1). The curve is fitted on about curve_rows rows, those of the smallest hash; all else counts all rows."""
-    labelled = labelled.where(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"))
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 30_000, size: int = 2000, least: int = 5, curve_rows: int = 10_000) -> Lexicon:
+    """A lexicon of at most size terms from docs (doc_id, text) and labels (doc_id, label 0 or 1).
+
+    It is fitted on a bounded sample: the rows labels of the smallest hash, which are few enough to be broadcast; the
+    curve on about curve_rows of them.
+    """
+    sample = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id", "label"), "doc_id").limit(rows)
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"), "labelled")
     counts = materialize(counted(labelled), "terms")
     whole = counts.where("term is null").first()
     if whole is None or not whole["pos"] or not whole["neg"]:
@@ -163,8 +168,8 @@ def learn(labelled: DataFrame, size: int = 2000, least: int = 5, curve_rows: int
     z = (F.col("pos") - pos / (pos + neg) * (F.col("pos") + F.col("neg"))) / F.sqrt(F.col("pos") + F.col("neg"))
     heavy = counts.where(F.col("term").isNotNull() & (F.col("docs") >= least)).withColumn("w", odds).withColumn("z", z)
     lexicon = Lexicon(chosen({r["term"]: (r["w"], r["docs"]) for r in heavy.where("w > 1 and z > 3.5").orderBy(F.desc("z"), "term").limit(size).collect()}))
-    rows = labelled.count()
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, curve_rows / max(1, rows)) * 1_000_000))
+    share = min(1.0, curve_rows / max(1, labelled.count()))
+    few = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def learn(labelled: DataFrame, size: int = 2000, least: int = 5, curve_rows: int
             got = [shared.value.features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b["label"].cast(pa.int32())], ["x", "label"])
 
-    found = sample.mapInArrow(run, "x array<double>, label int").collect()
+    found = few.mapInArrow(run, "x array<double>, label int").collect()
     if len({r["label"] for r in found}) > 1:
         lexicon.curve = fitted(np.array([[1.0, *r["x"]] for r in found]), np.array([r["label"] for r in found], dtype=float))
     return lexicon
@@ -224,6 +229,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every whole text of documents."""
     docs = docs_table(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
-    lexicon = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = learn(docs, labels)
     rows = docs.select(F.struct("doc_id", (F.coalesce(fold_of(F.col("doc_id"), 5), F.lit(0)) == 0).alias("held_out")).alias("row"), "text")
     return score(rows, lexicon, "row").select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
