@@ -41,9 +41,8 @@ def exploded(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def kind_counts(docs: DataFrame, *by: str) -> DataFrame:
     """Spans and documents of each kind; counts only, so fit for a report."""
-    e = docs.select(*by, F.monotonically_increasing_id().alias("_row"), F.explode("spans.kind").alias("kind"))
-    per = e.groupBy(*by, "kind", "_row").agg(F.count("*").alias("n"))
-    return per.groupBy(*by, "kind").agg(F.sum("n").alias("spans"), F.count("*").alias("documents"))
+    e = docs.select(*by, F.explode(kinds_summary(F.col("spans"))).alias("k"))
+    return e.groupBy(*by, F.col("k.kind").alias("kind")).agg(F.sum("k.count").alias("spans"), F.count("*").alias("documents"))
 
 
 def kinds_summary(spans: Column) -> Column:
