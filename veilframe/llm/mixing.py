@@ -197,17 +197,17 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs as the mix takes them, a row for each time a document is begun; the last time its text may be cut at a word. All columns as they were, n_chars that of the text."""
-    own = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    sizes = materialize(sized(own, "_key"), "sizes")
-    got = taken(mix(sizes, seed), "_key").where("taken > 0").select("_key", "size", "taken")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "source", "text").alias("key"))
+    sizes = materialize(sized(docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("key")), "key"), "sizes")
+    got = taken(mix(sizes, seed), "key").where("taken > 0").select("key", "size", "taken")
     cuts = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")
     # rows alike in key are alike in text; their cuts are put together and meet one of them
-    cuts = got.groupBy("_key", "size").agg(F.flatten(F.collect_list(cuts)).alias("cuts"))
-    if not sizes.groupBy("_key").count().where("count > 1").isEmpty():
-        own = own.dropDuplicates(["_key"])
-    rows = own.join(cuts, "_key").withColumn("cut", F.explode("cuts"))
-    text = F.when(F.col("cut") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("cut").cast("int")), " "))
-    rows = rows.withColumn("text", text)
+    cuts = got.groupBy("key", "size").agg(F.flatten(F.collect_list(cuts)).alias("cuts"))
+    if not sizes.groupBy("key").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["key"])
+    rows = own.join(cuts, "key").select("row", "size", F.explode("cuts").alias("cut"))
+    part = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), F.lit(1), F.col("cut").cast("int")), " ")
+    rows = rows.withColumn("row", F.col("row").withField("text", F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(part)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select("row.*")

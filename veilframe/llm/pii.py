@@ -176,15 +176,15 @@ def pseudonym(s: Column, key: str) -> Column:
 
 def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in text replaced, and n_pii, the number of values replaced."""
-    marked = docs.withColumn("_found", F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    some = F.size("_found") > 0
-    new = F.transform("_found", lambda s: pseudonym(s, key))
-    marked = marked.withColumn("_new", F.when(some, new))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_pii"]).alias("row"), "text")
+    rows = rows.withColumn("found", F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    some = F.size("found") > 0
+    rows = rows.withColumn("new", F.when(some, F.transform("found", lambda s: pseudonym(s, key))))
     gaps = F.split("text", ANY, -1)
-    values = F.concat(F.transform("_new", lambda x: x["value"]), F.array(F.lit("")))
+    values = F.concat(F.transform("new", lambda x: x["value"]), F.array(F.lit("")))
     text = F.when(some, F.array_join(F.flatten(F.zip_with(gaps, values, lambda g, v: F.array(g, v))), "")).otherwise(F.col("text"))
-    n = F.when(some, F.size(F.filter("_new", lambda x: x["kind"].isNotNull()))).otherwise(0).cast("long")
-    return marked.withColumn("_n", n).withColumn("text", text).select(*docs.columns, F.col("_n").alias("n_pii"))
+    n = F.when(some, F.size(F.filter("new", lambda x: x["kind"].isNotNull()))).otherwise(0).cast("long")
+    return rows.select(F.col("row").withField("text", text).alias("row"), n.alias("n_pii")).select("row.*", "n_pii")
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
