@@ -342,7 +342,7 @@ def rules_conflict(spark: SparkSession, sf: str) -> DataFrame:
 # --- layout ----------------------------------------------------------------------------------------------------------
 
 _WORDS = {
-    "image_id": "l_orderkey", "word_ix": "CAST(l_linenumber AS INT)", "text": "concat('w', CAST(l_partkey % 97 AS STRING))",
+    "image_id": "l_orderkey", "word_ix": "CAST(l_linenumber * 1000000 + l_partkey * 20 + l_suppkey % 20 AS INT)", "text": "concat('w', CAST(l_partkey % 97 AS STRING))",
     "x": "CAST(l_linenumber * 20 + l_suppkey % 12 AS INT)", "y": "CAST((l_partkey % 3) * 9 AS INT)", "w": "CAST(10 + l_partkey % 11 AS INT)", "h": "CAST(l_partkey % 24 AS INT)", "conf": "CAST(l_discount * 10 AS FLOAT)",
 }
 _SQL_WORDS = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _WORDS.items()) + " FROM lineitem"
