@@ -416,7 +416,7 @@ def test_toxic_words_and_stems_are_learned(spark):
     rng = random.Random(13)
     bad = ["idiot", "moron"]
     texts, labels = [], []
-    for i in range(400):
+    for i in range(700):
         words = prose(rng, 60).split()
         toxic = i % 5 == 0
         if toxic:
@@ -425,8 +425,8 @@ def test_toxic_words_and_stems_are_learned(spark):
         labels.append((i, int(toxic)))
     d = documents(spark, texts)
     known = spark.createDataFrame(labels, "doc_id long, label int")
-    lexicon = toxicity.learn(d, known.where("doc_id < 300"))
-    got = toxicity.score(d.where("doc_id >= 300"), lexicon, "doc_id").join(known, "doc_id").toPandas()
+    lexicon = toxicity.learn(d, known.where("doc_id < 500"))
+    got = toxicity.score(d.where("doc_id >= 500"), lexicon, "doc_id").join(known, "doc_id").toPandas()
     assert ((got.score >= 0.5) == (got.label == 1)).mean() > 0.95
     assert lexicon.score("he is an 1d10t " + texts[1]) > 0.5 > lexicon.score("")
 

@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 30_000, size: int = 20
     # surprise: how far the count lies from what chance gives it
     z = (F.col("pos") - pos / (pos + neg) * (F.col("pos") + F.col("neg"))) / F.sqrt(F.col("pos") + F.col("neg"))
     heavy = counts.where(F.col("term").isNotNull() & (F.col("docs") >= least)).withColumn("w", odds).withColumn("z", z)
-    lexicon = Lexicon(chosen({r["term"]: (r["w"], r["docs"]) for r in heavy.where("w > 1 and z > 3.5").orderBy(F.desc("z"), "term").limit(size).collect()}))
+    lexicon = Lexicon(chosen({r["term"]: (r["w"], r["docs"]) for r in heavy.where("w > 1 and z > 3").orderBy(F.desc("z"), "term").limit(size).collect()}))
     share = min(1.0, curve_rows / max(1, labelled.count()))
     few = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
