@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import classlm, components, decontam, embeddings, jaccard, langid, mixing, pii, substrings, tokens, toxicity
-from veilframe.llm.common import WordHash, windows
+from veilframe.llm.common import windows
 
 from .helpers import SCHEMA, awkward, documents, empty, prose
 
@@ -232,8 +232,7 @@ def test_pseudonyms_of_awkward_and_empty_tables(spark):
 
 
 def jaccard_brute(texts):
-    memo = WordHash()
-    sets = [set(jaccard.shingles((t or "").encode(), memo).tolist()) for t in texts]
+    sets = [set(jaccard.shingles((t or "").encode()).tolist()) for t in texts]
     n = len(sets)
     links, root = [0] * n, list(range(n))
     near = [(i, j) for i in range(n) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]

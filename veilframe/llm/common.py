@@ -73,17 +73,21 @@ def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
 
 
 class WordHash(dict):
-    """Word (bytes) to a 64-bit hash, remembered; emptied when it holds too many words."""
+    """Word (bytes) to a 64-bit hash; remembers so many words, the frequent ones among them."""
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT:
+            self[word] = h
         return h
 
 
+#: The words of this worker process; they outlive a task.
+WORDS = WordHash()
+
+
 def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 

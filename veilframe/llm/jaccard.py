@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, docs_table, materialize, mix, small_batches, windows, word_hashes
+from .common import WORDS as KNOWN
+from .common import as_bytes, docs_table, materialize, mix, small_batches, windows, word_hashes
 from .components import components, forest
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
@@ -56,12 +57,12 @@ def picks(similarity: float, recall: float) -> list[tuple[int, int]]:
     return [(r, int(p)) for r in range(runs(similarity, recall)) for p in np.flatnonzero(rng.random(BINS) < 1 / (similarity * BINS))]
 
 
-def shingles(text: bytes, memo: WordHash, n: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams, mixed."""
     words = text.split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(mix(windows(word_hashes(words, memo), min(n, len(words)))))
+    return np.unique(mix(windows(word_hashes(words, KNOWN), min(n, len(words)))))
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -95,13 +96,12 @@ def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for b in it:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 rows = []
                 for text in as_bytes(pa.chunked_array([part["text"]])):
-                    found = shingles(text, memo)
+                    found = shingles(text)
                     if len(found):
                         s = sketch(found)
                         bits = np.packbits((mix(s ^ _BIT) & np.uint64(1)).astype(bool)).tobytes()
@@ -238,7 +238,6 @@ def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         group, rows = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -250,7 +249,7 @@ def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
                 if g != group:
                     yield from done()
                     group, rows = g, {}
-                if d not in rows and digest(found := shingles(text or b"", memo)) == d:
+                if d not in rows and digest(found := shingles(text or b"")) == d:
                     rows[d] = (found, m, part if cross else None)
         yield from done()
 

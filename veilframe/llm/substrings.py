@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, block_of, docs_table, small_batches, text_bytes, windows, word_hashes
+from .common import WORDS, as_bytes, block_of, docs_table, small_batches, text_bytes, windows, word_hashes
 
 WINDOW = 35
 #: A difference cover: each number below PERIOD is a difference of two of COVER modulo PERIOD. Fixed values.
@@ -34,12 +34,12 @@ BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
 class Texts:
     """The words of some documents in one row, with their hashes."""
 
-    def __init__(self, texts: list[bytes], memo: WordHash):
+    def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
-        self.hashes = np.concatenate([word_hashes(w, memo) for w in self.words] or [np.empty(0, dtype=np.uint64)])
+        self.hashes = np.concatenate([word_hashes(w, WORDS) for w in self.words] or [np.empty(0, dtype=np.uint64)])
         self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.lengths)
         self.left = np.repeat(self.ends, self.lengths) - np.arange(len(self.hashes))
 
@@ -83,11 +83,11 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("n", n).where("n > 1").select(F.shiftright("place", 33).cast("int").alias("block"), F.shiftright(F.col("place").bitwiseAND((1 << 33) - 1), 1).cast("int").alias("at"))
 
 
-def _ordered(t: pa.Table, memo: WordHash) -> tuple[pa.Table, Texts]:
+def _ordered(t: pa.Table) -> tuple[pa.Table, Texts]:
     """A block's documents, always in the same order, whatever order they came in."""
     order = pa.compute.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
     t = t.take(order)
-    return t, Texts(as_bytes(t["text"]), memo)
+    return t, Texts(as_bytes(t["text"]))
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -96,7 +96,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
 
     def first(key: tuple, texts: pa.Table) -> pa.Table:
-        _, t = _ordered(texts, WordHash())
+        _, t = _ordered(texts)
         at, h = anchors(t, window)
         return _sent(key[0].as_py(), at, h)
 
@@ -104,7 +104,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         empty = np.empty(0, dtype=np.int64)
         if not hits.num_rows or not texts.num_rows:
             return _sent(0, empty, empty, empty.astype(np.int32))
-        _, t = _ordered(texts, WordHash())
+        _, t = _ordered(texts)
         at, h = anchors(t, window)
         told = hits["at"].to_numpy()
         at = around(t, at[np.isin(h, h[np.searchsorted(at, told)])], window)
@@ -115,7 +115,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return t.runs(window)[at], (t.runs(window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def third(key: tuple, texts: pa.Table, hits: pa.Table) -> pa.Table:
-        texts, t = _ordered(texts, WordHash())
+        texts, t = _ordered(texts)
         gone = np.zeros(len(t.hashes) + 1, dtype=np.int64)
         if hits.num_rows:
             told = hits["at"].to_numpy()
