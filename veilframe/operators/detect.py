@@ -14,7 +14,7 @@ OK, TOO_LARGE, COLLISION = "ok", "input_too_large", "collision"
 
 def status(text: Column) -> Column:
     """Why a text is refused, or ok: its size first, then text that looks like an alias."""
-    return F.when(F.octet_length(text) > MAX_BYTES, TOO_LARGE).when(text.rlike(ALIAS), COLLISION).otherwise(OK)
+    return F.when(F.octet_length(text) > MAX_BYTES, TOO_LARGE).when(text.contains("_") & text.rlike(ALIAS), COLLISION).otherwise(OK)
 
 
 def with_status(docs: DataFrame, text: str = "text") -> DataFrame:
