@@ -135,6 +135,23 @@ def test_png_and_redaction(spark):
     assert rows(images.normalised(d.where("image_id in ('in', 'bad')")).select("status", "width"))[0]["width"] in (10, None)
 
 
+def test_files_of_other_formats(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(6, 4, 1)
+    for x in range(6):
+        for y in range(4):
+            image.setRGB(x, y, 0x00FF0000 if x < 3 else 0x000000FF)
+    for kind in ("png", "bmp", "gif", "jpg"):
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(f"{tmp_path}/i.{kind}"))
+    (tmp_path / "no.png").write_bytes(b"junk")
+    got = rows(images.from_rasters(readers.rasters(spark, str(tmp_path))))
+    assert len(got) == 4 and {r["status"] for r in got} == {"ok"}
+    for r in got:
+        px = images.decode_png(bytes(r["content"])).astype(int)
+        assert px.shape == (4, 6, 4)
+        assert np.abs(px[1, 0] - [255, 0, 0, 255]).max() < 90 and np.abs(px[1, 5] - [0, 0, 255, 255]).max() < 90
+
+
 def test_regions():
     s = np.zeros((20, 20))
     s[2:7, 3:8] = 0.9

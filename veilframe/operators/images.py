@@ -1,8 +1,8 @@
 """Images as BINARY columns: PNG decoding and encoding, blacking boxes out, text regions of a score map.
 
-There is no codec library here, so PNG alone is read (8 and 16 bits, grey, RGB, palette, with alpha; not interlaced);
-JPEG, WebP, GIF and BMP give the status `undecodable`. PNG has no orientation of its own, so normalising only drops
-what isn't pixels.
+Bytes are read as PNG (8 and 16 bits, grey, RGB, palette, with alpha; not interlaced); there is no other codec library
+here. Files of JPEG, BMP and GIF come through Spark's image source as rasters, which from_rasters() turns to PNG. WebP and
+the orientation that a JPEG's camera notes are not read.
 """
 
 from __future__ import annotations
@@ -155,6 +155,32 @@ def normalised(images: DataFrame) -> DataFrame:
     return images.select("image_id", "content").mapInArrow(run, f"image_id {kind}, content binary, width int, height int, status string")
 
 
+def from_rasters(images: DataFrame) -> DataFrame:
+    """image_id, content (PNG), width, height and status of rasters (image_id, width, height, channels, raster: rows from the top, blue first)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out, status = [], []
+            for width, height, channels, raw in zip(*(b[c].to_pylist() for c in ("width", "height", "channels", "raster")), strict=True):
+                try:
+                    if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE and width * height <= MOST_PIXELS):
+                        raise ValueError("dimensions")
+                    px = np.frombuffer(raw, np.uint8).reshape(height, width, channels)
+                    rgba = np.full((height, width, 4), 255, np.uint8)
+                    rgba[..., :3] = px[..., 2::-1] if channels >= 3 else px[..., :1]
+                    if channels == 4:
+                        rgba[..., 3] = px[..., 3]
+                    out.append(encode_png(rgba))
+                    status.append("ok")
+                except ValueError as e:
+                    out.append(None)
+                    status.append(str(e))
+            yield pa.RecordBatch.from_arrays([b["image_id"], pa.array(out, pa.binary()), b["width"], b["height"], pa.array(status)], ["image_id", "content", "width", "height", "status"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    return images.select("image_id", "width", "height", "channels", "raster").mapInArrow(run, f"image_id {kind}, content binary, width int, height int, status string")
+
+
 def regions(score: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Boxes (x, y, w, h) of four-connected areas of high score, a pixel wider all round, in the order in which a scan meets them; the first 200."""
     height, width = score.shape
