@@ -135,6 +135,15 @@ def test_windows_are_equal_just_where_words_are():
     assert len(windows(h[:4], 5)) == 0
 
 
+def test_words_are_hashed_alike_wherever_they_stand():
+    words = [b"a", b"ab", b"ba", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 900, "\u00e9\u00df".encode(), b"\x1c", b"\x00"]
+    raw = b" \t".join(words * 3) + b"\n\n" + b"\x0b".join(words)
+    starts, h = substrings.hashed_words(raw)
+    assert [raw[i:].split()[0] for i in starts.tolist()] == words * 4
+    assert len(set(h.tolist())) == len(words) and (h.reshape(4, -1) == h[: len(words)]).all()
+    assert len(substrings.hashed_words(b"")[1]) == 0 == len(substrings.hashed_words(b" \n")[1])
+
+
 def test_repeated_passages(spark):
     rng = random.Random(3)
     p = [prose(rng, n) for n in (34, 35, 36, 50, 90)]

@@ -19,10 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_bytes, block_of, docs_table, small_batches, text_bytes, windows, word_hashes
+from .common import as_bytes, block_of, docs_table, mix, small_batches, text_bytes, windows
 
 WINDOW = 35
 #: A difference cover: each number below PERIOD is a difference of two of COVER modulo PERIOD. Fixed values.
@@ -31,15 +32,45 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
 
 
+#: ASCII white space.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+#: Bytes of a word that are hashed column by column; longer words are hashed one by one.
+SHORT = 64
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words in raw and a 64-bit hash of each, without an object for each word."""
+    a = np.frombuffer(raw, dtype=np.uint8)
+    edge = np.diff(np.concatenate([[0], (~SPACE[a]).view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = ends - starts
+    order = np.argsort((SHORT + 1 - np.minimum(size, SHORT + 1)).astype(np.uint8), kind="stable")  # longest first
+    at, left = starts[order], size[order]
+    h = np.zeros(len(starts), dtype=np.uint64)
+    more = np.searchsorted(-left, -np.arange(1, SHORT + 1), side="right") if len(left) else np.zeros(SHORT, dtype=np.int64)
+    for k in range(SHORT):  # words of more than k bytes
+        n = int(more[k])
+        if not n:
+            break
+        h[:n] = h[:n] * np.uint64(0x9E3779B97F4A7C15) + a[at[:n] + k] + np.uint64(1)
+    h = mix(h)
+    for i in np.flatnonzero(left > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i] + left[i]])
+    out = np.empty_like(h)
+    out[order] = h
+    return starts, out
+
+
 class Texts:
-    """The words of some documents in one row, with their hashes."""
+    """The words of some documents in one row, as hashes."""
 
     def __init__(self, texts: list[bytes]):
-        self.words = [t.split() for t in texts]
-        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.ends = np.cumsum(self.lengths)
+        starts, self.hashes = hashed_words(b"\n".join([*texts, b""]))
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.empty(0, dtype=np.int64)
+        self.ends = np.searchsorted(starts, ends)
+        self.lengths = np.diff(self.ends, prepend=0)
         self.starts = self.ends - self.lengths
-        self.hashes = np.concatenate([word_hashes(w, WORDS) for w in self.words] or [np.empty(0, dtype=np.uint64)])
         self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.lengths)
         self.left = np.repeat(self.ends, self.lengths) - np.arange(len(self.hashes))
 
@@ -52,8 +83,11 @@ class Texts:
 def anchors(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of anchors and their hashes."""
     length = window - PERIOD + 1
-    at = np.flatnonzero(np.isin(t.place % PERIOD, COVER) & (t.left >= length))
-    return at, t.runs(length)[at]
+    covered = np.zeros(PERIOD, dtype=bool)
+    covered[list(COVER)] = True
+    at = np.flatnonzero(covered[t.place % PERIOD] & (t.left >= length))
+    # 48 bits: what they let through is looked at whole
+    return at, t.runs(length)[at] >> np.uint64(16)
 
 
 def around(t: Texts, hit: np.ndarray, window: int) -> np.ndarray:
@@ -67,7 +101,8 @@ def around(t: Texts, hit: np.ndarray, window: int) -> np.ndarray:
 
 def _sent(block: int, at: np.ndarray, *hashes: np.ndarray) -> pa.Table:
     """A row for each distinct hash of a block: the hash, and where: block, first place, and whether there are more, in one number."""
-    order = np.lexsort((at, *hashes[::-1]))
+    # rows of one first hash and different second ones may stand mixed; then a hash has several rows, whose counts add up
+    order = np.argsort(hashes[0], kind="stable")
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)
     first = np.flatnonzero(new)
@@ -129,8 +164,8 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             np.add.at(gone, at + window, -1)
         removed = np.cumsum(gone)[:-1] > 0
         spans, kept = [], []
-        for words, a, b in zip(t.words, t.starts, t.ends, strict=True):
-            r = removed[a:b]
+        for text, a, b in zip(as_bytes(texts["text"]), t.starts, t.ends, strict=True):
+            words, r = text.split(), removed[a:b]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]])))
             spans.append([{"start": int(i), "stop": int(j)} for i, j in edge.reshape(-1, 2)])
             kept.append(b" ".join([w for w, gone in zip(words, r.tolist(), strict=True) if not gone] if len(edge) else words))
