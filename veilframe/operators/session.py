@@ -14,17 +14,31 @@ from ..functions.patterns import IDLE_SECONDS, KIND_NAMES
 from .aliases import first_seen, numbered, token
 
 
+def _with_last_clear(events: DataFrame) -> DataFrame:
+    """events with cleared: the last clearing of the session up to the event, itself included.
+
+    Within an hour a window gives it, from earlier hours a running maximum over the hours' own; so a session of many
+    events is read by many tasks.
+    """
+    e = events.withColumn("_hour", F.date_trunc("hour", "ts"))
+    own = F.max(F.when(F.col("type") == "clear", F.col("ts")))
+    inside = Window.partitionBy("session", "_hour").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    hours = e.groupBy("session", "_hour").agg(own.alias("_most"))
+    before = Window.partitionBy("session").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("session", "_hour", F.max("_most").over(before).alias("_base"))
+    e = e.withColumn("_own", own.over(inside)).join(hours, ["session", "_hour"])
+    return e.withColumn("cleared", F.greatest("_own", "_base")).drop("_hour", "_own", "_base")
+
+
 def epochs(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Touches with epoch: 1 for an original's first life, 2 for the next. A gap of the idle time or more ends a life, and so does a clearing between."""
-    clears = events.where("type = 'clear'").groupBy("session").agg(F.array_sort(F.collect_set("ts")).alias("clears"))
-    touches = events.where("type = 'touch'").join(clears, "session", "left")
+    touches = _with_last_clear(events).where("type = 'touch'")
     own = Window.partitionBy("session", "original").orderBy("ts", "seq")
     last = F.lag("ts").over(own)
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
     touches = touches.withColumn("_last", last).withColumn("_gap", gap)
-    cleared = F.coalesce(F.exists("clears", lambda c: (c > F.col("_last")) & (c <= F.col("ts"))), F.lit(False))
-    fresh = F.col("_last").isNull() | (F.col("_gap") >= idle_seconds * 1_000_000) | cleared
-    return touches.withColumn("epoch", F.sum(fresh.cast("int")).over(own)).drop("_last", "_gap", "clears")
+    fresh = F.col("_last").isNull() | (F.col("_gap") >= idle_seconds * 1_000_000) | F.coalesce(F.col("cleared") > F.col("_last"), F.lit(False))
+    return touches.withColumn("epoch", F.sum(fresh.cast("int")).over(own)).drop("_last", "_gap", "cleared")
 
 
 def lives(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
@@ -46,7 +60,7 @@ def live_at(entries: DataFrame, clears: DataFrame, now, idle_seconds: int = IDLE
 
 def status(live: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """session, count and expires_in_seconds, the whole seconds until the first entry expires."""
-    return live.groupBy("session").agg(F.count("*").alias("count"), F.min(F.lit(idle_seconds) - F.col("age_s") - 0).cast("long").alias("expires_in_seconds"))
+    return live.groupBy("session").agg(F.count("*").alias("count"), F.min(F.lit(idle_seconds) - F.col("age_s")).cast("long").alias("expires_in_seconds"))
 
 
 def kind_name(kind):

@@ -16,6 +16,7 @@ from ..functions.spans import all_spans, detected, resolved
 from ..functions import text as checks
 from ..operators import audit, detect, layout, names, protect, session
 from ..operators.rules import Rules
+from .storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of documents over all cores: detection is worth more than the shuffle of a small file."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 # --- detectors -------------------------------------------------------------------------------------------------------
 
 
@@ -117,13 +123,13 @@ _SQL_DOC_SPANS = " UNION ALL ".join(f"SELECT id, start, stop, v, '{d.kind}' AS k
 
 @query(f"SELECT lang, kind, CAST(count(*) AS BIGINT) AS spans, CAST(count(DISTINCT id) AS BIGINT) AS documents FROM ({_SQL_DOC_SPANS}) s JOIN documents d ON d.doc_id = s.id GROUP BY lang, kind")
 def det_kind_counts_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.kind_counts(detect.with_spans(table(spark, sf, "documents")), "lang")
+    return detect.kind_counts(detect.with_spans(documents(spark, sf, "lang", "text")), "lang")
 
 
 @query(f"SELECT lang, kind, CAST(count(*) AS BIGINT) AS spans FROM ({_SQL_DOC_SPANS}) s JOIN documents d ON d.doc_id = s.id GROUP BY ROLLUP (lang, kind)")
 def rollup_lang_kind(spark: SparkSession, sf: str) -> DataFrame:
     """An extension of ours: counts rolled up."""
-    e = detect.with_spans(table(spark, sf, "documents")).select("lang", F.explode("spans.kind").alias("kind"))
+    e = detect.with_spans(documents(spark, sf, "lang", "text")).select("lang", F.explode("spans.kind").alias("kind"))
     return e.rollup("lang", "kind").agg(F.count("*").alias("spans"))
 
 
@@ -230,7 +236,7 @@ al AS (SELECT v, id, start, kind || '_' || CAST(row_number() OVER (PARTITION BY
 
 @query(f"WITH {_SQL_ALIASES} SELECT v AS original, token, kind FROM al")
 def alias_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return protect.protect(table(spark, sf, "documents"), keep_spans=False)[1].select("original", "token", "kind")
+    return protect.protect(documents(spark, sf, "doc_id", "text"), keep_spans=False)[1].select("original", "token", "kind")
 
 
 _SQL_PROTECTED = f"""{_SQL_ALIASES}, o AS (SELECT s.id, s.start, s.stop, al.token, lag(s.stop, 1, 0) OVER (PARTITION BY s.id ORDER BY s.start) AS prev, row_number() OVER (PARTITION BY s.id ORDER BY s.start DESC) AS last FROM s JOIN al USING (v)),
@@ -240,18 +246,18 @@ t AS (SELECT o.id, string_agg(substr(d.text, CAST(prev + 1 AS INT), CAST(o.start
 
 @query(f"WITH {_SQL_PROTECTED} SELECT doc_id, CASE WHEN strlen(d.text) > 100000 THEN NULL ELSE coalesce(t.text, d.text) END AS text, CASE WHEN strlen(d.text) > 100000 THEN 'input_too_large' ELSE 'ok' END AS status, CASE WHEN strlen(d.text) > 100000 THEN NULL ELSE CAST(coalesce(n, 0) AS INT) END AS count FROM documents d LEFT JOIN t ON t.id = d.doc_id")
 def protect_text(spark: SparkSession, sf: str) -> DataFrame:
-    return protect.protect(table(spark, sf, "documents"))[0].select("doc_id", "text", "status", "count")
+    return protect.protect(documents(spark, sf, "doc_id", "text"))[0].select("doc_id", "text", "status", "count")
 
 
 @query(f"SELECT id AS doc_id, kind, CAST(count(*) AS INT) AS n FROM ({_SQL_DOC_SPANS}) GROUP BY id, kind")
 def kinds_summary(spark: SparkSession, sf: str) -> DataFrame:
-    d = detect.with_spans(table(spark, sf, "documents"))
+    d = detect.with_spans(documents(spark, sf, "doc_id", "text"))
     return d.select("doc_id", F.explode(detect.kinds_summary(F.col("spans"))).alias("k")).select("doc_id", "k.kind", F.col("k.count").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE false")
 def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return protect.round_trip(table(spark, sf, "documents"))
+    return protect.round_trip(documents(spark, sf, "doc_id", "text"))
 
 
 @query("""
