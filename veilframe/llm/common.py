@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
+        own = tempfile.mkdtemp(prefix="veilframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        got = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
