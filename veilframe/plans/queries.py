@@ -93,7 +93,7 @@ def _detector_query(name: str, source: str, key: str, order: int, text: str | No
 
     run.__name__ = name
     check = SQL_CHECKS[d.check]("v") if d.check else "true"
-    query(f"SELECT id AS {key}, start, stop, v AS value FROM {sql_find(f'SELECT {key} AS id, {text or column} AS text FROM {source}', d)} WHERE {check}")(run)
+    query(f"SELECT id AS {key}, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, v AS value FROM {sql_find(f'SELECT {key} AS id, {text or column} AS text FROM {source}', d)} WHERE {check}")(run)
 
 
 K = "CAST({k} AS STRING)"
@@ -418,9 +418,8 @@ def pixel_redact_check(spark: SparkSession, sf: str) -> DataFrame:
     """The pixel grid of a bounded number of generated images."""
     from ..operators.images import pixels_blacked
 
-    grid = spark.range(120).selectExpr("cast(id % 12 as int) AS x", "cast(id div 12 as int) AS y")
-    ids = table(spark, sf, "orders").where("o_orderkey <= 40").selectExpr("o_orderkey AS image_id")
-    px = ids.join(F.broadcast(grid), F.lit(True)).select("image_id", "x", "y", *[F.lit(255).alias(c) for c in "rgba"])
+    ids = table(spark, sf, "orders").where("o_orderkey <= 40").select(F.col("o_orderkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("p"))
+    px = ids.select("image_id", (F.col("p") % 12).alias("x"), F.floor(F.col("p") / 12).cast("int").alias("y"), *[F.lit(255).alias(c) for c in "rgba"])
     boxes = table(spark, sf, "lineitem").selectExpr("l_orderkey AS image_id", "cast(l_linenumber as int) AS x", "cast(l_partkey % 6 as int) AS y", "cast(l_suppkey % 4 as int) AS w", "3 AS h")
     return pixels_blacked(px, boxes).groupBy("image_id").agg(F.sum(F.when(F.col("r") == 0, 1).otherwise(0)).alias("black"), F.count("*").alias("pixels"))
 
