@@ -351,6 +351,20 @@ def test_exchange_finds_alternating_classes():
     assert len(set(got[1:5])) == 1 and len(set(got[5:9])) == 1 and got[1] != got[5]
 
 
+def test_every_word_is_placed_by_its_own_bigrams(spark):
+    rng = random.Random(11)
+    # rare words of one ending, in either of two places where frequent words stand as well
+    texts = [" ".join(x for k in range(15) for x in ("in", f"a{i % 40}{k % 5}xyz", "out", f"b{i % 40}{k % 5}xyz", "in", f"p{rng.randrange(4)}", "out", f"q{rng.randrange(4)}")) for i in range(160)]
+    d = documents(spark, texts).select(F.col("text").cast("binary").alias("text"), F.lit(True).alias("train"), F.pmod("doc_id", F.lit(3)).cast("int").alias("block"))
+    model, known = classlm.fit(d, classlm.lexicon(d).cache(), top=10)
+    assert len(model.items.top) == 10 and model.total[model.total > 1].sum() == model.tokens
+    got = {r["h"]: r["cls"] for r in rows(known.where("first"))}
+    signed = lambda w: classlm.word_hashes([w], classlm.WORDS).view(np.int64)[0]
+    a, b = ({got[signed(f"{x}{i}{k}xyz".encode())] for i in range(40) for k in range(5)} for x in "ab")
+    assert None not in a | b and not a & b
+    assert classlm.ending(b"a00xyz") == classlm.ending(b"b00xyz")
+
+
 def test_class_model_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     got = classlm.score(d).toPandas()

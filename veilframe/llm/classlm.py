@@ -2,14 +2,17 @@
 
 Words are lower-cased (A-Z) runs of `[^\\x20\\x09-\\x0D]+`; an end follows each text, and stands before its first word.
 
-Every word of the training texts is counted. The most frequent words are items of their own; every other word, seen or
-not, belongs to the item of its ending (its last bytes, hashed). So classes hold all words, and the table of item
-bigrams, counted over all training texts, has a fixed bound. Exchange clustering moves items between classes while that
-raises the likelihood of the class bigrams. A class transition is smoothed towards the class frequencies (Witten-Bell),
-a word's emission is discounted, and what that frees goes to as many unseen words as the class has seen ones.
+Every word of the training texts is counted and assigned by its own bigrams. Exchange clustering begins with items of a
+fixed number: the most frequent words, and for all others their endings (the last bytes, hashed); it moves items between
+classes while that raises the likelihood of the class bigrams. Then each other word of the training texts leaves its
+ending: the classes beside it are counted over all texts, and it takes the class in which they are likeliest, the others
+staying where exchange left them (a batch step of exchange, in parallel over words). A word never seen has the class of
+its ending. Class bigrams are counted anew from the classes of all words. A class transition is smoothed towards the
+class frequencies (Witten-Bell), a word's emission is discounted, and what that frees goes to as many unseen words as
+the class has seen ones.
 
 Documents are dealt to blocks of a bounded size. A block sends each of its distinct words once, as a 64-bit hash with
-its count in training texts; the sums come back to the block and meet its texts. A word of all documents gives a row per
+its count in training texts; the sums and classes come back to the block and meet its texts. A word of all documents gives a row per
 block.
 
 A null text is empty: one token, its end. Rows with a null id are scored but not learned from. Repeated rows count and
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -88,6 +92,10 @@ class Tokens:
         return total[self.ends] - total[self.ends - self.lengths]
 
 
+def plogp(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each item by exchange clustering of a bigram count matrix; item 0, the end, has class 0 for itself."""
     c = counts.astype(np.float64)
@@ -101,9 +109,6 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     to, by = c @ one, one.T @ c  # item to class, class to item
     table = one.T @ to
 
-    def plogp(x: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
     for _ in range(sweeps):
         moved = 0
         for i in order:
@@ -159,25 +164,32 @@ class ClassModel:
         spread = np.maximum(seen, 1)[:, None]
         self.transitions = np.log10((table + spread * unigram) / (table.sum(axis=1)[:, None] + spread))
         self.total = np.maximum(total, 1)
-        t, n1, n2 = (one.T @ x for x in (types, ones, twos))
-        # a class of one type only, such as the end, frees nothing
-        self.discount = np.where(t > 1, np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.05, 0.95), 0.0)
+        self.discount = discounts(types, ones, twos, classes)
+
+
+def discounts(types: np.ndarray, ones: np.ndarray, twos: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """What each class takes from the count of a word seen; a class of one type only, such as the end, frees nothing."""
+    t, n1, n2 = (np.bincount(classes, weights=x) for x in (types, ones, twos))
+    return np.where(t > 1, np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.05, 0.95), 0.0)
+
 
-    def score(self, t: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: known tokens, base score and score. counts: of the distinct words, in training texts."""
+class Words:
+    """Classes of the items, and what emissions and base scores need: count and discount of each class."""
+
+    def __init__(self, items: Items, classes: np.ndarray, total: np.ndarray, discount: np.ndarray, tokens: int, vocabulary: int, ends: int):
+        self.items, self.classes, self.total, self.discount = items, classes, np.maximum(total, 1), discount
+        self.tokens, self.vocabulary, self.ends = tokens, vocabulary, ends
+
+    def emit(self, t: Tokens, counts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: known tokens, base score and emissions; and the class of each token. counts, own: of the distinct words, in training texts, and their own class or -1."""
         item = np.array([self.items.of(w) for w in t.words] + [0], dtype=np.int64)
-        cls = self.classes[item]
+        cls = np.where(np.append(own, -1) >= 0, np.append(own, -1), self.classes[item])
         c = np.append(counts, self.ends)
         base = np.log10((c + 1) / (self.tokens + self.vocabulary + 1))
         d = self.discount[cls]
         left = np.where(c > 0, c - d, np.where(d > 0, d, 0.5))
         emission = np.log10(left / self.total[cls])
-        now = cls[t.number]
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        before[0] = 0
-        score = emission[t.number] + self.transitions[before, now]
-        return t.per_text((c > 0)[t.number].astype(np.int64)), t.per_text(base[t.number]), t.per_text(score)
+        return t.per_text((c > 0)[t.number].astype(np.int64)), t.per_text(base[t.number]), t.per_text(emission[t.number]), cls[t.number]
 
 
 LEXICON = "block int, h long, ending int, n long"
@@ -233,24 +245,134 @@ def item_bigrams(train: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, words: DataFrame, top: int = TOP) -> ClassModel:
-    """A model of train (text) and the lexicon of its blocks."""
+NEAR = "h long, seed int, near binary"
+COUNT = 40  # bits of a count beside a class
+
+
+def neighbours(train: DataFrame, items: Items, classes: np.ndarray) -> DataFrame:
+    """h, seed, near: each word that isn't an item of its own with its ending's class and the classes beside it in some texts: longs of (side * CLASSES + class) << COUNT | count."""
+    shared = train.sparkSession.sparkContext.broadcast((items, classes))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, classes = shared.value
+        memo = ItemMemo(items)
+        for b in batches(it, 8 << 20):
+            t = Tokens(as_bytes(b["text"]))
+            item = np.array([memo[w] for w in t.words] + [0], dtype=np.int64)
+            now = classes[item][t.number]
+            at = np.flatnonzero((item > len(items.top))[t.number])
+            word = t.number[at] * (2 * CLASSES)
+            before, after = np.append(0, now[:-1])[at], now[np.minimum(at + 1, len(now) - 1)]  # an end follows each text
+            key, n = np.unique(np.concatenate([word + before, word + CLASSES + after]), return_counts=True)
+            word = key // (2 * CLASSES)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            cut = (np.append(first, len(key)) * 8).astype(np.int32)
+            near = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer((key % (2 * CLASSES) << COUNT | n).tobytes())])
+            own = word[first]
+            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[own].view(np.int64)), pa.array(classes[item[own]].astype(np.int32)), near], ["h", "seed", "near"])
+
+    return train.select("text").mapInArrow(count, NEAR)
+
+
+def likeliest(table: np.ndarray, key: np.ndarray, n: np.ndarray, first: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The class of each word by its bigrams: key and n of each class beside it, sorted by words, which begin at first; seed: the class that the table counts it in."""
+    cells = np.concatenate([table, table.T])  # by what stands before a word, then by what stands after it
+    size = np.diff(np.append(first, len(key)))
+    own = np.repeat(seed, size)
+    x = cells[key]
+    gain = plogp(x + n[:, None]) - plogp(x)
+    at = np.arange(len(key))
+    gain[at, own] = plogp(x[at, own]) - plogp(np.maximum(x[at, own] - n, 0))
+    gain = np.add.reduceat(gain, first, axis=0)
+    count = np.add.reduceat(np.where(key < len(table), n, 0), first)
+    word = np.arange(len(first))
+    for total in (table.sum(axis=0), table.sum(axis=1)):
+        loss = plogp(total + count[:, None]) - plogp(total)
+        loss[word, seed] = plogp(total[seed]) - plogp(np.maximum(total[seed] - count, 0))
+        gain -= loss
+    # not the end's class, and none without items: words that move at once would all meet there
+    gain[:, (table.sum(axis=0) == 0) | (np.arange(len(table)) == 0)] = -np.inf
+    best = np.argmax(gain, axis=1)
+    return np.where(gain[word, best] > gain[word, seed] + 1e-6, best, seed)
+
+
+def placed(near: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
+    """h, cls: the class of every word of near() by all its bigrams, given the class bigrams of exchange."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(h: np.ndarray, seed: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
+            word = np.cumsum(np.diff(h, prepend=h[0]) != 0)
+            at, inverse = np.unique(word * (2 * CLASSES) + (entry >> COUNT), return_inverse=True)
+            n = np.bincount(inverse, weights=entry & ((1 << COUNT) - 1))
+            first = np.flatnonzero(np.diff(at // (2 * CLASSES), prepend=-1))
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            cls = likeliest(table, at % (2 * CLASSES), n, first, seed[begin])
+            return pa.RecordBatch.from_arrays([pa.array(h[begin]), pa.array(cls.astype(np.int32))], ["h", "cls"])
+
+        held = [np.empty(0, dtype=np.int64)] * 3
+        for b in it:
+            size = pc.binary_length(b["near"]).to_numpy(zero_copy_only=False) // 8
+            new = [np.repeat(b["h"].to_numpy(), size), np.repeat(b["seed"].to_numpy().astype(np.int64), size), np.frombuffer(b"".join(b["near"].to_pylist()), dtype=np.int64)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on
+            if cut:
+                yield solved(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield solved(*held)
+
+    return near.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "h long, cls int")
+
+
+def fit(train: DataFrame, words: DataFrame, top: int = TOP, parts: int = LEAST_BLOCKS) -> tuple[Words, DataFrame]:
+    """What scores need of train (text) and the lexicon of its blocks; and the lexicon with the class of each word, null for items of their own."""
     own = words.where("first")
     whole = own.agg(F.count("*").alias("types"), F.sum("c").alias("n")).first()
     ends = train.count()
-    items = Items([r["h"] & ((1 << 64) - 1) for r in own.orderBy(F.desc("c"), "h").limit(top).collect()])
-    known = set(items.top)
+    found = [(r["h"], r["c"]) for r in own.orderBy(F.desc("c"), "h").limit(top).collect()]
+    items = Items([h & ((1 << 64) - 1) for h, _ in found])
     bigrams = item_bigrams(train, items)
-    types, ones, twos = (np.zeros(items.size) for _ in range(3))
-    # types of an ending that aren't items of their own
-    signed = [h - (1 << 64) if h >= 1 << 63 else h for h in known]
-    rest = own.where(~F.col("h").isin(signed)) if signed else own
-    for r in rest.groupBy("ending").agg(F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
-        i = 1 + len(items.top) + r["ending"]
-        types[i], ones[i], twos[i] = r["t"], r["n1"], r["n2"]
-    types[: 1 + len(items.top)] = 1
+    classes = exchange(bigrams)
+    one = np.eye(CLASSES)[classes]
+    others = placed(neighbours(train, items, classes), one.T @ bigrams @ one, parts)
+    known = materialize(words.join(others, "h", "left"), "classes")
+    total, types, ones, twos = (np.zeros(CLASSES) for _ in range(4))
+    rest = known.where("first and cls is not null").groupBy("cls")
+    for r in rest.agg(F.sum("c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
+        total[r["cls"]], types[r["cls"]], ones[r["cls"]], twos[r["cls"]] = r["c"], r["t"], r["n1"], r["n2"]
+    np.add.at(total, classes[: 1 + len(found)], [ends, *[c for _, c in found]])
+    np.add.at(types, classes[: 1 + len(found)], 1)
     n = (whole["n"] or 0) + ends
-    return ClassModel(items, exchange(bigrams), bigrams, types, ones, twos, n, whole["types"] + (ends > 0), ends)
+    return Words(items, classes, total, discounts(types, ones, twos, np.arange(CLASSES)), n, whole["types"] + (ends > 0), ends), known
+
+
+def before(now: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Class before each token: that of the end before a text's first."""
+    out = np.append(0, now[:-1])
+    out[np.cumsum(lengths) - lengths] = 0
+    return out
+
+
+def class_bigrams(emitted: DataFrame) -> np.ndarray:
+    """The matrix of class bigram counts over the classes of all training texts."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for b in it:
+            if b.num_rows:
+                now = np.frombuffer(b"".join(b["classes"].to_pylist()), dtype=np.uint8).astype(np.int64)
+                out += np.bincount(before(now, b["n_tokens"].to_numpy()) * CLASSES + now, minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["pair", "n"])
+
+    out = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    pairs = emitted.where("train").select("n_tokens", "classes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in pairs.collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+EMITTED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -259,24 +381,40 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
     rows = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(rest != 2, F.lit(False)).alias("train"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
     words = materialize(lexicon(rows), "lexicon")
-    model = fit(rows.where("train"), words)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of items and classes
+    model, known = fit(rows.where("train"), words, parts=blocks)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(model)  # a fixed number of items and classes
 
     def run(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        m = shared.value
         t = Tokens(as_bytes(texts["text"]))
-        h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
+        h = known["h"].to_numpy().view(np.uint64)
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        counts = np.zeros(len(t.hashes), dtype=np.int64)
+        h = h[order]
+        counts, own = np.zeros(len(t.hashes), dtype=np.int64), np.full(len(t.hashes), -1, dtype=np.int64)
         if len(h):
             at = np.minimum(np.searchsorted(h, t.hashes), len(h) - 1)
-            counts = np.where(h[at] == t.hashes, c[at], 0)
-        n_known, base, score = m.score(t, counts)
-        return pa.table({"doc_id": texts["doc_id"].cast(pa.int64()), "n_tokens": pa.array(t.lengths), "n_known": pa.array(n_known), "base_score": pa.array(base), "score": pa.array(score)})
-
-    got = rows.select("doc_id", "text", "block").groupBy("block").cogroup(words.select("block", "h", "c").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return got.select("doc_id", (F.coalesce(rest, F.lit(0)) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            same = h[at] == t.hashes
+            counts = np.where(same, known["c"].to_numpy()[order][at], 0)
+            own = np.where(same, pc.fill_null(known["cls"], -1).to_numpy()[order][at], -1)
+        n_known, base, emission, now = shared.value.emit(t, counts, own)
+        raw = pa.Array.from_buffers(pa.binary(), len(t.ends), [None, pa.py_buffer(np.append(0, t.ends).astype(np.int32).tobytes()), pa.py_buffer(now.astype(np.uint8).tobytes())])
+        return pa.table({"doc_id": texts["doc_id"].cast(pa.int64()), "train": texts["train"], "n_tokens": pa.array(t.lengths), "n_known": pa.array(n_known), "base_score": pa.array(base), "emission": pa.array(emission), "classes": raw})
+
+    got = rows.groupBy("block").cogroup(known.select("block", "h", "c", "cls").groupBy("block")).applyInArrow(run, EMITTED)
+    emitted = materialize(got, "emitted")
+    ones = np.ones(CLASSES)
+    transitions = context.broadcast(ClassModel(model.items, np.arange(CLASSES), class_bigrams(emitted), ones, ones, ones, model.tokens, model.vocabulary, model.ends).transitions)
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                lengths = b["n_tokens"].to_numpy()
+                now = np.frombuffer(b"".join(b["classes"].to_pylist()), dtype=np.uint8).astype(np.int64)
+                steps = np.add.reduceat(transitions.value[before(now, lengths), now], np.cumsum(lengths) - lengths)  # a text has its end at least
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["n_known"], b["base_score"], pa.array(b["emission"].to_numpy() + steps)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = emitted.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (F.coalesce(rest, F.lit(0)) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
