@@ -94,6 +94,15 @@ def test_language_of_held_out_texts(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_language_sample_counts_copies_once(spark):
+    texts = ["alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa lambda"]
+    d = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    copied = d.orderBy(F.xxhash64("text")).limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("k")
+    got = langid.fit(d.union(copied), rows=4).dictionaries
+    assert got == langid.fit(d, rows=4).dictionaries
+    assert all(t.encode() in got["aa"] for t in texts)
+
+
 def test_language_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     model = langid.fit(langid.learnable(d))

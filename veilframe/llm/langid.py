@@ -66,10 +66,10 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, rows: int = 200, row_bytes: int = 8192, dictionary_bytes: int = 65536, **model: int) -> LanguageModel:
-    """A model of labelled (text, lang). The sample is bounded: rows texts a language, those of the smallest hash, of which row_bytes each are learned."""
+    """A model of labelled (text, lang). The sample is bounded: rows distinct texts a language, those of the smallest hash, of which row_bytes each are learned."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     first = Window.partitionBy("lang").orderBy("h")
-    picked = known.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("h").distinct()
+    picked = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("h").distinct()
     hashes = [r[0] for r in picked.collect()]
     sample = known.where(F.col("h").isin(hashes)).select("lang", "h", F.substring("text", 1, row_bytes).alias("text")).dropDuplicates(["lang", "h"]) if hashes else known.limit(0)
     texts: dict[str, list[tuple[int, bytes]]] = {}
