@@ -427,6 +427,17 @@ def test_contamination_matches_brute_force(spark):
     assert kept == {i for i, t in enumerate(texts) if not (hits(t, items)[1] and 20 * hits(t, items)[1] >= hits(t, items)[0])}
 
 
+def test_contamination_in_blocks_keeps_every_row(spark):
+    items = [(i, " ".join(f"w{i * 20 + k}" for k in range(15))) for i in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = "nothing of it here"
+    d = spark.createDataFrame([(1, items[0][1]), (1, clean), (1, clean), (None, items[1][1]), (None, "x " + items[2][1]), (None, clean)], "doc_id long, text string")
+    inner = d.select(F.struct("*").alias("row"), "text")
+    for key, docs in (("doc_id", d), ("row", inner)):
+        one, many = (sorted(map(repr, rows(decontam.hit_spans(docs, bench, key, block_bytes=b)))) for b in (decontam.BLOCK_BYTES, 100))
+        assert len(one) == d.count() and one == many
+
+
 def test_contamination_of_awkward_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
     d = awkward(spark)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, docs_table, small_batches
+from .common import as_bytes, batches, docs_table, materialize, small_batches
 
 WINDOW = 13
 #: Bytes of text indexed at once by a task.
@@ -203,17 +203,20 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, key: str, window: int = WIN
     """key, n_words, spans (word ranges to remove, merged) and items (ids hit, as strings) for every row of docs (key, text)."""
     size = benchmark.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
-    parts = []
-    for b in range(blocks):
-        items = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        phrases = Phrases([(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator()], window)
-        parts.append(_search(docs, phrases, key))
     if blocks == 1:
-        return parts[0]
+        return _search(docs, _phrases(benchmark, window), key)
+    # written, so that a row has the same number for every block; ids may repeat or be null
+    rows = materialize(docs.select(key, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = [_search(rows, _phrases(benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b), window), "_row") for b in range(blocks)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy(key).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", merged("spans"))
+    found = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("_row", key).join(found, "_row").select(key, "n_words", merged("spans").alias("spans"), "items")
+
+
+def _phrases(items: DataFrame, window: int) -> Phrases:
+    return Phrases([(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator()], window)
 
 
 def merged(spans: str):
