@@ -239,6 +239,18 @@ def test_pseudonyms_permute_dates_and_octets(spark):
     assert ips.nunique() == 2000
 
 
+def test_pseudonyms_of_forms_that_the_detectors_accept(spark):
+    values = ["8.8.8.8", "12-03-2024", "3/4/24", "29-02-24", "415 555 0100", "+1 2 3 4 5 6 7 8", "9876543210", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "abcdEFGH.ijkl~mnop/qr", "abcd-efgh-ijkl-mnop"]
+    before = {8: "Bearer ", 9: 'api_key = "'}
+    texts = [f"so {before.get(i, '')}{v} there" for i, v in enumerate(values)] + ["at 2024-03-01T10:00 there", "so 8.8.8.8 and 77 there"]
+    got = rows(pii.pseudonymized(documents(spark, texts), "k").orderBy("doc_id"))
+    assert [r["n_pii"] for r in got] == [1] * len(texts)
+    assert not any(v in r["text"] for v, r in zip([*values, "2024-03-01", "8.8.8.8"], got, strict=True))
+    assert got[-1]["text"].split()[1] == got[0]["text"].split()[1] and got[-2]["text"].endswith("T10:00 there")
+    days = spark.range(0, 3000).selectExpr("date_format(date_add(to_date('2001-01-01'), cast(id as int)), 'MM-dd-yy') AS s").select(pii.date(F.col("s"), "k").alias("v")).toPandas().v
+    assert days.nunique() == 3000 and days.str.match(r"^\d\d-\d\d-\d\d$").all()
+
+
 def test_pseudonyms_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     got = pii.pseudonymized(d, "k")

@@ -29,17 +29,17 @@ _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 # The formats. Each begins where no longer value of its kind can and so is tried once a word.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{20,}+|sk-(?:live|test)-[A-Za-z0-9]{16,}+|xox[abps]-[A-Za-z0-9-]{10,}+|(?<=token = \")[A-Za-z0-9]{16,}+|(?<=password=)[A-Za-z0-9]{8,}+)(?![A-Za-z0-9_-])"
+SECRET = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{20,}+|sk-(?:live|test)-[A-Za-z0-9]{16,}+|xox[abps]-[A-Za-z0-9-]{10,}+|(?<=token = \")[A-Za-z0-9]{16,}+|(?<=password=)[A-Za-z0-9]{8,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|(?<=Bearer\s{1,8})[A-Za-z0-9._~+/=-]{16,}+|(?<=(?i:api[_-]?key)\s{0,8}[:=]\s{0,8}['\"]?)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
 IBAN = _L + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _R
-PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _R
+PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{4}|\+[0-9][0-9\s().-]{6,18}[0-9]|(?:91|0)?[6-9][0-9]{9})" + _R
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
-DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _R
+DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![A-Za-z0-9_])|(?=T[0-9]))|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9_])|(?<![0-9][/-])[0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{4}|[0-9]{2})(?![A-Za-z0-9_]|[/-][0-9]))"
 IPV4 = r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])"
 CARD = _L + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ssn": SSN, "date": DATE, "ip": IPV4, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 #: What every value holds; texts without it aren't searched further.
-GATE = r"[0-9]{2}|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
+GATE = r"[0-9]{2}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
 
 
 def chars(s: Column) -> Column:
@@ -104,12 +104,13 @@ def ip(s: Column, key: str) -> Column:
 
 
 def ymd(s: Column) -> Column:
-    """Year, month and day of a date's text; month first where there are slashes, unless only day first fits."""
+    """Year, month and day of a date's text; month first where the year is last, unless only day first fits. A year of two digits is of 2000-2099."""
     p = F.transform(F.split(s, "[-/]"), lambda x: x.cast("int"))
-    iso = s.contains("-")
+    iso = s.rlike("^[0-9]{4}-")
+    short = ~iso & s.rlike("[/-][0-9]{2}$")
     swap = ~iso & (p[0] > 12)
-    y, m, d = F.when(iso, p[0]).otherwise(p[2]), F.when(iso, p[1]).when(swap, p[1]).otherwise(p[0]), F.when(iso, p[2]).when(swap, p[0]).otherwise(p[1])
-    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), iso.alias("iso"), swap.alias("swap"))
+    y, m, d = F.when(iso, p[0]).when(short, p[2] + 2000).otherwise(p[2]), F.when(iso, p[1]).when(swap, p[1]).otherwise(p[0]), F.when(iso, p[2]).when(swap, p[0]).otherwise(p[1])
+    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), iso.alias("iso"), swap.alias("swap"), short.alias("short"), F.regexp_extract(s, "^[0-9]+([/-])", 1).alias("a"), F.regexp_extract(s, "([/-])[0-9]+$", 1).alias("b"))
 
 
 def is_date(s: Column) -> Column:
@@ -121,26 +122,27 @@ def date(s: Column, key: str) -> Column:
 
     def index(x: Column) -> Column:
         near = x["y"].between(1900, 2099)
-        year = F.when(near, x["y"] - 1900).when(x["y"] < 1900, x["y"]).otherwise(x["y"] - 200)
+        year = F.when(x["short"], x["y"] - 2000).when(near, x["y"] - 1900).when(x["y"] < 1900, x["y"]).otherwise(x["y"] - 200)
         # day of a year without 29 February
         day = F.dayofyear(F.make_date(F.lit(2001), x["m"], F.when(leap_day(x), 28).otherwise(x["d"]))) - 1
         return F.array(
-            F.struct(F.lit(0).alias("base"), F.when(near, 200).otherwise(9800).cast("int").alias("radix"), year.cast("int").alias("value")),
+            F.struct(F.lit(0).alias("base"), F.when(x["short"], 100).when(near, 200).otherwise(9800).cast("int").alias("radix"), year.cast("int").alias("value")),
             F.struct(F.lit(0).alias("base"), F.lit(365).alias("radix"), day.cast("int").alias("value")),
         )
 
     def text(x: Column, y: Column, m: Column, d: Column) -> Column:
         two, four = (lambda v: F.lpad(v.cast("string"), 2, "0")), F.lpad(y.cast("string"), 4, "0")
-        return F.when(x["iso"], F.concat_ws("-", four, two(m), two(d))).when(x["swap"], F.concat_ws("/", two(F.greatest(d, F.lit(1))), two(m), four)).otherwise(F.concat_ws("/", two(m), two(d), four))
+        last = F.when(x["short"], two(y % 100)).otherwise(four)
+        return F.when(x["iso"], F.concat_ws("-", four, two(m), two(d))).when(x["swap"], F.concat(two(F.greatest(d, F.lit(1))), x["a"], two(m), x["b"], last)).otherwise(F.concat(two(m), x["a"], two(d), x["b"], last))
 
     def whole(x: Column) -> Column:
         def back(v: Column) -> Column:
-            year = F.when(x["y"].between(1900, 2099), v[0]["value"] + 1900).when(v[0]["value"] < 1900, v[0]["value"]).otherwise(v[0]["value"] + 200)
+            year = F.when(x["short"], v[0]["value"] + 2000).when(x["y"].between(1900, 2099), v[0]["value"] + 1900).when(v[0]["value"] < 1900, v[0]["value"]).otherwise(v[0]["value"] + 200)
             on = F.date_add(F.to_date(F.lit("2001-01-01")), v[1]["value"])
             return text(x, year, F.month(on), F.dayofmonth(on))
 
-        # leap years of 1904-2096 in turn
-        leap = ((F.floor((x["y"] - 1904) / 4) + prf(key, "leap")) % 49) * 4 + 1904
+        # leap years of 1904-2096 (of two digits: 2000-2096) in turn
+        leap = F.when(x["short"], ((F.floor((x["y"] - 2000) / 4) + prf(key, "leap")) % 25) * 4 + 2000).otherwise(((F.floor((x["y"] - 1904) / 4) + prf(key, "leap")) % 49) * 4 + 1904)
         return F.when(leap_day(x), text(x, leap, F.lit(2), F.lit(29))).otherwise(let(feistel(index(x), key, "date"), back))
 
     return let(ymd(s), whole)
@@ -150,7 +152,7 @@ def pseudonym(s: Column, key: str) -> Column:
     """kind and pseudonym of a value found; the kind is null and the value as it was if it fails its check."""
     of = {k: s.rlike(f"^(?:{p})$") for k, p in KINDS.items() if k != "secret"}
     email = F.concat(permuted(F.regexp_extract(s, r"^(.*)(\.[^.]*)$", 1), key, "email"), F.regexp_extract(s, r"^(.*)(\.[^.]*)$", 2))
-    head = r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?(.*)$"
+    head = r"(?s)^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?(.*)$"
     phone = F.concat(F.regexp_extract(s, head, 1), permuted(F.regexp_extract(s, head, 2), key, "phone"))
     low = F.forall(F.split(s, "\\."), lambda x: F.coalesce(x.try_cast("int") <= 255, F.lit(False)))
     kind = (
@@ -161,7 +163,7 @@ def pseudonym(s: Column, key: str) -> Column:
         .when(of["card"], F.when(luhn(s), "card").when(of["phone"], "phone"))
         .when(of["iban"] & (F.length(s) <= 34), F.when(mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1, "iban"))
         .when(of["phone"], "phone")
-        .when(s.rlike("^[A-Za-z0-9_-]+$"), "secret")
+        .when(s.rlike("^[A-Za-z0-9._~+/=-]+$"), "secret")
     )
     new = {"email": email, "ip": ip(s, key), "date": date(s, key), "ssn": permuted(s, key, "ssn"), "card": card(s, key), "iban": iban(s, key), "phone": phone, "secret": permuted(s, key, "secret")}
 
