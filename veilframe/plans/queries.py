@@ -415,10 +415,20 @@ b AS (SELECT l_orderkey AS i, l_linenumber AS bx, l_partkey % 6 AS byy, l_suppke
 SELECT image_id, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM b WHERE i = image_id AND x >= bx AND x < bx + bw AND y >= byy AND y < byy + bh) THEN 1 ELSE 0 END) AS BIGINT) AS black, CAST(count(*) AS BIGINT) AS pixels FROM p GROUP BY image_id
 """)
 def pixel_redact_check(spark: SparkSession, sf: str) -> DataFrame:
-    """The pixel grid of a bounded number of generated images."""
+    """The pixel grid of a bounded number of generated images; pixel_redact_all has all."""
+    return _blacked(spark, sf, table(spark, sf, "orders").where("o_orderkey <= 40"))
+
+
+@query()
+def pixel_redact_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixel grids of all orders' generated images."""
+    return _blacked(spark, sf, table(spark, sf, "orders"))
+
+
+def _blacked(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame:
     from ..operators.images import pixels_blacked
 
-    ids = table(spark, sf, "orders").where("o_orderkey <= 40").select(F.col("o_orderkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("p"))
+    ids = orders.select(F.col("o_orderkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("p"))
     px = ids.select("image_id", (F.col("p") % 12).alias("x"), F.floor(F.col("p") / 12).cast("int").alias("y"), *[F.lit(255).alias(c) for c in "rgba"])
     boxes = table(spark, sf, "lineitem").selectExpr("l_orderkey AS image_id", "cast(l_linenumber as int) AS x", "cast(l_partkey % 6 as int) AS y", "cast(l_suppkey % 4 as int) AS w", "3 AS h")
     return pixels_blacked(px, boxes).groupBy("image_id").agg(F.sum(F.when(F.col("r") == 0, 1).otherwise(0)).alias("black"), F.count("*").alias("pixels"))
