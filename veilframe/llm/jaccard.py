@@ -6,14 +6,21 @@ not none, has one element, the run of all. Documents of equal sets form a class;
 Each class gets a sketch: one-permutation minimum hashes in 512 bins, empty bins filled from others. A run of the join
 picks sketch positions, each with a chance that makes 1 / similarity picks on average, and puts the class in a bucket
 for each pick and its value. Buckets of more than a few classes are split again in the same way, on positions picked
-anew for each bucket; small ones are compared by brute force: sizes, then the estimate from one bit of each position.
-Runs are repeated until a pair at the least similarity is met with the target recall, counted at the deepest level.
-Buckets that the last level leaves large are cut into chunks and each two chunks compared, so nothing is dropped. A
-bucket sends the links of a forest, not its pairs. Classes that these hold together are a family; in it all pairs are
-proven on the whole sets and counted where the sets are. Large families are cut into chunks as well.
-
-Null and empty texts have no set and link with nothing. Repeated rows are rows of one class. A null id stays null and
-is never the smallest. An empty table gives no rows. Extra columns are kept by keep_first(), whatever their names.
+anew for each bucket, to a depth that grows with the logarithm of the documents; small ones are compared by brute force:
+sizes, then the estimate from one bit of each position. Runs are repeated until a pair at the least similarity is met
+with the target recall, counted at the deepest level.
+
+A group of very many near copies stays together however often its bucket is split. So the largest buckets are first cut
+into chunks and what is near within a chunk is put in one group; as a class is in many buckets, chunks join up. Pairs
+inside a group need no further search, and a bucket of one group only is done. What the last level leaves large is cut
+into chunks of the group of its smallest class and of others, and each two chunks that aren't both of that group are
+compared, so nothing is dropped. A task sends the links of a forest, not pairs. Classes that these hold together are a
+family; in it all pairs are proven on the whole sets and counted where the sets are. Large families are cut into chunks.
+
+Null and empty texts have no set, link with nothing and are all kept. Repeated rows are rows of one class; of rows alike
+in id and text keep_first() keeps one. A null id stays null and counts as the largest; rows that share an id or have
+none are told apart by their texts. An empty table gives no rows. Extra columns are kept by keep_first(), whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,14 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS as KNOWN
-from .common import as_bytes, docs_table, materialize, mix, small_batches, windows, word_hashes
-from .components import components, forest
+from .common import WORD, Texts, as_bytes, docs_table, materialize, mix, release, small_batches, windows
+from .components import Forest, components, forest
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 BINS, SPLIT_BINS = 512, 128
-#: Classes in a bucket that is compared by brute force, and levels of splitting.
-SMALL, LEVELS = 64, 3
+#: Classes in a bucket that is compared by brute force; in one that is cut into chunks; of a chunk in which groups are looked for.
+SMALL, LARGE, CHUNK = 64, 256, 512
 #: Classes of a family, and their elements, proven together; a larger family is cut and each two parts are proven.
 PROOF, PROOF_WORDS = 1024, 1 << 19
 
@@ -43,26 +49,36 @@ _FILL = _rng.integers(0, BINS, (BINS, 32))
 _BIT = _rng.integers(1, 1 << 63, BINS, dtype=np.uint64)
 
 
-def runs(similarity: float, recall: float, levels: int = LEVELS) -> int:
+def levels(documents: int) -> int:
+    """Levels of splitting: three, and one more for each hundredfold of a million documents."""
+    return 3 + max(0, math.ceil(math.log(max(1, documents) / 1e6, 100)))
+
+
+def runs(recall: float, depth: int) -> int:
     """Runs until a pair at the least similarity is met with the recall, where each level keeps it with the chance of a branching process of mean 1."""
     kept = 1.0
-    for _ in range(levels):
+    for _ in range(depth):
         kept = 1 - math.exp(-kept)
     return math.ceil(math.log(1 - recall) / math.log(1 - kept))
 
 
-def picks(similarity: float, recall: float) -> list[tuple[int, int]]:
+def picks(similarity: float, recall: float, depth: int) -> list[tuple[int, int]]:
     """(run, position) of the first level; the same for all classes."""
     rng = np.random.default_rng(97)
-    return [(r, int(p)) for r in range(runs(similarity, recall)) for p in np.flatnonzero(rng.random(BINS) < 1 / (similarity * BINS))]
-
-
-def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-grams, mixed."""
-    words = text.split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(mix(windows(word_hashes(words, KNOWN), min(n, len(words)))))
+    return [(r, int(p)) for r in range(runs(recall, depth)) for p in np.flatnonzero(rng.random(BINS) < 1 / (similarity * BINS))]
+
+
+def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-grams, mixed."""
+    t = Texts(texts)
+    whole = mix(t.runs(n))
+    out = []
+    for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True):
+        if b - a >= n:
+            out.append(np.unique(whole[a : b - n + 1]))
+        else:
+            out.append(mix(windows(t.hashes[a:b], b - a)) if b > a else np.empty(0, dtype=np.uint64))
+    return out
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -89,9 +105,9 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, d (class), n (set size), bits, parts (16 bits of some positions) and keys (buckets of the first level); d is null without words."""
-    chosen = picks(similarity, recall)
+def features(docs: DataFrame, similarity: float, recall: float, depth: int) -> DataFrame:
+    """doc_id, k (hash of id and text), d (class), n (set size), bits, parts (16 bits of some positions) and keys (buckets of the first level); d is null without words."""
+    chosen = picks(similarity, recall, depth)
     place = np.array([p for _, p in chosen])
     salt = mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))
 
@@ -100,8 +116,7 @@ def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 rows = []
-                for text in as_bytes(pa.chunked_array([part["text"]])):
-                    found = shingles(text)
+                for found in shingle_sets(as_bytes(pa.chunked_array([part["text"]]))):
                     if len(found):
                         s = sketch(found)
                         bits = np.packbits((mix(s ^ _BIT) & np.uint64(1)).astype(bool)).tobytes()
@@ -110,15 +125,21 @@ def features(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
                         rows.append((None, 0, None, None, None))
                 d, n, bits, parts, keys = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(parts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "d", "n", "bits", "parts", "keys"],
+                    [part["doc_id"], part["k"], pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(parts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "k", "d", "n", "bits", "parts", "keys"],
                 )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d binary, n int, bits binary, parts binary, keys array<long>")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), "text")
+    return rows.mapInArrow(run, "doc_id long, k long, d binary, n int, bits binary, parts binary, keys array<long>")
+
+
+def row_key():
+    """k: what tells rows apart, alike only for rows alike in id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (key, d) of buckets with two classes at least, with the bucket's size."""
+    """Rows (key, c) of buckets with two classes at least, with the bucket's size."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return rows.join(sizes, "key")
 
@@ -138,45 +159,114 @@ def _split(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
                 own = mix(key[i : i + 2000, None] ^ places)
                 row, at = np.nonzero(own < chance)
                 new = mix(own[row, at] + parts[i + row, at])
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), b["d"].take(pa.array(i + row))], ["key", "d"])
-
-    return rows.select("key", "d").join(classes.select("d", "parts"), "d").mapInArrow(run, "key long, d binary").distinct()
-
-
-def leaves(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key, d, part, other: the buckets to compare by brute force. Where other isn't part, only classes of different parts are."""
-    rows = classes.select(F.explode("keys").alias("key"), "d")
-    out = None
-    for level in range(1, LEVELS + 1):
-        rows = materialize(_counted(rows), f"level{level}")
-        small = rows.where(F.col("size") <= SMALL) if level < LEVELS else rows
-        out = small if out is None else out.unionByName(small)
-        if level < LEVELS:
-            rows = _split(rows.where(F.col("size") > SMALL), classes, similarity)
-    chunks = F.ceil(F.col("size") / (4 * SMALL)).cast("int")
-    part = F.pmod(F.xxhash64("d"), chunks).cast("int")
-    one = out.where(F.col("size") <= 4 * SMALL).select("key", "d", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    many = out.where(F.col("size") > 4 * SMALL).withColumn("part", part).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    many = many.select("key", "d", "part", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"))
-    return one.unionByName(many)
-
-
-def near(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links that hold together the classes whose estimate isn't below the least similarity by four standard deviations; for each bucket a forest, not all pairs."""
-    spark = classes.sparkSession
-    rows = materialize(leaves(classes, similarity), "leaves")
-    # a bucket or a couple of chunks goes to one task; it holds some hundreds of classes at most
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.join(classes.select("d", "n", "bits"), "d").withColumn("bucket", F.xxhash64("key", "low", "high")).repartition(n, "bucket").sortWithinPartitions("bucket")
-    dealt = dealt.select("bucket", (F.col("low") != F.col("high")).alias("cross"), "part", "d", "n", "bits")
+                at = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), b["c"].take(at), b["g"].take(at)], ["key", "c", "g"])
+
+    return rows.select("key", "c", "g").join(classes.select("c", "parts"), "c").mapInArrow(run, "key long, c long, g long").distinct()
+
+
+def _dealt(rows: DataFrame, classes: DataFrame, bucket, *more: str) -> DataFrame:
+    """rows (c and what bucket needs) with n and bits, each bucket whole in one task and sorted; buckets are of some hundreds of classes at most."""
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    out = rows.join(classes.select("c", "n", "bits"), "c").withColumn("bucket", bucket).select("bucket", *more, "c", "n", "bits")
+    return out.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+def groups(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: near classes found within chunks of the largest buckets (key, c, size), each linked to its group's smallest."""
+    chunk = F.pmod(F.xxhash64("key", "c"), F.ceil(F.col("size") / CHUNK))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Forest()
         for t in grouped(it, "bucket"):
-            links = forest(compare(t, similarity))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+            f.add(pivoted(t, similarity))
+        yield from f.sent()
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return components(_dealt(rows, classes, F.xxhash64("key", chunk)).mapInArrow(run, "a long, b long"))
+
+
+def pivoted(t: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of estimates not below the similarity in each bucket of a table: each class reached is compared with those not yet reached."""
+    bucket, ids, n = (t[c].to_numpy() for c in ("bucket", "c", "n"))
+    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 64)
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)), len(bucket))
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        left = np.arange(i, j)
+        while len(left) > 1:
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                v = todo.pop()
+                near = (np.minimum(n[left], n[v]) >= similarity * np.maximum(n[left], n[v])) & (1 - 2 * np.bitwise_count(bits[left] ^ bits[v]).sum(axis=1) / BINS >= similarity)
+                hit = left[near].tolist()
+                todo += hit
+                left = left[~near]
+                yield from ((int(ids[v]), int(ids[w])) for w in hit)
+
+
+def leaves(classes: DataFrame, similarity: float, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """The buckets to compare by brute force: key, c, part, low, high (where low isn't high, only classes of different parts are compared); and the links of groups, if any were looked for."""
+    rows = materialize(_counted(classes.select(F.explode("keys").alias("key"), "c")), "level1")
+    tables, found = [rows], None
+    out = rows.where(F.col("size") <= SMALL).select("key", "c")
+    large = rows.where(F.col("size") > SMALL)
+    if large.isEmpty():
+        return _chunks(out), None
+    widest = large.where(F.col("size") > LARGE)
+    if widest.isEmpty():
+        large = large.withColumn("g", F.col("c"))
+    else:
+        found = groups(widest, classes, similarity)
+        own = found.select(F.col("a").alias("c"), F.col("b").alias("_g"))
+        large = _several(large.join(own, "c", "left").withColumn("g", F.coalesce("_g", "c")).drop("_g"))
+    rest = None
+    for level in range(2, depth + 1):
+        rows = materialize(_several(_counted(_split(large, classes, similarity))), f"level{level}")
+        tables.append(rows)
+        out = out.unionByName(rows.where(F.col("size") <= (LARGE if level == depth else SMALL)).select("key", "c"))
+        large = rows.where(F.col("size") > SMALL)
+        rest = rows.where(F.col("size") > LARGE)
+    made = materialize(_chunks(out, rest), "leaves")
+    release(*tables)
+    return made, found
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold classes of two groups at least."""
+    seen = rows.groupBy("key").agg(F.min("g").alias("_l"), F.max("g").alias("_h")).where("_l < _h").select("key")
+    return rows.join(seen, "key", "left_semi")
+
+
+def _chunks(whole: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """key, c, part, low, high: whole buckets, and chunks of the rest: those of the group of a bucket's smallest class meet all others', and these each other's."""
+    zero = F.lit(0)
+    out = whole.select("key", "c", zero.alias("part"), zero.alias("low"), zero.alias("high"))
+    if rest is None:
+        return out
+    main = rest.groupBy("key").agg(F.min(F.struct("c", "g"))["g"].alias("main"), F.count("*").alias("size"))
+    sizes = rest.join(main.select("key", "main"), "key").groupBy("key", "main").agg(F.count_if(F.col("g") == F.col("main")).alias("same"), F.count_if(F.col("g") != F.col("main")).alias("others"))
+    others = F.ceil(F.col("others") / LARGE).cast("int")
+    same = F.ceil(F.col("same") / LARGE).cast("int")
+    r = rest.select("key", "c", "g").join(sizes, "key").withColumn("is_main", F.col("g") == F.col("main"))
+    # others are numbered from 0, the main group from there on
+    r = r.withColumn("part", F.when(F.col("is_main"), others + F.pmod(F.xxhash64("c"), same)).otherwise(F.pmod(F.xxhash64("c"), others)).cast("int"))
+    last = F.when(F.col("is_main"), others - 1).otherwise(others + same - 1)
+    r = r.withColumn("o", F.explode(F.sequence(zero, last)))
+    return out.unionByName(r.select("key", "c", "part", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high")))
+
+
+def near(classes: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """a, b: links that hold together the classes whose estimate isn't below the least similarity by four standard deviations; for each task a forest, not all pairs."""
+    rows, found = leaves(classes, similarity, depth)
+    dealt = _dealt(rows.withColumn("cross", F.col("low") != F.col("high")), classes, F.xxhash64("key", "low", "high"), "cross", "part")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Forest()
+        for t in grouped(it, "bucket"):
+            f.add(compare(t, similarity))
+        yield from f.sent()
+
+    out = dealt.mapInArrow(run, "a long, b long")
+    return out if found is None else out.unionByName(found)
 
 
 def grouped(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -199,11 +289,11 @@ def grouped(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def compare(t: pa.Table, similarity: float) -> Iterator[tuple[bytes, bytes]]:
+def compare(t: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
     """Brute force in each bucket of a table sorted by bucket: rows i and i + k, for k = 1, 2, ... while any bucket is that long."""
     bucket, part, n = (t[c].to_numpy() for c in ("bucket", "part", "n"))
     cross = t["cross"].to_numpy(zero_copy_only=False).astype(bool)
-    ids = t["d"].to_pylist()
+    ids = t["c"].to_pylist()
     bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 64)
     effective = BINS * (1 - np.exp(-n / BINS))
     at = np.arange(len(bucket))
@@ -225,16 +315,15 @@ def compare(t: pa.Table, similarity: float) -> Iterator[tuple[bytes, bytes]]:
 def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, links: for each class a its links to others by whole sets, in parts to be summed, and a link to b that holds a family's linked classes together (null where it is the smallest).
 
-    families: a (class) and b (its family). classes: d, n, m (documents), first (a document's id). All pairs of a family
-    are compared where its sets are; they are counted, not sent.
+    families: a (class) and b (its family). classes: c, d, n, m (documents), k (the row of one of its documents). All
+    pairs of a family are compared where its sets are; they are counted, not sent.
     """
-    members = families.union(families.select("b", "b").distinct()).toDF("d", "family").join(classes.select("d", "n", "m", "first"), "d")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PROOF), F.ceil(F.sum("n") / PROOF_WORDS)).cast("int").alias("k"))
-    members = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("d"), F.col("k")).cast("int"))
-    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = members.select("d", "m", "first", "part", F.xxhash64("family", F.least("part", "o"), F.greatest("part", "o")).alias("g"), (F.col("part") != F.col("o")).alias("cross"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    rows = members.join(texts, F.col("first").eqNullSafe(F.col("_id"))).select("g", "cross", "part", "d", "m", "text")
+    members = families.union(families.select("b", "b").distinct()).toDF("c", "family").join(classes.select("c", "d", "n", "m", "k"), "c")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PROOF), F.ceil(F.sum("n") / PROOF_WORDS)).cast("int").alias("parts"))
+    members = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("c", "d", "m", "k", "part", F.xxhash64("family", F.least("part", "o"), F.greatest("part", "o")).alias("g"), (F.col("part") != F.col("o")).alias("cross"))
+    rows = members.join(docs.select(row_key(), F.col("text").cast("binary").alias("text")), "k").select("g", "cross", "part", "c", "d", "m", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,18 +334,19 @@ def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
                 yield from prove(rows, similarity)
 
         for b in it:
-            for g, cross, part, d, m, text in zip(*(b[c].to_pylist() for c in ("g", "cross", "part", "d", "m", "text")), strict=True):
+            texts = shingle_sets(as_bytes(pa.chunked_array([b["text"]])))
+            for g, cross, part, c, d, m, found in zip(*(b[x].to_pylist() for x in ("g", "cross", "part", "c", "d", "m")), texts, strict=True):
                 if g != group:
                     yield from done()
                     group, rows = g, {}
-                if d not in rows and digest(found := shingles(text or b"")) == d:
-                    rows[d] = (found, m, part if cross else None)
+                if c not in rows and digest(found) == d:
+                    rows[c] = (found, m, part if cross else None)
         yield from done()
 
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary, links long")
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, links long")
 
 
-def prove(rows: dict[bytes, tuple], similarity: float) -> Iterator[pa.RecordBatch]:
+def prove(rows: dict[int, tuple], similarity: float) -> Iterator[pa.RecordBatch]:
     """All pairs of some sets: how many elements they share by products of blocks of their incidence matrix."""
     ids = sorted(rows)
     sets = [rows[d][0] for d in ids]
@@ -287,32 +377,44 @@ def prove(rows: dict[bytes, tuple], similarity: float) -> Iterator[pa.RecordBatc
     i, j = np.nonzero(np.triu(linked))
     roots = dict(forest(zip(i.tolist(), j.tolist(), strict=True)))
     at = np.flatnonzero(links)
-    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in at], pa.binary()), pa.array([ids[roots[x]] if x in roots else None for x in at.tolist()], pa.binary()), pa.array(links[at])], ["a", "b", "links"])
+    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in at], pa.int64()), pa.array([ids[roots[x]] if x in roots else None for x in at.tolist()], pa.int64()), pa.array(links[at])], ["a", "b", "links"])
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """A row for each document: doc_id, class_id (smallest doc_id of equal sets), component_id (smallest reached by links), n_links, kept."""
-    found = materialize(features(docs, similarity, recall), "features")
-    counts = found.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
-    classes = materialize(found.where("d is not null").drop("doc_id").dropDuplicates(["d"]).join(counts, "d"), "classes")
-    families = components(near(classes, similarity))
+def joined(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """A row for each document: doc_id, k, class_id (smallest doc_id of equal sets), component_id (smallest reached by links), n_links, kept; d is null without words."""
+    depth = levels(docs.count())
+    found = materialize(features(docs, similarity, recall, depth), "features")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    per = found.where("d is not null").groupBy("d").agg(F.min(first).alias("first"), F.count("*").alias("m"), F.first(F.struct("n", "bits", "parts", "keys")).alias("x"))
+    classes = materialize(per.select("d", "first", "first.k", "m", "x.*").withColumn("c", F.monotonically_increasing_id()), "classes")
+    families = components(near(classes, similarity, depth))
     links = materialize(proven(families, classes, docs, similarity), "links")
-    roots = components(links.where("b is not null")).select(F.col("a").alias("d"), F.col("b").alias("root"))
-    of = classes.select("d", "first", "m").join(links.groupBy(F.col("a").alias("d")).agg(F.sum("links").alias("near")), "d", "left")
-    of = of.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(smallest, "root").select("d", F.col("first").alias("class_id"), "component_id", (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    out = found.select("doc_id", "d").join(of, "d", "left")
-    first = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), first.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.eqNullSafe(F.col("doc_id")).alias("kept"))
+    roots = components(links.where("b is not null")).select(F.col("a").alias("c"), F.col("b").alias("root"))
+    of = classes.select("c", "d", "first", "m").join(links.groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("near")), "c", "left")
+    of = materialize(of.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "of")
+    least = materialize(of.groupBy("root").agg(F.min("first").alias("least")), "least")
+    of = materialize(of.join(least, "root").select("d", F.col("first.doc_id").alias("class_id"), "least", (F.col("m") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "classified")
+    out = found.select("doc_id", "k", "d").join(of, "d", "left")
+    release(families, links)
+    alone = F.col("least").isNull()
+    return out.select(
+        "doc_id", "k", "d", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("least.k") == F.col("k"))).alias("kept"),
+    )
+
+
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """A row for each document: doc_id, class_id, component_id, n_links, kept (that of its component's smallest id; rows alike in id and text alike)."""
+    return joined(docs, similarity, recall).select("doc_id", "class_id", "component_id", "n_links", "kept")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """docs with one document of each group that links hold together: that of the smallest id, and of rows that repeat it one. All columns as they were."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"))
-    kept = jaccard_join(docs, similarity, recall).where("kept").groupBy("doc_id").agg(F.count("*").alias("copies")).withColumnRenamed("doc_id", "_kept")
-    out = own.join(kept, F.col("_id").eqNullSafe(F.col("_kept")))
-    return out.where(F.col("_id").isNull() | (F.col("copies") == 1)).unionByName(out.where(F.col("_id").isNotNull() & (F.col("copies") > 1)).dropDuplicates(["_id"])).select("row.*")
+    """docs with one document of each group that links hold together: that of the smallest id, and of rows that repeat it one. All columns as they were; rows without words stay."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
+    kept = joined(docs, similarity, recall).where("kept and d is not null").groupBy("k").agg(F.count("*").alias("copies"))
+    out = own.where("_words").join(kept, "k")
+    one, many = out.where("copies = 1"), out.where("copies > 1").dropDuplicates(["k"])
+    return one.unionByName(many).unionByName(own.where("not _words").select("row", "k", "_words", F.lit(1).cast("long").alias("copies"))).select("row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
