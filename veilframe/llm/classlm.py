@@ -12,8 +12,8 @@ class frequencies (Witten-Bell), a word's emission is discounted, and what that
 the class has seen ones.
 
 Documents are dealt to blocks of a bounded size. A block sends each of its distinct words once, as a 64-bit hash with
-its count in training texts; the sums and classes come back to the block and meet its texts. A word of all documents gives a row per
-block.
+its count in training texts; sums are added up before the shuffle, and go back to the blocks by a join whose large
+partitions Spark splits, so a word of all documents gives a row per block and not one task's load.
 
 A null text is empty: one token, its end. Rows with a null id are scored but not learned from. Repeated rows count and
 are scored each. Without training texts nothing is known: base scores divide by the one unknown type, and the model's
@@ -25,73 +25,67 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, WordHash, as_bytes, batches, block_of, docs_table, fold_of, materialize, small_batches, text_bytes, word_hashes
+from .common import Texts, as_bytes, batches, dealt, docs_table, fold_of, hashed_ranges, materialize, release, small_batches
 
-#: Words that are items of their own, items for endings, bytes of an ending, classes, sweeps of the exchange.
+#: Words that are items of their own, items for endings, characters of an ending, classes, sweeps of the exchange.
 TOP, ENDINGS, ENDING, CLASSES, SWEEPS = 1500, 512, 3, 64, 8
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
-
-
-def ending(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-ENDING:]) % ENDINGS
-
-
-class Items:
-    """Word to item: 0 is the end, then the top words by hash, then endings."""
-
-    def __init__(self, top: list[int]):
-        self.top = {h: i + 1 for i, h in enumerate(top)}
-        self.size = 1 + len(top) + ENDINGS
-
-    def of(self, word: bytes) -> int:
-        return self.top.get(xxhash.xxh3_64_intdigest(word)) or 1 + len(self.top) + ending(word)
-
-
-class ItemMemo(dict):
-    def __init__(self, items: Items):
-        super().__init__()
-        self.items = items
-
-    def __missing__(self, word: bytes) -> int:
-        i = self.items.of(word)
-        if len(self) < WordHash.LIMIT:
-            self[word] = i
-        return i
-
-
 class Tokens:
     """The words of some texts in a row with an end after each: distinct words and their places."""
 
     def __init__(self, texts: list[bytes]):
-        words = [words_of(t) for t in texts]
-        self.lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        t = Texts([x.translate(LOWER) for x in texts])
+        self.lengths = t.lengths + 1
         self.ends = np.cumsum(self.lengths)
-        flat = [w for doc in words for w in doc]
         at = np.ones(int(self.lengths.sum()), dtype=bool)
         at[self.ends - 1] = False
-        self.hashes, first, inverse = np.unique(word_hashes(flat, WORDS), return_index=True, return_inverse=True)
-        self.words = [flat[i] for i in first.tolist()]
+        codes, self.hashes = pd.factorize(t.hashes)
+        first = np.empty(len(self.hashes), dtype=np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        self.raw, self.begin, self.stop = t.raw, t.begin[first], t.stop[first]
         #: Number of the distinct word, or their count for an end.
         self.number = np.full(len(at), len(self.hashes), dtype=np.int64)
-        self.number[at] = inverse
+        self.number[at] = codes
+
+    def endings(self) -> np.ndarray:
+        """Of each distinct word a number below ENDINGS from its last characters."""
+        a = np.frombuffer(self.raw, dtype=np.uint8)
+        chars = np.flatnonzero((a & 0xC0) != 0x80)  # UTF-8: a byte that goes on begins with 10
+        from_char = np.maximum(np.searchsorted(chars, self.stop) - ENDING, 0)
+        from_byte = np.maximum(chars[from_char], self.begin) if len(chars) else self.begin
+        return (hashed_ranges(a, self.raw, from_byte, self.stop) % np.uint64(ENDINGS)).astype(np.int64)
 
     def per_text(self, x: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(x)])
         return total[self.ends] - total[self.ends - self.lengths]
 
 
+class Items:
+    """Word to item: 0 is the end, then the top words by hash, then endings."""
+
+    def __init__(self, top: np.ndarray):
+        self.top = np.sort(top.astype(np.uint64))
+        self.size = 1 + len(top) + ENDINGS
+
+    def of(self, t: Tokens) -> np.ndarray:
+        """The item of each distinct word, and of the end."""
+        out = 1 + len(self.top) + t.endings()
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top, t.hashes), len(self.top) - 1)
+            out = np.where(self.top[at] == t.hashes, 1 + at, out)
+        return np.append(out, 0)
+
+
 def plogp(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -150,64 +144,58 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     return cls
 
 
-class ClassModel:
-    """Items, their classes, log10 of transitions, and what emissions need: count, discount and size of each class."""
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 of the class transitions: bigram counts smoothed towards the class frequencies."""
+    table = table.astype(np.float64)
+    total = table.sum(axis=0)
+    unigram = (total + 1) / (total.sum() + len(table))
+    spread = np.maximum((table > 0).sum(axis=1), 1)[:, None]
+    return np.log10((table + spread * unigram) / (table.sum(axis=1)[:, None] + spread))
 
-    def __init__(self, items: Items, classes: np.ndarray, bigrams: np.ndarray, types: np.ndarray, ones: np.ndarray, twos: np.ndarray, tokens: int, vocabulary: int, ends: int):
-        self.items, self.classes, self.tokens, self.vocabulary, self.ends = items, classes, tokens, vocabulary, ends
-        k = int(classes.max(initial=0)) + 1
-        one = np.eye(k)[classes]
-        table = one.T @ bigrams.astype(np.float64) @ one
-        total = table.sum(axis=0)
-        unigram = (total + 1) / (total.sum() + k)
-        seen = (table > 0).sum(axis=1)
-        spread = np.maximum(seen, 1)[:, None]
-        self.transitions = np.log10((table + spread * unigram) / (table.sum(axis=1)[:, None] + spread))
-        self.total = np.maximum(total, 1)
-        self.discount = discounts(types, ones, twos, classes)
+
+def discounts(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    """What each class takes from the count of a word seen, for as many words not seen; the end's class, 0, frees nothing."""
+    out = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.05, 0.95)
+    out[0] = 0.0
+    return out
 
 
-def discounts(types: np.ndarray, ones: np.ndarray, twos: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """What each class takes from the count of a word seen; a class of one type only, such as the end, frees nothing."""
-    t, n1, n2 = (np.bincount(classes, weights=x) for x in (types, ones, twos))
-    return np.where(t > 1, np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.05, 0.95), 0.0)
+def emissions(counts: np.ndarray, cls: np.ndarray, total: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    """The probability of words of some counts in their classes: a class's seen words and as many unseen ones make 1; one unseen word does in a class without words."""
+    return np.where(counts > 0, counts - discount[cls], np.where(total[cls] > 0, discount[cls], 1.0)) / np.maximum(total[cls], 1)
 
 
 class Words:
     """Classes of the items, and what emissions and base scores need: count and discount of each class."""
 
     def __init__(self, items: Items, classes: np.ndarray, total: np.ndarray, discount: np.ndarray, tokens: int, vocabulary: int, ends: int):
-        self.items, self.classes, self.total, self.discount = items, classes, np.maximum(total, 1), discount
+        self.items, self.classes, self.total, self.discount = items, classes, total, discount
         self.tokens, self.vocabulary, self.ends = tokens, vocabulary, ends
 
     def emit(self, t: Tokens, counts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score and emissions; and the class of each token. counts, own: of the distinct words, in training texts, and their own class or -1."""
-        item = np.array([self.items.of(w) for w in t.words] + [0], dtype=np.int64)
-        cls = np.where(np.append(own, -1) >= 0, np.append(own, -1), self.classes[item])
+        cls = np.where(np.append(own, -1) >= 0, np.append(own, -1), self.classes[self.items.of(t)])
         c = np.append(counts, self.ends)
         base = np.log10((c + 1) / (self.tokens + self.vocabulary + 1))
-        d = self.discount[cls]
-        left = np.where(c > 0, c - d, np.where(d > 0, d, 0.5))
-        emission = np.log10(left / self.total[cls])
+        emission = np.log10(np.where((c > 0) | (cls > 0), emissions(c, cls, self.total, self.discount), 1.0))
         return t.per_text((c > 0)[t.number].astype(np.int64)), t.per_text(base[t.number]), t.per_text(emission[t.number]), cls[t.number]
 
 
 LEXICON = "block int, h long, ending int, n long"
 
 
-def lexicon(dealt: DataFrame) -> DataFrame:
-    """block, h, ending, c, first: the distinct words of each block with their counts in all training texts; first marks one row of each word."""
+def lexicon(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """block, h, ending, n: the distinct words of each block with their counts in its training texts; and h, ending, c: those of all training texts."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         tokens = Tokens(as_bytes(t["text"]))
         train = np.repeat(t["train"].to_numpy(zero_copy_only=False).astype(np.int64), tokens.lengths)
         n = np.bincount(tokens.number, weights=train, minlength=len(tokens.hashes) + 1)[:-1].astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(n), key[0].as_py(), dtype=np.int32)), "h": pa.array(tokens.hashes.view(np.int64)), "ending": pa.array([ending(w) for w in tokens.words], pa.int32()), "n": pa.array(n)})
+        return pa.table({"block": pa.array(np.full(len(n), key[0].as_py(), dtype=np.int32)), "h": pa.array(tokens.hashes.view(np.int64)), "ending": pa.array(tokens.endings().astype(np.int32)), "n": pa.array(n)})
 
-    rows = dealt.groupBy("block").applyInArrow(run, LEXICON)
-    same = Window.partitionBy("h").orderBy("block")
-    whole = Window.partitionBy("h")
-    return rows.withColumn("c", F.sum("n").over(whole)).withColumn("first", F.row_number().over(same) == 1).where("c > 0").select("block", "h", "ending", "c", "first")
+    words = materialize(rows.groupBy("block").applyInArrow(run, LEXICON), "lexicon")
+    types = words.where("n > 0").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("c"))
+    return words, materialize(types, "types")
 
 
 def item_bigrams(train: DataFrame, items: Items) -> np.ndarray:
@@ -216,13 +204,10 @@ def item_bigrams(train: DataFrame, items: Items) -> np.ndarray:
     shared = train.sparkSession.sparkContext.broadcast(items)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = ItemMemo(shared.value), np.zeros(size * size, dtype=np.int64)
+        items, total = shared.value, np.zeros(size * size, dtype=np.int64)
         for b in batches(it, 8 << 20):
-            parts = [np.zeros(1, dtype=np.int64)]
-            for text in as_bytes(b["text"]):
-                words = words_of(text)
-                parts += [np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words)), parts[0]]
-            seq = np.concatenate(parts)
+            t = Tokens(as_bytes(b["text"]))
+            seq = np.concatenate([[0], items.of(t)[t.number]])  # an end stands before the first text and after each
             total += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
         z = zstandard.ZstdCompressor(level=1)
         at = np.flatnonzero(total.reshape(size, size).any(axis=1))
@@ -255,10 +240,9 @@ def neighbours(train: DataFrame, items: Items, classes: np.ndarray) -> DataFrame
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, classes = shared.value
-        memo = ItemMemo(items)
         for b in batches(it, 8 << 20):
             t = Tokens(as_bytes(b["text"]))
-            item = np.array([memo[w] for w in t.words] + [0], dtype=np.int64)
+            item = items.of(t)
             now = classes[item][t.number]
             at = np.flatnonzero((item > len(items.top))[t.number])
             word = t.number[at] * (2 * CLASSES)
@@ -324,26 +308,27 @@ def placed(near: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
     return near.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "h long, cls int")
 
 
-def fit(train: DataFrame, words: DataFrame, top: int = TOP, parts: int = LEAST_BLOCKS) -> tuple[Words, DataFrame]:
-    """What scores need of train (text) and the lexicon of its blocks; and the lexicon with the class of each word, null for items of their own."""
-    own = words.where("first")
-    whole = own.agg(F.count("*").alias("types"), F.sum("c").alias("n")).first()
+def fit(train: DataFrame, types: DataFrame, top: int = TOP, parts: int = LEAST_BLOCKS) -> tuple[Words, DataFrame]:
+    """What scores need of train (text) and its lexicon's types; and h, c and cls of each type, cls null for items of their own."""
+    whole = types.agg(F.count("*").alias("types"), F.sum("c").alias("n")).first()
     ends = train.count()
-    found = [(r["h"], r["c"]) for r in own.orderBy(F.desc("c"), "h").limit(top).collect()]
-    items = Items([h & ((1 << 64) - 1) for h, _ in found])
+    found = types.orderBy(F.desc("c"), "h").limit(top).select("h", "c").collect()
+    found = sorted((r["h"] & ((1 << 64) - 1), r["c"]) for r in found)
+    items = Items(np.array([h for h, _ in found], dtype=np.uint64))
     bigrams = item_bigrams(train, items)
     classes = exchange(bigrams)
     one = np.eye(CLASSES)[classes]
     others = placed(neighbours(train, items, classes), one.T @ bigrams @ one, parts)
-    known = materialize(words.join(others, "h", "left"), "classes")
-    total, types, ones, twos = (np.zeros(CLASSES) for _ in range(4))
-    rest = known.where("first and cls is not null").groupBy("cls")
-    for r in rest.agg(F.sum("c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
-        total[r["cls"]], types[r["cls"]], ones[r["cls"]], twos[r["cls"]] = r["c"], r["t"], r["n1"], r["n2"]
-    np.add.at(total, classes[: 1 + len(found)], [ends, *[c for _, c in found]])
-    np.add.at(types, classes[: 1 + len(found)], 1)
+    known = materialize(types.join(others, "h", "left").select("h", "c", "cls"), "classes")
+    total, ones, twos = (np.zeros(CLASSES) for _ in range(3))
+    for r in known.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
+        total[r["cls"]], ones[r["cls"]], twos[r["cls"]] = r["c"], r["n1"], r["n2"]
+    at, c = classes[: 1 + len(found)], np.array([ends, *[c for _, c in found]])
+    np.add.at(total, at, c)
+    np.add.at(ones, at[1:], c[1:] == 1)
+    np.add.at(twos, at[1:], c[1:] == 2)
     n = (whole["n"] or 0) + ends
-    return Words(items, classes, total, discounts(types, ones, twos, np.arange(CLASSES)), n, whole["types"] + (ends > 0), ends), known
+    return Words(items, classes, total, discounts(ones, twos), n, whole["types"] + (ends > 0), ends), known
 
 
 def before(now: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -378,10 +363,10 @@ EMITTED = "doc_id long, train boolean, n_tokens long, n_known long, base_score d
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text)."""
     rest = fold_of(F.col("doc_id"), 7)
-    blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
-    rows = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(rest != 2, F.lit(False)).alias("train"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
-    words = materialize(lexicon(rows), "lexicon")
-    model, known = fit(rows.where("train"), words, parts=blocks)
+    rows = dealt(small_batches(docs).select("doc_id", "text"), BLOCK_BYTES, LEAST_BLOCKS)
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(rest != 2, F.lit(False)).alias("train"), "block")
+    words, types = lexicon(rows)
+    model, known = fit(rows.where("train"), types, parts=max(LEAST_BLOCKS, words.rdd.getNumPartitions()))
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)  # a fixed number of items and classes
 
@@ -400,18 +385,19 @@ def score(docs: DataFrame) -> DataFrame:
         raw = pa.Array.from_buffers(pa.binary(), len(t.ends), [None, pa.py_buffer(np.append(0, t.ends).astype(np.int32).tobytes()), pa.py_buffer(now.astype(np.uint8).tobytes())])
         return pa.table({"doc_id": texts["doc_id"].cast(pa.int64()), "train": texts["train"], "n_tokens": pa.array(t.lengths), "n_known": pa.array(n_known), "base_score": pa.array(base), "emission": pa.array(emission), "classes": raw})
 
-    got = rows.groupBy("block").cogroup(known.select("block", "h", "c", "cls").groupBy("block")).applyInArrow(run, EMITTED)
+    back = words.select("block", "h").join(known, "h")
+    got = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, EMITTED)
     emitted = materialize(got, "emitted")
-    ones = np.ones(CLASSES)
-    transitions = context.broadcast(ClassModel(model.items, np.arange(CLASSES), class_bigrams(emitted), ones, ones, ones, model.tokens, model.vocabulary, model.ends).transitions)
+    release(words, types, known)
+    steps = context.broadcast(transitions(class_bigrams(emitted)))
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 lengths = b["n_tokens"].to_numpy()
                 now = np.frombuffer(b"".join(b["classes"].to_pylist()), dtype=np.uint8).astype(np.int64)
-                steps = np.add.reduceat(transitions.value[before(now, lengths), now], np.cumsum(lengths) - lengths)  # a text has its end at least
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["n_known"], b["base_score"], pa.array(b["emission"].to_numpy() + steps)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                moves = np.add.reduceat(steps.value[before(now, lengths), now], np.cumsum(lengths) - lengths)  # a text has its end at least
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["n_known"], b["base_score"], pa.array(b["emission"].to_numpy() + moves)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = emitted.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (F.coalesce(rest, F.lit(0)) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -229,23 +229,3 @@ def longs(a: np.ndarray) -> pa.Array:
 def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
     """A block number for a document; rows that repeat an id or have none spread by their text."""
     return F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int")
-
-
-class WordHash(dict):
-    """Word (bytes) to a 64-bit hash; remembers so many words, the frequent ones among them."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
-
-
-#: The words of this worker process; they outlive a task.
-WORDS = WordHash()
-
-
-def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
