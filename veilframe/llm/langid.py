@@ -1,14 +1,17 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes a text smallest.
 
-A model holds one dictionary per language, cut from a bounded sample of labelled rows. A text is folded to lower-case
-letters with single spaces, cut into chunks, and each chunk is compressed alone against each dictionary, so the
-dictionaries count for the whole of a long text and not for its beginning only. A text of one chunk is compressed at a
-higher level, which finds more in a dictionary. The language of the smallest sum is
-chosen; the relative gap to the second gives the score; a gap below the least margin means that the text is rejected.
+A model holds one dictionary per language, made of a bounded sample of labelled rows. A text is folded to lower-case
+letters and their marks with single spaces, cut into chunks, and each chunk is compressed alone against each dictionary,
+so the dictionaries count for the whole of a long text and not for its beginning only. The language of the smallest sum
+is chosen; the relative gap to the second gives the score; a gap below the least margin means that the text is rejected.
+
+The sample: a language's distinct labelled texts, whole, in the order of their hashes (those larger than the bound last),
+until their bytes reach the bound dictionary_bytes, or the texts the bound rows. A language of whose labelled texts none has a letter isn't learned.
 
 A null text or one without letters is `und`, score 0, rejected. Ties go to the language first by code point. Labels that
-are null aren't learned. Repeated rows are predicted alike. Without labelled rows every text is `und`. Extra columns
-are kept by keep_identified(), whatever their names. Only the text is an input of a prediction.
+are null aren't learned. Repeated rows are predicted alike, and learned once. An empty table gives no rows; without
+labelled rows every text is `und`. Extra columns are kept by keep_identified(), whatever their names. Only the text is
+an input of a prediction.
 """
 
 from __future__ import annotations
@@ -18,46 +21,46 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_table, fold_of, small_batches
+from .common import docs_table, fold_of, materialize, small_batches
 
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS, NOT_ASCII_LETTERS = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
 
 
 def folded(text: str | None) -> bytes:
-    t = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    t = (text or "").lower()
+    t = (NOT_ASCII_LETTERS if t.isascii() else NOT_LETTERS).sub(" ", t).strip()
     return t.encode() if any(map(str.isalpha, t)) else b""
 
 
 class LanguageModel:
     """Dictionaries by language and the compressors made from them, which stay behind when it is pickled."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 6, short_level: int = 12, chunk: int = 1024):
-        self.dictionaries, self.level, self.short_level, self.chunk = dict(sorted(dictionaries.items())), level, short_level, chunk
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, chunk: int = 2048):
+        self.dictionaries, self.level, self.chunk = dict(sorted(dictionaries.items())), level, chunk
         self._made: dict | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": None}
 
-    def compressors(self) -> dict[int, dict[str, zstandard.ZstdCompressor]]:
+    def compressors(self) -> dict[str, zstandard.ZstdCompressor]:
         if self._made is None:
             self._made = {}
-            for level in (self.level, self.short_level):
-                self._made[level] = {}
-                for lang, raw in self.dictionaries.items():
-                    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=level)
-                    self._made[level][lang] = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            for lang, raw in self.dictionaries.items():
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                self._made[lang] = zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         return self._made
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin: the relative gap between the smallest and the second smallest encoding."""
         raw = folded(text)
-        made = self.compressors()[self.level if len(raw) > self.chunk else self.short_level]
+        made = self.compressors()
         if not raw or not made:
             return UNKNOWN, 0.0
         chunks = [raw[i : i + self.chunk] for i in range(0, len(raw), self.chunk)]
@@ -65,17 +68,34 @@ class LanguageModel:
         return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def fit(labelled: DataFrame, rows: int = 200, row_bytes: int = 8192, dictionary_bytes: int = 65536, **model: int) -> LanguageModel:
-    """A model of labelled (text, lang). The sample is bounded: rows distinct texts a language, those of the smallest hash, of which row_bytes each are learned."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    picked = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("h").distinct()
+def fit(labelled: DataFrame, rows: int = 500, dictionary_bytes: int = 65536, **model: int) -> LanguageModel:
+    """A model of labelled (text, lang), learned from a sample of whole distinct texts of each language: at most rows of them, and no more once they have dictionary_bytes."""
+    size = F.octet_length("text")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"), size.alias("n"), (size > dictionary_bytes).alias("long"))
+    every = materialize(known.where(F.col("text").rlike(r"\p{L}")).select("lang", "h", "n", "long").distinct(), "distinct")
+    # of very many only hashes in so small a share of all are ranked as hold four times the rows wanted
+    share = [((F.col("lang") == r["lang"]) & (F.col("long") == r["long"]), 4 * rows / r["k"]) for r in every.groupBy("lang", "long").agg(F.count("*").alias("k")).collect() if r["k"] > 4 * rows]
+    for those, part in share:
+        every = every.where(~those | (F.col("h") < int((part - 0.5) * 2.0**64)))
+    first = Window.partitionBy("lang").orderBy("long", "h")
+    drawn = every.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows)
+    before = first.rowsBetween(Window.unboundedPreceding, -1)
+    picked = drawn.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < dictionary_bytes).select("h").distinct()
     hashes = [r[0] for r in picked.collect()]
-    sample = known.where(F.col("h").isin(hashes)).select("lang", "h", F.substring("text", 1, row_bytes).alias("text")).dropDuplicates(["lang", "h"]) if hashes else known.limit(0)
-    texts: dict[str, list[tuple[int, bytes]]] = {}
+    sample = known.where(F.col("h").isin(hashes)).select("lang", "long", "h", "text").dropDuplicates(["lang", "h"]) if hashes else known.limit(0)
+    texts: dict[str, list[tuple]] = {}
     for r in sample.collect():
-        texts.setdefault(r["lang"], []).append((r["h"], folded(r["text"])))
-    return LanguageModel({lang: raw for lang, t in texts.items() if len(raw := b" ".join(x for _, x in sorted(t))[:dictionary_bytes]) >= 8}, **model)
+        texts.setdefault(r["lang"], []).append((r["long"], r["h"], folded(r["text"])))
+    out: dict[str, bytes] = {}
+    for lang, t in texts.items():
+        raw, size = b"", 0
+        for _, _, x in sorted(t):
+            if size >= dictionary_bytes:
+                break
+            raw, size = raw + b" " * bool(raw and x) + x, size + len(x)
+        if raw:
+            out[lang] = raw if len(raw) >= 8 else (raw + b" ") * 8  # zstandard takes no less
+    return LanguageModel(out, **model)
 
 
 def predict(docs: DataFrame, model: LanguageModel, key: str, min_margin: float = 0.003) -> DataFrame:
