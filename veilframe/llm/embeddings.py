@@ -7,8 +7,9 @@ pair may reach the threshold. Only such pairs are computed again, in double prec
 
 Pairs to estimate come from buckets: bits of several further rotations. Their number of bits grows with the logarithm
 of the vectors and the number of tables is what a pair at the threshold needs to be met with the target recall. A bucket
-sends the links of a forest of the pairs within the bound, not the pairs. Vectors that these hold together are a family;
-all its pairs are computed and counted where its vectors are. Large families are cut into chunks, each two of which meet.
+of many vectors is cut into chunks, each two of which meet, so that no task holds a crowded one whole. A task sends the
+links of a forest of the pairs within the bound, not the pairs. Vectors that these hold together are a family; all its
+pairs are computed and counted where its vectors are. Large families are cut into chunks as well.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; so do those of other lengths and
 rows with a null id. Rows that repeat an id are one vector, the smallest. An empty table gives no rows. Labels and other
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix
-from .components import components, forest
+from .common import materialize, mix, release
+from .components import Forest, components, forest
 from .jaccard import grouped
 
 THRESHOLD, RECALL = 0.95, 0.9999
 #: Standard deviations of an estimate within which a pair is computed again.
 SURE = 4.0
-#: Vectors of a family compared together.
-CHUNK = 1024
+#: Vectors of a bucket, and of a family, compared together.
+BUCKET, CHUNK = 2048, 1024
 
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
@@ -84,21 +85,27 @@ def coded(vectors: DataFrame, bits: int, count: int) -> DataFrame:
 
 def near(codes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that hold together the vectors of each bucket whose estimate may reach the threshold."""
-    rows = codes.select("vec_id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, "key").drop("size").join(codes.select("vec_id", "code"), "vec_id")
+    rows = materialize(codes.select("vec_id", F.explode("keys").alias("key")), "keys")
+    sizes = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("k"), F.count("*").alias("size")).where("size > 1").drop("size"), "sizes")
+    rows = rows.join(sizes, "key")
+    part = F.pmod(F.xxhash64("vec_id", "key"), F.col("k")).cast("int")
+    whole = rows.where("k = 1").select("vec_id", "key")
+    cut = rows.where("k > 1").withColumn("part", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = cut.select("vec_id", F.xxhash64("key", F.least("part", "o"), F.greatest("part", "o")).alias("key"))
+    rows = whole.unionByName(cut).join(codes.select("vec_id", "code"), "vec_id")
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Forest()
         for t in grouped(it, "key"):
             key = t["key"].to_numpy()
             ids = t["vec_id"].to_numpy()
             raw = t["code"].to_pylist()
             cut = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
-            links = [x for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1 for x in bucket_links(ids[i:j], raw[i:j], threshold)]
-            links = forest(links)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if j - i > 1:
+                    f.add(bucket_links(ids[i:j], raw[i:j], threshold))
+        yield from f.sent()
 
     return rows.select("key", "vec_id", "code").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -147,6 +154,7 @@ def proven(families: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD
             cut = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g))
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 x = flat[offsets[i] : offsets[j]].reshape(j - i, -1)
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # by powers of two, which is exact; squares stay finite
                 own = ids[i:j]
                 norm = np.sqrt((x * x).sum(axis=1))
                 linked = x @ x.T / norm[:, None] / norm[None, :] >= threshold
@@ -171,7 +179,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     if not vectors.groupBy("vec_id").count().where("count > 1").isEmpty():
         vectors = vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     codes = materialize(coded(vectors, *tables(vectors.count(), threshold, recall)), "codes")
-    links = materialize(proven(components(near(codes, threshold)), vectors, threshold), "links")
+    families = components(near(codes, threshold))
+    links = materialize(proven(families, vectors, threshold), "links")
+    release(codes, families)
     roots = components(links.where("b is not null")).select(F.col("a").alias("vec_id"), F.col("b").alias("root"))
     counts = links.groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("n"))
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(roots, "vec_id", "left")
