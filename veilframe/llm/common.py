@@ -224,8 +224,3 @@ def as_bytes(column: pa.ChunkedArray) -> list[bytes]:
 def longs(a: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's longs."""
     return pa.array(a.astype(np.uint64).view(np.int64))
-
-
-def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
-    """A block number for a document; rows that repeat an id or have none spread by their text."""
-    return F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(blocks)).cast("int")

@@ -19,11 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, block_of, docs_table, mix, small_batches, text_bytes, windows
+from .common import Texts, as_bytes, dealt, docs_table, small_batches
 
 WINDOW = 35
 #: A difference cover: each number below PERIOD is a difference of two of COVER modulo PERIOD. Fixed values.
@@ -32,54 +31,6 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
 
 
-#: ASCII white space.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, *range(9, 14)]] = True
-#: Bytes of a word that are hashed column by column; longer words are hashed one by one.
-SHORT = 64
-
-
-def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the words in raw and a 64-bit hash of each, without an object for each word."""
-    a = np.frombuffer(raw, dtype=np.uint8)
-    edge = np.diff(np.concatenate([[0], (~SPACE[a]).view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = ends - starts
-    order = np.argsort((SHORT + 1 - np.minimum(size, SHORT + 1)).astype(np.uint8), kind="stable")  # longest first
-    at, left = starts[order], size[order]
-    h = np.zeros(len(starts), dtype=np.uint64)
-    more = np.searchsorted(-left, -np.arange(1, SHORT + 1), side="right") if len(left) else np.zeros(SHORT, dtype=np.int64)
-    for k in range(SHORT):  # words of more than k bytes
-        n = int(more[k])
-        if not n:
-            break
-        h[:n] = h[:n] * np.uint64(0x9E3779B97F4A7C15) + a[at[:n] + k] + np.uint64(1)
-    h = mix(h)
-    for i in np.flatnonzero(left > SHORT).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i] + left[i]])
-    out = np.empty_like(h)
-    out[order] = h
-    return starts, out
-
-
-class Texts:
-    """The words of some documents in one row, as hashes."""
-
-    def __init__(self, texts: list[bytes]):
-        starts, self.hashes = hashed_words(b"\n".join([*texts, b""]))
-        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.empty(0, dtype=np.int64)
-        self.ends = np.searchsorted(starts, ends)
-        self.lengths = np.diff(self.ends, prepend=0)
-        self.starts = self.ends - self.lengths
-        self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.lengths)
-        self.left = np.repeat(self.ends, self.lengths) - np.arange(len(self.hashes))
-
-    def runs(self, length: int, seed: int = 0) -> np.ndarray:
-        """Hash of the run of length words from each word on; only where left >= length does it count."""
-        h = windows(self.hashes, length, seed)
-        return np.concatenate([h, np.zeros(len(self.hashes) - len(h), dtype=np.uint64)])
-
-
 def anchors(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of anchors and their hashes."""
     length = window - PERIOD + 1
@@ -127,8 +78,8 @@ def _ordered(t: pa.Table) -> tuple[pa.Table, Texts]:
 
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (word ranges removed, ends out) and kept (the text without them, its words joined by a space)."""
-    blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
-    dealt = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block_of(F.col("doc_id"), F.col("text"), blocks).alias("block"))
+    rows = dealt(small_batches(docs).select("doc_id", "text"), BLOCK_BYTES, LEAST_BLOCKS)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "block")
 
     def first(key: tuple, texts: pa.Table) -> pa.Table:
         _, t = _ordered(texts)
@@ -172,7 +123,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(t.lengths), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
-    by = lambda: dealt.groupBy("block")
+    by = lambda: rows.groupBy("block")
     found = repeated(by().applyInArrow(first, "h1 long, place long"), ["h1"])
     found = repeated(by().cogroup(found.groupBy("block")).applyInArrow(second, "h1 long, h2 int, place long"), ["h1", "h2"])
     return by().cogroup(found.groupBy("block")).applyInArrow(third, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept binary")
