@@ -11,7 +11,8 @@ within 1900-2099 or outside it; 29 February stays one, in another leap year. An
 domain and a phone number its country code.
 
 Null texts stay null and hold nothing. Numbers that fail their check aren't touched. Repeated rows are changed alike.
-Extra columns are kept by pseudonymized(), whatever their names.
+An empty table gives no rows. Extra columns are kept by pseudonymized(), whatever their names, but one named n_pii: the
+number of values replaced takes its place.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from .common import docs_table
 from .mixing import let
 
 ROUNDS = 8
+#: The query's key; pseudonymized() has none of its own.
+DEMONSTRATION_KEY = "veilframe-demonstration-key"
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-# The formats. Each begins where no longer value of its kind can and so is tried once a word.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# The formats. Each begins where no longer value of its kind can and so is tried once a word; repeats
+# without a bound are possessive, so that the matcher neither goes back nor recurses over a long text.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{20,}+|sk-(?:live|test)-[A-Za-z0-9]{16,}+|xox[abps]-[A-Za-z0-9-]{10,}+|(?<=token = \")[A-Za-z0-9]{16,}+|(?<=password=)[A-Za-z0-9]{8,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|(?<=Bearer\s{1,8})[A-Za-z0-9._~+/=-]{16,}+|(?<=(?i:api[_-]?key)\s{0,8}[:=]\s{0,8}['\"]?)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
 IBAN = _L + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _R
 PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{4}|\+[0-9][0-9\s().-]{6,18}[0-9]|(?:91|0)?[6-9][0-9]{9})" + _R
@@ -43,7 +47,7 @@ GATE = r"[0-9]{2}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@
 
 
 def chars(s: Column) -> Column:
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(s, ""), lambda c: c != "")
 
 
 def prf(key: str, kind: str, *parts: Column) -> Column:
@@ -55,7 +59,8 @@ def feistel(symbols: Column, key: str, kind: str) -> Column:
     """symbols, an array of struct<base, radix, value>, permuted by rounds of keyed shifts."""
 
     def turn(acc: Column, k: Column) -> Column:
-        others = F.concat_ws(",", F.transform(F.filter(acc, lambda x, i: i % 2 != k % 2), lambda x: x["value"].cast("string")))
+        # hashed once, so that a long value costs no more a symbol than a short one
+        others = F.sha2(F.concat_ws(",", F.transform(F.filter(acc, lambda x, i: i % 2 != k % 2), lambda x: x["value"].cast("string"))), 256)
 
         def shift(seen: Column) -> Callable:
             return lambda x, i: F.struct(x["base"].alias("base"), x["radix"].alias("radix"), F.when(i % 2 == k % 2, ((x["value"] + prf(key, kind, k, i, seen)) % x["radix"]).cast("int")).otherwise(x["value"]).alias("value"))
@@ -190,5 +195,5 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents with pseudonyms; the key is fixed, so reruns agree."""
-    return pseudonymized(docs_table(spark, sf_dir).select("doc_id", "text"), "veilframe-demonstration-key")
+    """Every whole text of documents with pseudonyms; the key is a fixed one for demonstration, so reruns agree."""
+    return pseudonymized(docs_table(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
