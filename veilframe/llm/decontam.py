@@ -8,8 +8,8 @@ suffix; their spans are merged into the spans to remove.
 
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. A window is 13 consecutive words of an item; an
 item of fewer, but not none, is one window. Null and empty texts have no words and no hits. Items of the same id count
-once; items with a null id mark words but aren't listed. Repeated documents are judged each for itself. An empty
-benchmark hits nothing. Extra columns of documents are kept by decontaminate(), whatever their names.
+once; items with a null id mark words but aren't listed. Repeated documents are judged each for itself. No documents
+give no rows; an empty benchmark hits nothing. Extra columns of documents are kept by decontaminate(), whatever their names.
 
 The benchmark is the stated query set: it is searched in blocks of a bounded size, each against all documents.
 """
@@ -29,7 +29,7 @@ WINDOW = 13
 #: Bytes of text indexed at once by a task.
 SHARD_BYTES = 16 << 20
 #: Bytes of benchmark text searched at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Every so many suffix positions is kept.
 SAMPLE = 8
 
@@ -49,7 +49,7 @@ class WaveletMatrix:
         s = symbols
         for b in range(bits - 1, -1, -1):
             bit = (s >> b) & 1
-            rank = np.zeros(len(s) + 1, dtype=np.int32)
+            rank = np.zeros(len(s) + 1, dtype=np.int32)  # a shard has far fewer symbols than 2**31
             np.cumsum(bit, out=rank[1:])
             self.ranks.append(rank)
             self.zeros.append(len(s) - int(rank[-1]))
@@ -137,20 +137,30 @@ class Phrases:
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words_of(text or b"")]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1) if ids else ():
-                found.setdefault(tuple(ids[i : i + n]), set()).add(item)
+        texts = [np.array([self.number.setdefault(w, len(self.number) + 2) for w in words_of(text or b"")], dtype=np.int32) for _, text in items]
         self.size = len(self.number) + 2
-        self.items = list(found.values())
-        self.lengths = np.array([len(p) for p in found], dtype=np.int64)
-        self.patterns = np.zeros((len(found), window), dtype=np.int64)
-        for row, p in zip(self.patterns, found, strict=True):
-            row[window - len(p) :] = p
+        self.names = [item for item, _ in items]
+        rows = [np.zeros((0, window), dtype=np.int32)]
+        for ids in texts:
+            n = min(window, len(ids))
+            part = np.zeros((len(ids) - n + 1 if n else 0, window), dtype=np.int32)
+            if n:
+                part[:, window - n :] = np.lib.stride_tricks.sliding_window_view(ids, n)
+            rows.append(part)
+        owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows[1:]])
+        # a word's number isn't 0, so rows that are padded differ from those that aren't
+        every = np.ascontiguousarray(np.concatenate(rows))
+        _, first, which = np.unique(every.view(np.dtype((np.void, every.dtype.itemsize * window))).ravel(), return_index=True, return_inverse=True)
+        self.patterns = every[first]
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        order = np.argsort(which, kind="stable")
+        #: The items of pattern p are owner[cut[p]:cut[p + 1]], numbers of names.
+        self.owner, self.cut = owner[order], np.searchsorted(which[order], np.arange(len(first) + 1))
         self.least = int(self.lengths.min(initial=window))
 
+    def items(self, patterns: np.ndarray) -> set:
+        return {self.names[i] for p in patterns.tolist() for i in self.owner[self.cut[p] : self.cut[p + 1]].tolist()}
+
     def spans(self, docs: list[np.ndarray]) -> list[tuple[np.ndarray, set]]:
         """For each document (word numbers, 0 where the benchmark lacks the word): merged hit spans and the items hit."""
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
@@ -192,7 +202,7 @@ class Phrases:
             s, e = place[i:j] - starts[d], np.maximum.accumulate(end[i:j]) - starts[d]
             first = np.concatenate([[True], s[1:] > e[:-1]])
             last = np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)
-            out[d] = (np.stack([s[first], e[last]], axis=1), set().union(*(self.items[w] for w in np.unique(which[i:j]))))
+            out[d] = (np.stack([s[first], e[last]], axis=1), self.items(np.unique(which[i:j])))
         return out
 
 
