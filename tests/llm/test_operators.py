@@ -1,20 +1,21 @@
 """Each operator against brute force on small fixtures, and on awkward and empty tables."""
 
 import collections
-import hashlib
 import math
 import random
+import time
 import zlib
 from array import array
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from veilframe.llm import classlm, components, decontam, embeddings, jaccard, langid, mixing, pii, substrings, tokens, toxicity
-from veilframe.llm.common import windows
+from veilframe.llm.common import hashed_words, windows
 
-from .helpers import SCHEMA, awkward, documents, empty, prose
+from .helpers import awkward, documents, empty, prose
 
 
 def rows(df):
@@ -103,6 +104,33 @@ def test_language_sample_counts_copies_once(spark):
     assert all(t.encode() in got["aa"] for t in texts)
 
 
+def test_language_by_the_smallest_encoding_of_whole_texts(spark):
+    import zstandard
+
+    model = langid.LanguageModel({"aa": b"the cat sat on the mat and then the dog", "bb": "der hund und die katze saßen auf der matte".encode(), "cc": "हिन्दी में लिखा हुआ पाठ".encode()}, chunk=64)
+    texts = ["the cat and the dog", "die katze und der hund", "123 -- !!", None, "हिन्दी में पाठ", "the dog " * 400 + "und der hund " * 200, "A" * 5000]
+
+    def size(raw, text):
+        z = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(z.compress(text[i : i + 64])) for i in range(0, len(text), 64))
+
+    got = rows(langid.predict(documents(spark, texts), model, "doc_id").orderBy("doc_id"))
+    for t, r in zip(texts, got, strict=True):
+        if not any(map(str.isalpha, t or "")):
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        sizes = {lang: size(raw, " ".join(t.lower().split()).encode()) for lang, raw in model.dictionaries.items()}
+        assert sizes[r["lang_pred"]] == min(sizes.values())
+    assert langid.folded("हिन्दी, 12 में").decode() == "हिन्दी में"
+
+
+def test_language_learns_from_whole_texts_and_small_samples(spark):
+    long = prose(random.Random(3), 3000)
+    d = spark.createDataFrame([("aa", "xy"), ("aa", None), ("bb", long), ("cc", "12 34"), (None, "abc")], "lang string, text string")
+    got = langid.fit(d, dictionary_bytes=100).dictionaries
+    assert set(got) == {"aa", "bb"} and got["bb"] == langid.folded(long) and b"xy" in got["aa"]
+
+
 def test_language_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     model = langid.fit(langid.learnable(d))
@@ -147,10 +175,11 @@ def test_windows_are_equal_just_where_words_are():
 def test_words_are_hashed_alike_wherever_they_stand():
     words = [b"a", b"ab", b"ba", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 900, "\u00e9\u00df".encode(), b"\x1c", b"\x00"]
     raw = b" \t".join(words * 3) + b"\n\n" + b"\x0b".join(words)
-    starts, h = substrings.hashed_words(raw)
+    starts, ends, h = hashed_words(raw)
+    assert [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)] == words * 4
     assert [raw[i:].split()[0] for i in starts.tolist()] == words * 4
     assert len(set(h.tolist())) == len(words) and (h.reshape(4, -1) == h[: len(words)]).all()
-    assert len(substrings.hashed_words(b"")[1]) == 0 == len(substrings.hashed_words(b" \n")[1])
+    assert len(hashed_words(b"")[2]) == 0 == len(hashed_words(b" \n")[2])
 
 
 def test_repeated_passages(spark):
@@ -193,6 +222,22 @@ def test_embedding_links_match_brute_force(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_crowded_buckets_and_huge_components_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BUCKET", 16)
+    rng = np.random.default_rng(6)
+    mean = 3 * rng.standard_normal(32)
+    x = mean + rng.standard_normal((300, 32)) * 0.8
+    x[:5] *= 1e200
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = embeddings.near_duplicates(d).toPandas().sort_values("vec_id")
+    assert near.sum() > 300 and (got.n_links.to_numpy() <= near.sum(1)).all()
+    assert got.n_links.sum() >= 0.99 * near.sum()
+
+
 def test_embeddings_large_family_and_awkward_rows(spark):
     rng = np.random.default_rng(5)
     one = rng.standard_normal(64)
@@ -251,6 +296,20 @@ def test_pseudonyms_of_forms_that_the_detectors_accept(spark):
     assert days.nunique() == 3000 and days.str.match(r"^\d\d-\d\d-\d\d$").all()
 
 
+HOSTILE = ["a.", "a", "1", "1.", "1-", "1 ", "@", "a@", "+", "+1 ", "(", "_", "eyJ", "Bearer ", "Bearer a", "api_key", "api_key=", "sk-live-", "AB12", "/", "1/", "-", ".", "gh", "ghp_a", "é", "\n", "\"token = \"", "1,", ":", "a:"]
+
+
+def test_pseudonyms_of_hostile_texts_take_no_time(spark):
+    texts = [(u * (100_000 // len(u.encode())) + " " + e) for u in HOSTILE for e in ("", "x@y.zz 12")] + ["x@" + "a." * 50_000 + "com 12"]
+    # every one of these holds many values
+    texts += [u * (10_000 // len(u)) + "12" for u in ("x@a.", "eyJaaaaaaaa.", "8.8.8.8 ")]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    pii.pseudonymized(d.limit(3), "k").collect()
+    start = time.time()
+    assert pii.pseudonymized(d, "k").agg(F.sum(F.length("text"))).first()[0] > 0
+    assert time.time() - start < 40
+
+
 def test_pseudonyms_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     got = pii.pseudonymized(d, "k")
@@ -262,7 +321,8 @@ def test_pseudonyms_of_awkward_and_empty_tables(spark):
 
 
 def jaccard_brute(texts):
-    sets = [set(jaccard.shingles((t or "").encode()).tolist()) for t in texts]
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     n = len(sets)
     links, root = [0] * n, list(range(n))
     near = [(i, j) for i in range(n) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
@@ -322,17 +382,38 @@ def test_jaccard_join_of_awkward_and_empty_tables(spark):
     assert jaccard.keep_first(empty(spark)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1000, 0, 40])
+def test_components(spark, one_task):
     rng = random.Random(9)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
-    got = {r["a"]: r["b"] for r in rows(components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)))}
-    up = {i: i for i in range(300)}
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 400 + i // 3) for i in range(200)] + [(900 - i, 899 - i) for i in range(60)] + [(5, 5)]
+    got = {r["a"]: r["b"] for r in rows(components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), one_task))}
+    up = dict(enumerate(range(1000)))
     for _ in range(300):
         for a, b in pairs:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {i: r for i, r in up.items() if i != r}
 
 
+def test_jaccard_join_of_buckets_that_stay_large(spark, monkeypatch):
+    for name, value in (("SMALL", 4), ("LARGE", 8), ("CHUNK", 16), ("PROOF", 64)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(12)
+    base, passage = prose(rng, 150).split(), prose(rng, 60)
+    texts = [" ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(120)] + [f"{passage} {prose(rng, 20)}" for _ in range(60)] + [" ".join(base[:130]) + " " + prose(rng, 12)]
+    links, root = jaccard_brute(texts)
+    got = jaccard.jaccard_join(documents(spark, texts)).toPandas().sort_values("doc_id")
+    assert got.n_links.tolist() == links and got.component_id.tolist() == root
+
+
+def test_near_duplicates_among_rows_that_share_ids(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a + " x"), (None, c), (None, c + " y"), (None, prose(rng, 50)), (None, None), (None, None), (3, ""), (3, "")], "doc_id long, text string")
+    kept = sorted((repr(r["doc_id"]), r["text"] or "") for r in rows(jaccard.keep_first(d)))
+    assert len(kept) == 2 + 2 + 4 and ("1", a) in kept and ("1", b) in kept and ("2", a + " x") not in kept
+    assert sum(t in (c, c + " y") for _, t in kept) == 1
+
+
 # --- 7 ---
 
 
@@ -341,7 +422,7 @@ def test_class_model_counts_and_beats_the_base(spark):
     lines = {0: [f"ka{i}" for i in range(50)], 1: [f"lo{i}" for i in range(50)]}
     texts = [" ".join(rng.choice(lines[(i + k) % 2]) for k in range(60)) for i in range(140)] + [None, "", "never seen", "CASE ka1"]
     got = classlm.score(documents(spark, texts)).toPandas().set_index("doc_id")
-    words = [classlm.words_of((t or "").encode()) + [b"\n"] for t in texts]
+    words = [(t or "").lower().encode().split() + [b"\n"] for t in texts]
     train = collections.Counter(w for i, x in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
     n, v = sum(train.values()), len(train)
     for i, x in enumerate(words):
@@ -355,13 +436,22 @@ def test_class_model_counts_and_beats_the_base(spark):
 
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(0)
-    items = classlm.Items([11, 22, 33])
-    n = items.size
-    bigrams = np.zeros((n, n), dtype=np.int64)
-    bigrams[:8, :8] = rng.integers(0, 9, (8, 8))
-    ones = np.ones(n)
-    m = classlm.ClassModel(items, classlm.exchange(bigrams, classes=4), bigrams, ones, ones, ones, 100, 50, 5)
-    assert np.allclose((10**m.transitions).sum(axis=1), 1)
+    table = rng.integers(0, 9, (6, 6))
+    table[:, 4] = 0
+    assert np.allclose((10 ** classlm.transitions(table)).sum(axis=1), 1)
+    counts, cls = np.array([5, 1, 1, 2, 7, 3]), np.array([1, 1, 1, 2, 2, 3])
+    total = np.bincount(cls, weights=counts, minlength=5)
+    discount = classlm.discounts(*(np.bincount(cls, weights=counts == k, minlength=5) for k in (1, 2)))
+    for k in range(1, 5):
+        seen = classlm.emissions(counts[cls == k], cls[cls == k], total, discount)
+        unseen = classlm.emissions(np.zeros(1), np.array([k]), total, discount)[0]
+        assert np.isclose(seen.sum() + max(1, len(seen)) * unseen, 1)
+
+
+def test_endings_are_whole_characters():
+    t = classlm.Tokens(["x\u00e9\u00df\u00fc \u00e9\u00df\u00fc ab\u00e9\u00df\u00fc fc b\u00fc".encode()])
+    e = t.endings().tolist()
+    assert e[0] == e[1] == e[2] and len(set(e)) == 3
 
 
 def test_exchange_finds_alternating_classes():
@@ -377,13 +467,14 @@ def test_every_word_is_placed_by_its_own_bigrams(spark):
     # rare words of one ending, in either of two places where frequent words stand as well
     texts = [" ".join(x for k in range(15) for x in ("in", f"a{i % 40}{k % 5}xyz", "out", f"b{i % 40}{k % 5}xyz", "in", f"p{rng.randrange(4)}", "out", f"q{rng.randrange(4)}")) for i in range(160)]
     d = documents(spark, texts).select(F.col("text").cast("binary").alias("text"), F.lit(True).alias("train"), F.pmod("doc_id", F.lit(3)).cast("int").alias("block"))
-    model, known = classlm.fit(d, classlm.lexicon(d).cache(), top=10)
-    assert len(model.items.top) == 10 and model.total[model.total > 1].sum() == model.tokens
-    got = {r["h"]: r["cls"] for r in rows(known.where("first"))}
-    signed = lambda w: classlm.word_hashes([w], classlm.WORDS).view(np.int64)[0]
+    model, known = classlm.fit(d, classlm.lexicon(d)[1], top=10)
+    assert len(model.items.top) == 10 and model.total.sum() == model.tokens
+    got = {r["h"]: r["cls"] for r in rows(known)}
+    signed = lambda w: hashed_words(w)[2].view(np.int64)[0]
     a, b = ({got[signed(f"{x}{i}{k}xyz".encode())] for i in range(40) for k in range(5)} for x in "ab")
     assert None not in a | b and not a & b
-    assert classlm.ending(b"a00xyz") == classlm.ending(b"b00xyz")
+    t = classlm.Tokens([b"a00xyz b00xyz"])
+    assert t.endings()[0] == t.endings()[1]
 
 
 def test_class_model_of_awkward_and_empty_tables(spark):
@@ -490,6 +581,32 @@ def test_exceptions_are_spared():
     assert lexicon.features("the trash can")[0] == 0 < lexicon.features("you trash")[0]
 
 
+def test_scores_by_the_lexicon_match_brute_force(spark):
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " idi": 2.0, " trash ": 2.5, " mor": 1.5}, (-2.0, 1.0, 0.5, 0.1))
+    texts = [None, "", "you idiot", "IDIOCY and more trash", "the trash can is not trash", "1d10t idiot idiot moron", "idiot proof idiot " * 500, "a trash trash can trash"]
+
+    def brute(text):
+        t = toxicity.folded(text)
+        spans = [(i, i + len(p) + 2) for p in toxicity.EXCEPTIONS for i in range(len(t)) if t.startswith(f" {p} ", i)]
+        seen = collections.Counter()
+        for i in range(len(t)):
+            here = [x for x in lexicon.weights if t.startswith(x, i) and not any(a <= i and i + len(x) <= b for a, b in spans)]
+            if here:
+                seen[max(here, key=lexicon.weights.get)] += 1
+        n = 1 + t.count(" ")
+        damped = sum(lexicon.weights[x] * (1 + math.log(k)) for x, k in seen.items())
+        plain = sum(lexicon.weights[x] * k for x, k in seen.items())
+        z = sum(c * x for c, x in zip(lexicon.curve, (1, math.log1p(damped), damped / math.sqrt(n), math.log1p(100 * plain / n)), strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.score(documents(spark, texts), lexicon, "doc_id"))}
+    assert got == pytest.approx({i: brute(t) for i, t in enumerate(texts)})
+
+
+def test_long_words_are_terms(spark):
+    assert f" {'x' * 40} " in toxicity.terms("a " + "x" * 40, 9)[0]
+
+
 def test_toxicity_of_awkward_and_empty_tables(spark):
     d = awkward(spark)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")
@@ -504,13 +621,13 @@ def test_toxicity_of_awkward_and_empty_tables(spark):
 
 def test_token_files_round_trip(spark, tmp_path):
     rng = random.Random(14)
-    texts = [None, "", " ", "a  b", "a \n b", "x\n\ny", "It's the\nend. 'S", "<|endoftext|> 你好 123 café", "t\tb", prose(rng, 40_000), *[prose(rng, 50) for _ in range(40)]]
+    texts = [None, "", " ", "a  b", "a \n b", "x\n\ny", "It's the\nend. 'S", "<|endoftext|> 你好 123 café", "x<|endoftext|>", "t\tb", "Z" * 10_000 + "'", "ab" * 5_000 + "\u2019 c", "q" * 3_000 + "你", prose(rng, 40_000), *[prose(rng, 50) for _ in range(40)]]
     order = list(range(len(texts)))
     rng.shuffle(order)
     d = spark.createDataFrame([(i * 3 - 20, texts[i]) for i in order], "doc_id long, text string")
     path = tokens.write_tokens(d, f"file://{tmp_path}/t", tokens.default_tokenizer(), shard_bytes=50_000)
     got = rows(tokens.token_digest(spark, path).orderBy("doc_id"))
-    plain = tokens.Encoder(tokens.default_tokenizer()).tokenizer
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
     at = 0
     for i, r in enumerate(got):
         ids = array("I", plain.encode(texts[i] or "", add_special_tokens=False).ids + [0])
@@ -519,6 +636,18 @@ def test_token_files_round_trip(spark, tmp_path):
     assert len(got) == len(texts)
 
 
+def test_token_files_of_one_id_and_of_many_shards(spark, tmp_path):
+    rng = random.Random(15)
+    texts = [prose(rng, 60) for _ in range(200)]
+    d = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    path = tokens.write_tokens(d, f"file://{tmp_path}/o", tokens.default_tokenizer(), shard_bytes=10_000)
+    got = rows(tokens.token_digest(spark, path).orderBy("start"))
+    assert [r["doc_id"] for r in got] == [None] * 133 + [7] * 67
+    assert len({r["shard"] for r in rows(tokens.read_tokens(spark, path).select("shard"))}) > 5
+    made = spark.createDataFrame([(f"part-{n}-x.txt", n, 0, 10, 1) for n in ("99999", "100000", "00002")], "shard string, doc_id string, local_start long, n_tokens long, ids_crc32 long")
+    assert {r["doc_id"]: r["start"] for r in rows(tokens.placed(made))} == {"00002": 0, "99999": 10, "100000": 20}
+
+
 def test_a_reader_decompresses_only_what_is_asked_for():
     docs = [(i, array("I", range(i, i + 3000)).tobytes()) for i in range(60)]
     content = b"".join(f + tokens.PAD for f in tokens.frames(iter(docs), frame_bytes=50_000))
@@ -543,8 +672,3 @@ def test_token_files_of_awkward_and_empty_tables(spark, tmp_path):
     assert tokens.token_digest(spark, path).count() == d.count()
     path = tokens.write_tokens(empty(spark), f"file://{tmp_path}/e", tokens.default_tokenizer())
     assert tokens.token_digest(spark, path).count() == 0
-
-
-def test_digest_of_words_helper():
-    assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(" ".join([]).encode()).hexdigest()
-    assert SCHEMA.startswith("doc_id long")
