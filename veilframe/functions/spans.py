@@ -1,7 +1,8 @@
 """Find-all with offsets, and the resolution of overlapping finds, as native expressions.
 
 A span is struct<start, end, kind, priority, det, seq>: code points, end exclusive, the detector's order and the find's
-number. Spark has no find-all with offsets, but split() gives the gaps between matches, so starts are running sums.
+number. Spark has no find-all with offsets, but matches set between marks by one replacement, and split there, alternate
+with the gaps between them, so starts are running sums.
 """
 
 from __future__ import annotations
@@ -20,21 +21,25 @@ EMPTY = f"cast(array() as {SPANS})"
 FOUND = "array<struct<start: int, end: int, value: string>>"
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    """start, end and value of each match, or of its group, which occurs once in the match and after what precedes it."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), inner.alias("inner"))
+#: Marks round a match and before its group: code points that no character has. Where a text holds one, a replacement character stands for it in the search, which no pattern tells from it.
+MARK, INNER, STAND_IN = "\uffff", "\ufffe", "\ufffd"
+
+
+def find_all(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """start, end and value of each match, or of its group, which occurs once in the match and after what precedes it. The pattern runs once."""
+    clean = F.when(text.contains(MARK) | text.contains(INNER), F.translate(text, MARK + INNER, STAND_IN * 2)).otherwise(text)
+    shown = f"{MARK}$0{INNER}${group}{MARK}" if group else f"{MARK}$0{MARK}"
+    parts = F.split(F.regexp_replace(clean, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(shown)), MARK, -1)
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        own = at + (F.instr(x["whole"], x["inner"]) - 1 if group else 0)
-        found = F.struct(own.cast("int").alias("start"), (own + F.length(x["inner"])).cast("int").alias("end"), x["inner"].alias("value"))
-        return F.struct((at + F.length(x["whole"])).cast("int").alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
+        whole = F.substring_index(x, INNER, 1) if group else x
+        inner = F.substring_index(x, INNER, -1) if group else x
+        own = acc["pos"] + (F.instr(whole, inner) - 1 if group else 0)
+        found = F.struct(own.cast("int").alias("start"), (own + F.length(inner)).cast("int").alias("end"), inner.alias("value"))
+        return F.struct((acc["pos"] + F.length(whole)).cast("int").alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {FOUND})").alias("out"))
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.expr(f"cast(array() as {FOUND})").alias("out"))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
 def _span(start: Column, end: Column, kind: str, priority: int, det: int, seq: Column) -> Column:
@@ -85,11 +90,14 @@ def terms_found(text: Column, terms: list[str]) -> Column:
 
 
 def never_found(text: Column, terms: list[str]) -> Column:
-    """start and end of each never-term, each looked for by itself."""
+    """start and end of each never-term, each looked for by itself in texts that hold any."""
+    none = F.expr(f"cast(array() as {FOUND})")
     if not terms:
-        return F.expr(f"cast(array() as {FOUND})")
-    parts = [F.filter(find_all(text, f"(?iu){quoted(t)}"), lambda x: word_boundary(text, x["start"], x["end"])) for t in terms]
-    return F.concat(*parts)
+        return none
+    some = "(?iu)(?:" + "|".join(quoted(t) for t in terms) + ")"
+    held = F.filter(F.array(*[F.lit(quoted(t)) for t in terms]), lambda t: F.rlike(text, F.concat(F.lit("(?iu)"), t)))
+    free = F.transform(held, lambda t: F.filter(find_all(text, F.concat(F.lit("(?iu)"), t)), lambda x: word_boundary(text, x["start"], x["end"])))
+    return F.when(text.rlike(some), F.flatten(free)).otherwise(none)
 
 
 def all_spans(text: Column, always: list[str] = (), money_dates: bool = False, kinds: set[str] | None = None) -> Column:

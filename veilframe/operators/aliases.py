@@ -1,7 +1,8 @@
 """Aliases: each distinct original of a session gets KIND_n, numbered per kind by first appearance.
 
 The sequential process - look an original up, else count its kind up - is the numbering of first appearances within
-(session, kind). The key is the original alone, so its first appearance's kind names it for good. Numbers are prefix
+(session, kind). The key is the original alone, so its first appearance's kind names it for good. Calls are in the order
+of seq; those without one come last, and tie (the start of the text's MD5) orders those that share one. Numbers are prefix
 sums: first appearances are counted by buckets of seq, which keep its order, and numbered within a bucket; so a session
 of all documents is numbered by many tasks.
 """
@@ -11,24 +12,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from ..plans.storage import materialize
+
+BUCKETS = 128
+
+
+def order(seq: str = "seq", tie: str = "tie") -> list[Column]:
+    """By seq, unknown ones last; calls that share one by tie."""
+    return [F.col(seq).isNull().alias("none"), F.col(seq).alias("seq"), F.col(tie).alias("tie")]
 
 
 def first_seen(found: DataFrame, *more: str) -> DataFrame:
-    """session, original, kind, seq and ord of each original's first appearance. found: session, seq, ord, kind, original."""
-    return found.groupBy("session", *more, "original").agg(F.min(F.struct("seq", "ord", "kind")).alias("x")).select("session", *more, "original", "x.seq", "x.ord", "x.kind")
+    """session, original, kind, seq, tie and ord of each original's first appearance. found: session, seq, tie, ord, kind, original."""
+    x = F.min(F.struct(*order(), "ord", "kind")).alias("x")
+    return found.groupBy("session", *more, "original").agg(x).select("session", *more, "original", "x.seq", "x.tie", "x.ord", "x.kind")
 
 
 def numbered(firsts: DataFrame, kind: str = "kind") -> DataFrame:
-    """firsts with n, the place of a row among its session's and kind's by (seq, ord)."""
-    ends = firsts.groupBy("session").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / BUCKETS)
-    b = firsts.join(ends, "session").withColumn("_bucket", F.floor((F.col("seq") - F.col("_low")) / width)).drop("_low", "_high")
+    """firsts with n, the place of a row among its session's and kind's by (seq, tie, ord). Buckets are cut at quantiles of seq, so that ids far apart don't crowd one."""
+    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
+    bounds = materialize(firsts.groupBy(F.col("session").alias("_s")).agg(F.percentile_approx("seq", cuts, 10 * BUCKETS).alias("_bounds")), "bounds")
+    place = F.when(F.col("seq").isNull(), BUCKETS).otherwise(F.size(F.filter("_bounds", lambda x: x < F.col("seq"))))
+    b = firsts.join(bounds, F.col("session").eqNullSafe(F.col("_s"))).withColumn("_bucket", place).drop("_s", "_bounds")
     sums = b.groupBy("session", kind, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("session", kind).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("session", kind, "_bucket").orderBy("seq", "ord")
-    return b.withColumn("_at", F.row_number().over(inside)).join(bases, ["session", kind, "_bucket"]).withColumn("n", (F.col("_base") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_base")
+    bases = sums.select(F.col("session").alias("_s"), F.col(kind).alias("_k"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("session", kind, "_bucket").orderBy(*order(), "ord")
+    at = b.withColumn("_at", F.row_number().over(inside))
+    same = F.col("session").eqNullSafe(F.col("_s")) & F.col(kind).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
+    return at.join(bases, same).withColumn("n", (F.col("_base") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_base", "_s", "_k", "_b")
 
 
 def token(kind: Column, n: Column) -> Column:
@@ -36,13 +48,12 @@ def token(kind: Column, n: Column) -> Column:
 
 
 def assign(found: DataFrame) -> DataFrame:
-    """session, original, token, kind, seq, ord: the alias of each original, with where it was made."""
+    """session, original, token, kind, seq, tie, ord: the alias of each original, with where it was made."""
     n = numbered(first_seen(found))
-    return n.select("session", "original", token(F.col("kind"), F.col("n")).alias("token"), "kind", "seq", "ord")
+    return n.select("session", "original", token(F.col("kind"), F.col("n")).alias("token"), "kind", "seq", "tie", "ord")
 
 
 def over_capacity(aliases: DataFrame, most: int) -> DataFrame:
-    """session and seq of the first call that would bring a session's live originals over its capacity, where nothing expires."""
-    per = aliases.groupBy("session", "seq").agg(F.count("*").alias("new"))
-    upto = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.withColumn("live", F.sum("new").over(upto)).where(F.col("live") > most).groupBy("session").agg(F.min("seq").alias("seq"))
+    """session and seq of the first call that would bring a session's live originals over its capacity, where nothing expires: that of the original numbered most + 1 in its session."""
+    firsts = numbered(aliases.select("session", "seq", "tie", "ord").withColumn("_one", F.lit("")), "_one")
+    return firsts.where(F.col("n") == most + 1).select("session", "seq")

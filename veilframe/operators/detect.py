@@ -28,8 +28,9 @@ def with_spans(docs: DataFrame, rules: Rules = Rules(), text: str = "text", kind
     if tagged is not None:
         found = F.concat(found, F.coalesce(tagged, F.expr(EMPTY)))
     never = never_found(t, rules.never) if rules.never else None
-    out = with_status(docs, text)
-    return out.withColumn("spans", F.when(F.col("status") == OK, resolved(found, never)).otherwise(resolved(F.expr(EMPTY))))
+    spans = F.when(status(t) == OK, resolved(found, never)).otherwise(resolved(F.expr(EMPTY)))
+    # exploding an array of one keeps the optimizer from copying the detection to each place where spans are used
+    return with_status(docs, text).select("*", F.explode_outer(F.array(spans)).alias("spans"))
 
 
 def exploded(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ALIAS, MAX_BYTES, MAX_UNKNOWN
@@ -13,61 +13,91 @@ from .detect import OK, TOO_LARGE, exploded, kinds_summary, with_spans
 from .rules import Rules
 
 
-def _sessions(docs: DataFrame, session: str | None, seq: str) -> DataFrame:
-    return docs.withColumn("session", F.col(session).cast("string") if session else F.lit("all")).withColumn("seq", F.col(seq).cast("long"))
+INCOMPLETE = "incomplete"
 
 
-def protect(docs: DataFrame, rules: Rules = Rules(), session: str | None = None, seq: str = "doc_id", text: str = "text", keep_spans: bool = True) -> tuple[DataFrame, DataFrame]:
+def _sessions(docs: DataFrame, session: str | None, seq: str, text: str) -> DataFrame:
+    """docs with session, seq, tie and _row, a number for each row, as seq may repeat or be null."""
+    own = docs.withColumn("_session", F.col(session).cast("string") if session else F.lit("all")).withColumn("_seq", F.col(seq).cast("long"))
+    return own.withColumn("_tie", F.substring(F.md5(F.col(text).cast("binary")), 1, 16)).withColumn("_row", F.monotonically_increasing_id())
+
+
+def protect(docs: DataFrame, rules: Rules = Rules(), session: str | None = None, seq: str = "doc_id", text: str = "text", tagged: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Protected documents and the aliases made.
 
-    docs' rows are the calls of a session, in the order of seq. Protected: docs' columns with text rewritten, status,
+    docs' rows are the calls of a session, in the order of seq; rows without a seq come last, and rows that share one are
+    ordered by their texts. A null session is one like any other. Protected: docs' columns with text rewritten, status,
     count, kinds (kind and count by first appearance) and mappings (those made by the call, in order). A refused text is
-    null, and contributes nothing. Detection runs once; its result is written, as both the aliases and the rewriting
-    need it.
+    null, and contributes nothing. Detection runs once; its result is written with a number for each row, by which the
+    pieces of a text come back to it; a text that lacks any of them would be refused, not shown. Null texts are ok and
+    stay null. An empty table gives no rows. tagged: spans of a name tagger.
     """
     columns = docs.columns
-    own = _sessions(docs, session, seq)
-    found = with_spans(own, rules, text)
-    if keep_spans:
-        found = materialize(found, "spans")
-    cut = exploded(found.select("session", "seq", text, "spans"), "session", "seq", text=text)
+    found = materialize(with_spans(_sessions(docs, session, seq, text), rules, text, tagged=tagged), "spans")
+    calls = found.where(F.size("spans") > 0).select("_row", F.col("_session").alias("session"), F.col("_seq").alias("seq"), F.col("_tie").alias("tie"), text, "spans")
+    cut = exploded(calls, "_row", "session", "seq", "tie", text=text)
     aliases = assign(cut)
-    named = cut.join(aliases.select("session", "original", "token", F.col("seq").alias("made_seq"), F.col("ord").alias("made_ord"), F.col("kind").alias("made_kind")), ["session", "original"])
-    piece = F.struct("ord", F.col("start"), F.col("end"), F.col("token").alias("value"), "original", F.col("made_kind").alias("kind"), ((F.col("made_seq") == F.col("seq")) & (F.col("made_ord") == F.col("ord"))).alias("new"))
-    pieces = named.groupBy("session", "seq").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    out = found.join(pieces, ["session", "seq"], "left")
-    ok = F.col("status") == OK
-    pieces_or_none = F.coalesce(F.col("pieces"), F.expr("cast(array() as array<struct<ord: int, start: int, end: int, value: string, original: string, kind: string, new: boolean>>)"))
-    out = out.withColumn("pieces", pieces_or_none)
-    new = F.transform(F.filter("pieces", lambda p: p["new"]), lambda p: F.struct(p["value"].alias("token"), p["original"].alias("original"), p["kind"].alias("kind")))
-    out = out.withColumn("_protected", F.when(ok, rewritten(F.col(text), F.col("pieces"))))
-    out = out.withColumn("count", F.when(ok, F.size("spans"))).withColumn("kinds", F.when(ok, kinds_summary(F.col("spans")))).withColumn("mappings", F.when(ok, new))
-    out = out.withColumn(text, F.col("_protected")).select(*columns, "status", "count", "kinds", "mappings")
-    return out, aliases
+    made = aliases.select(F.col("session").alias("_s"), F.col("original").alias("_o"), "token", F.struct("seq", "tie", "ord").alias("at"), F.col("kind").alias("made_kind"))
+    named = cut.join(made, F.col("session").eqNullSafe(F.col("_s")) & (F.col("original") == F.col("_o")))
+    # of rows alike in seq and text, which are alike in all they hold, the first makes the alias
+    first = F.min("_row").over(Window.partitionBy("session", "original", "seq", "tie", "ord"))
+    new = F.struct("seq", "tie", "ord").eqNullSafe(F.col("at")) & (F.col("_row") == first)
+    piece = F.struct("ord", "start", "end", F.col("token").alias("value"), "original", F.col("made_kind").alias("kind"), new.alias("new"))
+    pieces = named.select("_row", piece.alias("p")).groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("_pieces"))
+    out = found.join(pieces, "_row", "left")
+    none = F.expr("cast(array() as array<struct<ord: int, start: int, end: int, value: string, original: string, kind: string, new: boolean>>)")
+    out = out.withColumn("_pieces", F.coalesce("_pieces", none))
+    out = out.withColumn("_status", F.when((F.col("status") == OK) & (F.size("_pieces") != F.size("spans")), INCOMPLETE).otherwise(F.col("status")))
+    ok = F.col("_status") == OK
+    mappings = F.transform(F.filter("_pieces", lambda p: p["new"]), lambda p: F.struct(p["value"].alias("token"), p["original"].alias("original"), p["kind"].alias("kind")))
+    made = {text: F.when(ok, rewritten(F.col(text), F.col("_pieces")))}
+    kept = [made.get(c, F.col(f"`{c}`")).alias(c) for c in columns if c not in ("status", "count", "kinds", "mappings")]
+    return out.select(*kept, F.col("_status").alias("status"), F.when(ok, F.size("spans")).alias("count"), F.when(ok, kinds_summary(F.col("spans"))).alias("kinds"), F.when(ok, mappings).alias("mappings")), aliases
+
+
+RESULTS = ("status", "known", "unknown", "unknown_tokens")
 
 
 def restore(docs: DataFrame, aliases: DataFrame, session: str | None = None, seq: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with aliases put back: text, status, known, unknown and unknown_tokens.
 
     Text that looks like an alias is looked up in upper case. Known ones are replaced and not searched again; unknown
-    ones stay. The list of unknown ones has each spelling once, in order, 20 at most.
+    ones stay. The list of unknown ones has each spelling once, in order, 20 at most. Rows that share a seq, or have
+    none, are restored each for itself; null texts stay null. Columns of docs named like the results give way to them.
     """
-    columns = docs.columns
-    own = _sessions(docs, session, seq)
-    ok = F.octet_length(F.col(text)) <= MAX_BYTES
-    own = own.withColumn("_status", F.when(F.octet_length(F.col(text)) > MAX_BYTES, TOO_LARGE).otherwise(OK))
-    marks = own.where(ok & F.col(text).rlike(ALIAS)).select("session", "seq", F.posexplode(find_all(F.col(text), ALIAS)).alias("ord", "x")).select("session", "seq", "ord", "x.*")
+    columns = [c for c in docs.columns if c not in RESULTS]
+    t = F.col(text)
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], (F.col(session).cast("string") if session else F.lit("all")).alias("_session"))
+    small = F.coalesce(F.octet_length(t) <= MAX_BYTES, F.lit(True))
+    holds = F.coalesce(small & t.contains("_") & t.rlike(ALIAS), F.lit(False))
+    plain = own.where(~holds).select(
+        *[F.when(small, F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.when(small, OK).otherwise(TOO_LARGE).alias("status"),
+        F.when(small, 0).alias("known"), F.when(small, 0).alias("unknown"), F.when(small, F.expr("cast(array() as array<string>)")).alias("unknown_tokens"),
+    )
+    rows = materialize(own.where(holds).withColumn("_row", F.monotonically_increasing_id()), "marked")
+    marks = rows.select("_row", "_session", F.posexplode(find_all(t, ALIAS)).alias("ord", "x")).select("_row", "_session", "ord", "x.*")
     upper = F.translate("value", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    known = marks.withColumn("token", upper).join(aliases.select("session", "token", "original"), ["session", "token"], "left")
+    of = aliases.select(F.col("session").alias("_s"), "token", "original")
+    known = marks.withColumn("_upper", upper).join(of, F.col("_session").eqNullSafe(F.col("_s")) & (F.col("_upper") == F.col("token")), "left")
     piece = F.struct("ord", "start", "end", F.coalesce("original", F.col("value")).alias("value"), F.col("original").isNotNull().alias("known"))
-    pieces = known.groupBy("session", "seq").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    out = own.join(pieces, ["session", "seq"], "left").withColumn("pieces", F.coalesce("pieces", F.expr("cast(array() as array<struct<ord: int, start: int, end: int, value: string, known: boolean>>)")))
-    good = F.col("_status") == OK
-    missing = F.transform(F.filter("pieces", lambda p: ~p["known"]), lambda p: p["value"])
-    out = out.withColumn("known", F.when(good, F.size(F.filter("pieces", lambda p: p["known"])))).withColumn("unknown", F.when(good, F.size(missing)))
-    out = out.withColumn("unknown_tokens", F.when(good, F.slice(F.array_distinct(missing), 1, MAX_UNKNOWN)))
-    out = out.withColumn(text, F.when(good, rewritten(F.col(text), F.col("pieces")))).withColumn("status", F.col("_status"))
-    return out.select(*columns, "status", "known", "unknown", "unknown_tokens")
+    pieces = known.groupBy("_row").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    out = rows.join(pieces, "_row")
+    missing = F.transform(F.filter("_pieces", lambda p: ~p["known"]), lambda p: p["value"])
+    out = out.select(
+        *[rewritten(t, F.col("_pieces")).alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.lit(OK).alias("status"),
+        F.size(F.filter("_pieces", lambda p: p["known"])).alias("known"), F.size(missing).alias("unknown"), F.slice(F.array_distinct(missing), 1, MAX_UNKNOWN).alias("unknown_tokens"),
+    )
+    return plain.unionByName(out)
+
+
+def restore_touches(docs: DataFrame, aliases: DataFrame, ts: str, session: str | None = None, seq: str = "doc_id", text: str = "text") -> DataFrame:
+    """The touches that restoring makes, as events (session, ts, seq, original, kind, type) for a session's life: one for each alias found."""
+    t = F.col(text)
+    rows = docs.select((F.col(session).cast("string") if session else F.lit("all")).alias("session"), F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"), t.alias("_t")).where((F.octet_length("_t") <= MAX_BYTES) & F.col("_t").rlike(ALIAS))
+    marks = rows.select("session", "ts", "seq", F.explode(find_all(F.col("_t"), ALIAS)["value"]).alias("value"))
+    upper = F.translate("value", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    of = aliases.select(F.col("session").alias("_s"), "token", "original", "kind")
+    return marks.withColumn("_upper", upper).join(of, F.col("session").eqNullSafe(F.col("_s")) & (F.col("_upper") == F.col("token"))).select("session", "ts", "seq", "original", "kind", F.lit("touch").alias("type"))
 
 
 def round_trip(docs: DataFrame, rules: Rules = Rules(), seq: str = "doc_id", text: str = "text") -> DataFrame:

@@ -45,12 +45,12 @@ def lives(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """session, original, epoch, token, kind, created, last_touch and touches of every entry that ever lived."""
     e = epochs(events, idle_seconds)
     spans = e.groupBy("session", "original", "epoch").agg(F.min("ts").alias("created"), F.max("ts").alias("last_touch"), F.count("*").alias("touches"))
-    firsts = numbered(first_seen(e.withColumn("ord", F.lit(0)), "epoch"))
+    firsts = numbered(first_seen(e.withColumn("ord", F.lit(0)).withColumn("tie", F.lit("")), "epoch"))
     return spans.join(firsts.select("session", "original", "epoch", "kind", "seq", token(F.col("kind"), F.col("n")).alias("token")), ["session", "original", "epoch"])
 
 
 def live_at(entries: DataFrame, clears: DataFrame, now, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """Entries alive at now, a timestamp, in the order in which they were made: those touched since, and not cleared after."""
+    """Entries alive at now, a timestamp: those touched since, and not cleared after. listed() orders them."""
     now = F.lit(now).cast("timestamp_ntz")
     last_clear = clears.where(F.col("ts") <= now).groupBy("session").agg(F.max("ts").alias("_cleared"))
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_touch").cast("timestamp"))
@@ -58,6 +58,11 @@ def live_at(entries: DataFrame, clears: DataFrame, now, idle_seconds: int = IDLE
     return e.where(F.col("_cleared").isNull() | (F.col("last_touch") > F.col("_cleared"))).withColumn("age_s", F.floor(age / 1_000_000)).drop("_cleared")
 
 
+def listed(live: DataFrame) -> DataFrame:
+    """session, token, original and kind of live entries in the order in which they were made."""
+    return live.orderBy("session", F.col("seq").asc_nulls_last(), "token").select("session", "token", "original", "kind")
+
+
 def status(live: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """session, count and expires_in_seconds, the whole seconds until the first entry expires."""
     return live.groupBy("session").agg(F.count("*").alias("count"), F.min(F.lit(idle_seconds) - F.col("age_s")).cast("long").alias("expires_in_seconds"))

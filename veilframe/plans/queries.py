@@ -52,7 +52,7 @@ def re2(pattern: str) -> str:
 
 def sql_find(source: str, d: Detector) -> str:
     """SELECT id, start, stop, v of a detector's finds in source (id, text), trimmed and free on both sides, not checked."""
-    p, g = re2(d.pattern), d.group
+    p, g = re2(d.plain or d.pattern), d.group
     v = {"card": "rtrim(v0, ' -')", "punct": "rtrim(v0, '.,;:!?)]}''\"')", "url": "rtrim(v0, '.,;:!?]}''\"')"}.get(d.trim, "v0")
     return f"""(SELECT id, start, start + length(v) AS stop, v FROM (SELECT id, text, {v} AS v, s0 + {"instr(w, v0) - 1" if g else "0"} AS start FROM (
       SELECT id, text, m[i] AS w, n[i] AS v0, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS s0
@@ -236,7 +236,7 @@ al AS (SELECT v, id, start, kind || '_' || CAST(row_number() OVER (PARTITION BY
 
 @query(f"WITH {_SQL_ALIASES} SELECT v AS original, token, kind FROM al")
 def alias_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return protect.protect(documents(spark, sf, "doc_id", "text"), keep_spans=False)[1].select("original", "token", "kind")
+    return protect.protect(documents(spark, sf, "doc_id", "text"))[1].select("original", "token", "kind")
 
 
 _SQL_PROTECTED = f"""{_SQL_ALIASES}, o AS (SELECT s.id, s.start, s.stop, al.token, lag(s.stop, 1, 0) OVER (PARTITION BY s.id ORDER BY s.start) AS prev, row_number() OVER (PARTITION BY s.id ORDER BY s.start DESC) AS last FROM s JOIN al USING (v)),

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a folder of our own where that is unset) and read it again."""
+    """Write df under spark.checkpoint.dir and read it again. Where that is unset: a folder of our own in local mode (tests), else an error, as no other folder is known to be shared."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="veilframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
