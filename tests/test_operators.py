@@ -230,3 +230,65 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "t" / "x.txt").write_text("hello")
     assert rows(readers.texts(spark, f"{tmp_path}/t", "text"))[0]["text"] == "hello"
     assert [bytes(r["b"]) if r["b"] else None for r in rows(spark.createDataFrame([("4a4B",), ("4",), ("zz",)], "s string").select(readers.bytes_of_hex(F.col("s")).alias("b")))] == [b"JK", None, None]
+
+
+def test_regions_match_a_flood_fill():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        s = (rng.random((int(rng.integers(1, 30)), int(rng.integers(1, 40)))) < 0.62).astype(float)
+        left, want = s >= 0.4, []
+        for y0, x0 in zip(*np.nonzero(left), strict=True):
+            if not left[y0, x0]:
+                continue
+            todo, seen = [(y0, x0)], set()
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < s.shape[0] and 0 <= x < s.shape[1] and left[y, x]:
+                    left[y, x] = False
+                    seen.add((int(y), int(x)))
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            if len(seen) >= 20:
+                ys, xs = zip(*seen, strict=True)
+                a, b = max(min(xs) - 1, 0), max(min(ys) - 1, 0)
+                want.append((a, b, min(max(xs) - min(xs) + 3, s.shape[1] - a), min(max(ys) - min(ys) + 3, s.shape[0] - b)))
+        assert images.regions(s) == want[:200]
+
+
+def test_tensors_of_a_recogniser_and_a_detector():
+    px = np.zeros((20, 50, 4), np.uint8)
+    px[..., 0], px[..., 3] = 255, 255
+    t = images.recogniser_tensor(px, (5, 2, 40, 12))
+    assert t.shape == (3, 48, 160) and np.allclose(t[0], 1) and np.allclose(t[1:], -1)
+    assert images.recogniser_tensor(px, (0, 0, 2, 20)).shape == (3, 48, 48) and images.recogniser_tensor(px, (0, 0, 50, 1)).shape == (3, 48, 960)
+    assert images.detector_tensor(px).shape == (3, 32, 64)
+
+
+def test_png_files_are_saved(spark, tmp_path):
+    from veilframe.sources import writers
+
+    png = images.encode_png(np.zeros((2, 2, 4), np.uint8))
+    writers.png_files(spark.createDataFrame([("a.png", png), ("b.PNG", png), ("c.png", None)], "name string, content binary"), f"{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.png", "b.PNG"] and (tmp_path / "out/a.png").read_bytes() == png
+    for name in ("a.jpg", "../a.png"):
+        with pytest.raises(ValueError):
+            writers.png_files(spark.createDataFrame([(name, png)], "name string, content binary"), f"{tmp_path}/out")
+
+
+def test_images_are_detected(spark):
+    from veilframe.operators import screenshots
+
+    png = images.encode_png(np.full((40, 200, 4), 255, np.uint8))
+    words = [("mail", 0, 5, 30, 10, 0.9), ("a@b.co", 100, 5, 60, 10, 0.8)]
+    d = spark.createDataFrame([(1, png), (2, b"no image"), (3, png)], "image_id long, content binary")
+    got = {r["image_id"]: r for r in screenshots.detected_images(d, lambda content: words).collect()}
+    assert set(got) == {1, 3} and got[1]["text"] == "mail EMAIL_1" and got[3]["count"] == 1
+    assert [(r["token"], [tuple(b) for b in r["boxes"]]) for r in got[1]["redactions"]] == [("EMAIL_1", [(98, 3, 64, 14)])]
+
+
+def test_model_places_are_tried_in_turn(spark):
+    from veilframe.operators import audit
+
+    files = spark.createDataFrame([("b", "m", b"x"), ("c", "m", b"y")], "pack string, name string, content binary")
+    wanted = files.select("pack", "name", F.sha2("content", 256).alias("sha256"), F.lit(1).alias("bytes")).replace("b", "zz", "pack").union(spark.createDataFrame([("b", "m", "00", 1)], "pack string, name string, sha256 string, bytes int"))
+    packs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "pack string, nth int")
+    assert [r[0] for r in audit.first_sound(packs, files, wanted).collect()] == ["c"]

@@ -117,3 +117,24 @@ def test_rule_errors():
     rules = Rules.checked(["Acme"], ["Bolt"])
     assert term_error("a", "always", rules) and term_error("acme", "always", rules) and term_error("bolt", "always", rules)
     assert term_error("new", "never", rules) is None
+
+
+def test_rows_without_a_key_of_their_own_are_protected(spark):
+    from veilframe.operators.protect import protect, restore
+
+    rows = [(None, "secret cc@d.io here"), (1, "mail a@b.co x"), (1, "other c@d.io"), (None, None), (2, ""), (-(2**62), "low q@r.st"), (2**62, "high z@z.zz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    shown, made = protect(d)
+    got = shown.collect()
+    assert len(got) == len(rows) and not any("@" in (r["text"] or "") for r in got)
+    assert {r["original"]: r["token"] for r in made.collect()}["cc@d.io"] == "EMAIL_5"
+    back = restore(shown.select("doc_id", "text"), made).collect()
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in back])) == sorted(map(repr, rows))
+
+
+def test_null_sessions_are_one(spark):
+    from veilframe.operators.protect import protect
+
+    d = spark.createDataFrame([(1, None, "a@b.co"), (2, None, "a@b.co c@d.io"), (3, "x", "c@d.io")], "doc_id long, s string, text string")
+    got = {r["doc_id"]: r["text"] for r in protect(d, session="s")[0].collect()}
+    assert got == {1: "EMAIL_1", 2: "EMAIL_1 EMAIL_2", 3: "EMAIL_1"}

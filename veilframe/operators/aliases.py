@@ -55,5 +55,6 @@ def assign(found: DataFrame) -> DataFrame:
 
 def over_capacity(aliases: DataFrame, most: int) -> DataFrame:
     """session and seq of the first call that would bring a session's live originals over its capacity, where nothing expires: that of the original numbered most + 1 in its session."""
-    firsts = numbered(aliases.select("session", "seq", "tie", "ord").withColumn("_one", F.lit("")), "_one")
+    more = [F.col(c) if c in aliases.columns else F.lit(v).alias(c) for c, v in (("tie", ""), ("ord", 0))]
+    firsts = numbered(aliases.select("session", "seq", *more).withColumn("_one", F.lit("")), "_one")
     return firsts.where(F.col("n") == most + 1).select("session", "seq")

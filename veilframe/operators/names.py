@@ -9,7 +9,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,51 +46,93 @@ def normalized(text: str) -> tuple[str, list[int]]:
 
 
 def windows(text: str) -> list[tuple[int, str]]:
-    """Starts and texts of overlapping windows, halved until their normalised form fits the model."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + WINDOW, len(text))
-        while end > start + 1 and len(normalized(text[start:end])[0]) > MOST_TOKENS:
-            end = start + (end - start) // 2
-        out.append((start, text[start:end]))
-        if end >= len(text):
-            break
-        start = end - min(OVERLAP, (end - start) // 2)
-    return out
+    """Starts and texts of overlapping windows, halved until their normalised form fits the model: its length is a difference of running sums."""
+    size = np.cumsum([0] + [len(normalized(c)[0]) for c in text])  # characters are normalised each for itself
+    cuts: list[tuple[int, int]] = []
+    at, n = 0, len(text)
+    while at < n:
+        wide = min(WINDOW, n - at)
+        while wide > 1 and size[at + wide] - size[at] > MOST_TOKENS:
+            wide //= 2
+        cuts.append((at, at + wide))
+        at = n if at + wide >= n else at + wide - min(OVERLAP, wide // 2)
+    return [(i, text[i:j]) for i, j in cuts]
+
+
+#: A word, or one ASCII mark. White space stands between.
+TOKEN = regex.compile(r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+")
 
 
 def basic_tokens(norm: str) -> list[tuple[int, int]]:
     """Start and end of words and of single ASCII marks in normalised text."""
-    out, start = [], None
-    for i, c in enumerate(norm):
-        mark = c.isascii() and not c.isalnum() and not c.isspace() and c.isprintable()
-        if (mark or c.isspace()) and start is not None:
-            out.append((start, i))
-            start = None
-        if mark:
-            out.append((i, i + 1))
-        elif not c.isspace() and start is None:
-            start = i
-    return out + ([(start, len(norm))] if start is not None else [])
+    return [m.span() for m in TOKEN.finditer(norm)]
 
 
 def word_pieces(word: str, vocab: dict[str, int]) -> list[tuple[str, int, int]]:
     """Greedy longest pieces of a word, with start and end; later ones begin with ##. One unknown piece where that fails."""
-    if len(word) > LONGEST:
-        return [(UNKNOWN, 0, len(word))]
-    out, at = [], 0
-    while at < len(word):
-        for end in range(len(word), at, -1):
-            piece = word[at:end] if at == 0 else f"##{word[at:end]}"
-            if piece in vocab:
-                out.append((piece, at, end))
-                at = end
-                break
-        else:
-            return [(UNKNOWN, 0, len(word))]
+    unknown = [(UNKNOWN, 0, len(word))]
+    out: list[tuple[str, int, int]] = []
+    while (at := out[-1][2] if out else 0) < len(word) <= LONGEST:
+        mark = "##" if out else ""
+        end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in vocab), None)
+        if end is None:
+            return unknown
+        out.append((mark + word[at:end], at, end))
+    return out if len(word) <= LONGEST else unknown
+
+
+def encoded(window: str, vocab: dict[str, int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """The model's ids for a window, [CLS] ids [SEP], and the places in the window of those between."""
+    norm, at = normalized(window)
+    ids, places = [], []
+    for i, j in basic_tokens(norm):
+        for piece, a, b in word_pieces(norm[i:j], vocab):
+            ids.append(vocab.get(piece, vocab.get(UNKNOWN, 100)))
+            places.append((at[i + a], at[i + b - 1] + 1))
+    ids, places = ids[:MOST_TOKENS], places[:MOST_TOKENS]
+    return [vocab.get("[CLS]", 101), *ids, vocab.get("[SEP]", 102)], places
+
+
+def decoded(window: str, places: list[tuple[int, int]], logits: np.ndarray, labels: list[str]) -> list[tuple[int, int, str]]:
+    """start, end and kind of the names in a window by the logits of its tokens (a row for each place), as bio_decoded() finds them."""
+    x = np.exp(logits.astype(np.float64) - logits.max(axis=1, keepdims=True))
+    p, best = (x / x.sum(axis=1, keepdims=True)).max(axis=1), logits.argmax(axis=1)
+    names: list[list] = []
+    is_open = False
+    for (i, j), k, sure in zip(places, best.tolist(), p.tolist(), strict=True):
+        label = labels[k] if k < len(labels) else "O"
+        if is_open and label == f"I-{names[-1][2]}" and sure >= GO_ON:
+            names[-1][1] = j
+        elif is_open := label.startswith("B-") and sure >= OPEN:
+            names.append([i, j, label[2:]])
+    out = []
+    for i, j, kind in names:
+        raw = window[i:j]
+        i, j = i + len(raw) - len(raw.lstrip()), j - len(raw) + len(raw.rstrip())
+        if j - i >= 2 and kind in KINDS:
+            out.append((i, j, KINDS[kind]))
     return out
 
 
+def model_tagger(vocab: dict[str, int], labels: list[str], run: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[list[str]], list[list[tuple[int, int, str]]]]:
+    """A tagger for tagged() from a model: run takes ids, mask and types (1 by tokens) and gives logits (1 by tokens by labels). A window whose run fails has no names."""
+
+    def tag(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        out = []
+        for window in texts:
+            ids, places = encoded(window, vocab)
+            found: list[tuple[int, int, str]] = []
+            if places:
+                row = np.array([ids], dtype=np.int64)
+                logits = np.asarray(run(row, np.ones_like(row), np.zeros_like(row)))
+                if logits.ndim == 3 and logits.shape[1] == len(ids):
+                    found = decoded(window, places, logits[0, 1:-1], labels)
+            out.append(found)
+        return out
+
+    return tag
+
+
 def softmax_best(logits: Column) -> Column:
     """label (place of the highest logit) and p (its probability)."""
     peak = F.array_max(logits)

@@ -15,7 +15,6 @@ from ..functions.patterns import ALIAS, BY_ORDER, KIND_NAMES, Detector
 from ..functions.spans import all_spans, detected, resolved
 from ..functions import text as checks
 from ..operators import audit, detect, layout, names, protect, session
-from ..operators.rules import Rules
 from .storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,9 +155,9 @@ _check_query("val_ipv4", _IP, "ipv4")
 _check_query("val_phone", "concat('+', CAST(o_orderkey AS STRING), ' ', CAST(o_custkey AS STRING))", "phone")
 
 
-@query("SELECT p_partkey, concat('h', repeat(')', CAST(p_partkey % 4 AS INT)), '.,') AS v, 'h' AS trimmed FROM part")
+@query("SELECT p_partkey, concat('h', repeat('(a', CAST(p_partkey % 3 AS INT)), repeat(')', CAST(p_partkey % 5 AS INT)), '.,') AS v, concat('h', repeat('(a', CAST(p_partkey % 3 AS INT)), repeat(')', CAST(least(p_partkey % 3, p_partkey % 5) AS INT))) AS trimmed FROM part")
 def fn_trim_url(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").selectExpr("p_partkey", "concat('h', repeat(')', cast(p_partkey % 4 as int)), '.,') AS v")
+    p = table(spark, sf, "part").selectExpr("p_partkey", "concat('h', repeat('(a', cast(p_partkey % 3 as int)), repeat(')', cast(p_partkey % 5 as int)), '.,') AS v")
     return p.select("p_partkey", "v", checks.trim_url(F.col("v")).alias("trimmed"))
 
 
@@ -210,15 +209,6 @@ def res_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "s.kind", "s.priority")
 
 
-@query("""
-SELECT l_orderkey, CAST(a AS INT) AS start, CAST(b AS INT) AS stop FROM (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS a, l_partkey % 50 + 1 + l_suppkey % 9 AS b FROM lineitem) WHERE NOT (a >= 10 AND b <= 30)
-""")
-def res_never(spark: SparkSession, sf: str) -> DataFrame:
-    never = F.expr("array(named_struct('start', 10, 'end', 30, 'value', 'x'))")
-    kept = F.filter("spans", lambda s: ~F.exists(never, lambda m: (s["start"] >= m["start"]) & (s["end"] <= m["end"])))
-    return _spans(spark, sf).select("l_orderkey", F.explode(kept).alias("s")).select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
-
-
 @query("SELECT c_custkey, CAST(7 AS INT) AS start, CAST(7 + length(c_mktsegment) AS INT) AS stop FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def det_term(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("works: "), F.lower("c_mktsegment"), F.lit(" xBUILDINGx")).alias("text"))
@@ -255,11 +245,6 @@ def kinds_summary(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(detect.kinds_summary(F.col("spans"))).alias("k")).select("doc_id", "k.kind", F.col("k.count").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE false")
-def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return protect.round_trip(documents(spark, sf, "doc_id", "text"))
-
-
 @query("""
 SELECT c_custkey, concat('mail ', CASE WHEN e BETWEEN 1 AND 5 THEN concat('user', CAST(e AS STRING), '@ex.com') ELSE concat('email_', CAST(e AS STRING)) END, ' or PERSON_', CAST(c_custkey % 3 AS STRING), ' end') AS text,
   CASE WHEN e BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS known, CASE WHEN e BETWEEN 1 AND 5 THEN 1 ELSE 2 END AS unknown,
@@ -321,30 +306,6 @@ def kind_display(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.select("kind", session.kind_name(F.col("kind")).alias("shown"))
 
 
-# --- rules -----------------------------------------------------------------------------------------------------------
-
-
-@query("SELECT term FROM (SELECT trim(p_name) AS term, row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) AS r FROM part WHERE p_partkey <= 300) WHERE r = 1 AND length(term) > 0")
-def rules_clean(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.rules import cleaned
-
-    terms = [r[0] for r in table(spark, sf, "part").where("p_partkey <= 300").orderBy("p_partkey").select("p_name").collect()]
-    return spark.createDataFrame([(t,) for t in cleaned(terms)], "term string")
-
-
-@query("SELECT count(*) > 0 AS conflict FROM (SELECT DISTINCT lower(c_mktsegment) AS t FROM customer) WHERE t = 'building'")
-def rules_conflict(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.rules import ConflictingRule
-
-    terms = [r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect()]
-    try:
-        Rules.checked(terms, ["building"])
-        conflict = False
-    except ConflictingRule:
-        conflict = True
-    return spark.createDataFrame([(conflict,)], "conflict boolean")
-
-
 # --- layout ----------------------------------------------------------------------------------------------------------
 
 _WORDS = {
@@ -410,17 +371,11 @@ def ocr_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_orderkey AS image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT o_orderkey FROM orders WHERE o_orderkey <= 40), range(0, 12) a(x), range(0, 10) b(y)),
+WITH p AS (SELECT o_orderkey AS image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM orders, range(0, 12) a(x), range(0, 10) b(y)),
 b AS (SELECT l_orderkey AS i, l_linenumber AS bx, l_partkey % 6 AS byy, l_suppkey % 4 AS bw, 3 AS bh FROM lineitem)
 SELECT image_id, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM b WHERE i = image_id AND x >= bx AND x < bx + bw AND y >= byy AND y < byy + bh) THEN 1 ELSE 0 END) AS BIGINT) AS black, CAST(count(*) AS BIGINT) AS pixels FROM p GROUP BY image_id
 """)
 def pixel_redact_check(spark: SparkSession, sf: str) -> DataFrame:
-    """The pixel grid of a bounded number of generated images; pixel_redact_all has all."""
-    return _blacked(spark, sf, table(spark, sf, "orders").where("o_orderkey <= 40"))
-
-
-@query()
-def pixel_redact_all(spark: SparkSession, sf: str) -> DataFrame:
     """The pixel grids of all orders' generated images."""
     return _blacked(spark, sf, table(spark, sf, "orders"))
 
@@ -445,15 +400,6 @@ def ner_softmax(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", names.softmax_best(logits).alias("b")).select("vec_id", "b.label", F.round("b.p", 5).alias("p"))
 
 
-@query()
-def ner_bio_decode(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 7), lambda v: v.cast("double") * 60)
-    tokens = e.select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.lit(0).alias("window_ix"), (F.col("vec_id") % 8).cast("int").alias("token_ix"), ((F.col("vec_id") % 8) * 5).cast("int").alias("start"), ((F.col("vec_id") % 8) * 5 + 4).cast("int").alias("end"), logits.alias("logits"))
-    texts = tokens.select("doc_id").distinct().withColumn("text", F.lit("anna bert carl dora emil fred gina hugo"))
-    return names.bio_decoded(tokens, ["O", "B-PERSON", "I-PERSON", "B-ORGANIZATION", "I-ORGANIZATION", "B-LOCATION", "I-LOCATION"], texts)
-
-
 @query("""
 WITH s AS (SELECT vec_id // 16 AS line_id, vec_id % 16 AS step, list_position(embedding[1:5], list_max(embedding[1:5])) - 1 AS best FROM embeddings),
 k AS (SELECT *, lag(best) OVER (PARTITION BY line_id ORDER BY step) AS prev FROM s)
@@ -476,13 +422,6 @@ def audit_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr("doc_id", more).select("doc_id", F.array_join(audit.text_problems(F.col("t")), ",").alias("problems"))
 
 
-@query("SELECT true AS ok")
-def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_name").cast("binary").alias("content"))
-    wanted = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.upper(F.sha2("n_name", 256)).alias("sha256"), F.octet_length("n_name").alias("bytes"))
-    return audit.manifest_ok(files, wanted)
-
-
 @query(f"SELECT lang, status, CAST(count(*) AS BIGINT) AS documents FROM (SELECT lang, CASE WHEN strlen(text) > 100000 THEN 'input_too_large' WHEN regexp_matches(text, {re2(ALIAS)}) THEN 'collision' ELSE 'ok' END AS status FROM documents) GROUP BY lang, status")
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     """An extension of ours: counts only, no content."""

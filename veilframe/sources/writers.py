@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,24 @@ def rules(spark: SparkSession, r: Rules, path: str) -> None:
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def png_files(df: DataFrame, path: str) -> None:
+    """Redacted images (name, content) as files under path, a folder or the URI of a store that pyarrow writes to. Names must end in .png, whatever its case, and name no folder above. A file is written aside and then moved, so a task that is run again leaves no half of one."""
+    wrong = df.where(~F.lower("name").endswith(".png") | F.col("name").contains("..")).limit(1).count()
+    if wrong:
+        raise ValueError("an image's name must end in .png")
+
+    def save(rows) -> None:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(root)
+        for r in rows:
+            aside = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as out:
+                out.write(r["content"])
+            store.move(aside, f"{root}/{r['name']}")
+
+    df.select("name", "content").where("content is not null").foreachPartition(save)
+
+
 def images(df: DataFrame, path: str) -> None:
     """Redacted images (name, content): names must end in .png, whatever its case. Written as a table of binary rows, so through Spark's commit."""
     wrong = df.where(~F.lower("name").endswith(".png")).limit(1).count()

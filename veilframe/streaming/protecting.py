@@ -1,7 +1,8 @@
 """Protecting a stream of texts: aliases as state, idle ones expire, counters don't.
 
 Each session is a group of transformWithStateInPandas: a map state from original to alias with a time to live, renewed
-at each use, and a map state of counters without one. A text is protected in the order of its arrival; one that would
+at each use - a protected or a restored text - and a map state of counters without one. A call's op is protect, restore
+or clear, which drops the aliases and keeps the counters; where the stream has no op, all calls protect. A text is protected in the order of its arrival; one that would
 bring a session over its capacity changes nothing and is refused. Batch operators find the spans before the state is
 asked.
 """
@@ -12,12 +13,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.patterns import IDLE_SECONDS, MAX_LIVE
-from ..operators.detect import OK, with_spans
+from ..functions.patterns import ALIAS, IDLE_SECONDS, MAX_LIVE
+from ..functions.spans import FOUND, find_all
+from ..operators.detect import OK, TOO_LARGE, with_spans
 from ..operators.rules import Rules
 
+#: Letters of ASCII in upper case.
+UPPER = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 OUT = "session string, seq long, text string, status string, count int"
 
 
@@ -37,6 +42,24 @@ class Aliasing(StatefulProcessor):
         for part in rows:
             out = []
             for r in part.sort_values("seq", kind="stable").itertuples(index=False):
+                if r.op == "clear":
+                    self.aliases.clear()
+                    live = {}
+                    out.append((key[0], r.seq, None, OK, 0))
+                    continue
+                if r.op == "restore":
+                    if r.status == TOO_LARGE:
+                        out.append((key[0], r.seq, None, r.status, None))
+                        continue
+                    of, pieces, at, known = {t: o for o, t in live.items()}, [], 0, 0
+                    for m in r.marks:
+                        original = of.get(r.text[m["start"] : m["end"]].translate(UPPER))
+                        if original is not None:
+                            pieces += [r.text[at : m["start"]], original]
+                            at, known = m["end"], known + 1
+                            self.aliases.updateValue((original,), (live[original],))
+                    out.append((key[0], r.seq, "".join(pieces) + r.text[at:], OK, known))
+                    continue
                 if r.status != OK:
                     out.append((key[0], r.seq, None, r.status, None))
                     continue
@@ -69,6 +92,9 @@ class Aliasing(StatefulProcessor):
 
 
 def protect_stream(texts: DataFrame, rules: Rules = Rules(), idle_seconds: int = IDLE_SECONDS, most: int = MAX_LIVE) -> DataFrame:
-    """A stream (session, seq, text) protected; needs the RocksDB state store."""
-    found = with_spans(texts.select("session", "seq", "text"), rules)
+    """A stream (session, seq, text, and op where it has one) protected, restored and cleared; needs the RocksDB state store. count: spans replaced, or aliases put back."""
+    op = F.col("op") if "op" in texts.columns else F.lit("protect")
+    rows = texts.select("session", "seq", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(op, F.lit("protect")).alias("op"))
+    marks = F.when(F.col("op") == "restore", find_all(F.col("text"), ALIAS)).otherwise(F.expr(f"cast(array() as {FOUND})"))
+    found = with_spans(rows, rules).withColumn("marks", marks)
     return found.groupBy("session").transformWithStateInPandas(Aliasing(idle_seconds, most), outputStructType=OUT, outputMode="append", timeMode="processingTime")
