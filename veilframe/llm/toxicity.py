@@ -9,12 +9,14 @@ labelled rows, gives the score.
 
 The lexicon is learned from a bounded sample of labels; scores cover all texts whole. Null, empty and wordless texts get the curve's value at no
 match. Rows of labels with a null label, and labels of rows that don't exist, aren't learned. With several labels for an
-id each counts. Repeated rows are scored alike. Without labels every score is 0.5 less a little. Only the text is an
-input of a score.
+id each counts. Repeated rows are scored alike, and rows that share a labelled id are all learned. An empty table gives
+no rows; without labels every score is 0.5 less a little. Columns but the key and the text aren't read. Only the text is
+an input of a score.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -84,9 +86,15 @@ class Lexicon:
         for end, (term, size, counts) in a.iter(t):
             (found if counts else spared).append((end + 1 - size, end + 1, term))
         best: dict[int, str] = {}
+        starts, reach = [], []  # exceptions by their start, and how far any up to it goes
+        for i, j, _ in sorted(spared):
+            starts.append(i)
+            reach.append(max(j, reach[-1]) if reach else j)
         for start, stop, term in found:  # of terms that begin together the heaviest
-            if (start not in best or self.weights[term] > self.weights[best[start]]) and not any(i <= start and stop <= j for i, j, _ in spared):
-                best[start] = term
+            if start not in best or self.weights[term] > self.weights[best[start]]:
+                at = bisect.bisect_right(starts, start)
+                if not at or reach[at - 1] < stop:
+                    best[start] = term
         seen: dict[str, int] = {}
         for term in best.values():
             seen[term] = seen.get(term, 0) + 1
@@ -111,8 +119,7 @@ def terms(text: str | None, longest: int) -> tuple[dict[str, int], int]:
     for w, k in words.items():
         k = k.bit_length()  # repeats are damped
         n += k
-        if len(w) <= 24:
-            out[f" {w} "] = k
+        out[f" {w} "] = k
         for i in range(3, min(len(w), longest) + 1):
             t = f" {w[:i]}"
             out[t] = out.get(t, 0) + k
@@ -169,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 30_000, size: int = 20
     heavy = counts.where(F.col("term").isNotNull() & (F.col("docs") >= least)).withColumn("w", odds).withColumn("z", z)
     lexicon = Lexicon(chosen({r["term"]: (r["w"], r["docs"]) for r in heavy.where("w > 1 and z > 3").orderBy(F.desc("z"), "term").limit(size).collect()}))
     share = min(1.0, curve_rows / max(1, labelled.count()))
-    few = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # rows are drawn each for itself, as very many may share a text; the table is written, so their numbers stay
+    few = labelled.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1_000_000))
     shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
