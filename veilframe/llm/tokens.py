@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, docs_table, materialize, new_path, small_batches, text_bytes
+from .common import batches, docs_table, kept, materialize, new_path, small_batches, text_bytes
 
 PAD = b"P*M\x18\x00\x00\x00\x00"
 SEEK_MAGIC = 0x8F92EAB1
@@ -53,9 +53,12 @@ RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 END = struct.pack("<I", END_ID)
 #: Distinct pieces remembered by a worker.
 PIECES = 450_000
-#: A part whose pieces PIECE finds as the vocabulary's splitting rule does: no apostrophe, no white space but single line ends.
-SIMPLE = re.compile(r"(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n(?=\S))+")
-PIECE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[.,;:!?|*$#%&()\-\"=@/+_]+|\n")
+# Letters and marks that the vocabulary's splitting rule takes for such.
+_LETTERS, _MARKS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r".,;:!?|*$#%&()\-\"=@/+_"
+#: A part that PIECE splits as that rule does: no other character, such as an apostrophe, and no white space but single line ends.
+SIMPLE = re.compile(rf"(?:[{_LETTERS}0-9{_MARKS}]++|\n(?=\S))++")
+PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
+_STOPS = frozenset(".,;:!?")
 #: The vocabulary writes a byte that isn't a visible Latin-1 character as the next free one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -86,55 +89,54 @@ class Encoder:
     """Text to ids as little-endian bytes, with the end id; pieces seen before aren't encoded again.
 
     The vocabulary's splitting rule always ends a piece before a space that follows a character that isn't white
-    space, so a text may be cut there and the parts encoded alone. A text with a space beside other white space is
-    encoded whole. A part of Latin letters, digits and marks is split by that rule here and its pieces go to the
-    library's merges, all others to the whole library.
+    space, so a text may be cut there and the parts encoded alone. A text with a space beside other white space, or with
+    one of the vocabulary's special tokens in it, is encoded whole. Parts of Latin letters, digits and marks are split
+    by that rule here and their pieces go to the library's merges, all others to the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.merges = self.tokenizer.model
         self.later = Memo(lambda w: self._part(w, True))
         self.first = Memo(lambda w: self._part(w, False), PIECES // 8)
-        self.bare = Memo(lambda w: self._piece(w), PIECES // 8)
+        self.bare = Memo(self._piece, PIECES // 8)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _part(self, part: str, space: bool) -> bytes:
-        if part.isascii() and part.isalpha():
-            return array("I", [t.id for t in self.merges.tokenize(f"\u0120{part}" if space else part)]).tobytes()
+        if part.isascii():
+            if part.isalpha():
+                return array("I", [t.id for t in self.merges.tokenize(f"\u0120{part}" if space else part)]).tobytes()
+            if space and part[-1:] in _STOPS and part[:-1].isalpha():  # a word and one mark, the most common by far
+                return self.later[part[:-1]] + self.bare[part[-1]]
         if not SIMPLE.fullmatch(part):
-            return array("I", self.tokenizer.encode(f" {part}" if space else part, add_special_tokens=False).ids).tobytes()
+            return self._whole(f" {part}" if space else part)
         pieces = PIECE.findall(part)
         if len(pieces) == 1:
             return self._piece(f" {part}" if space else part)
         return (self.later[pieces[0]] if space else self.bare[pieces[0]]) + b"".join(map(self.bare.__getitem__, pieces[1:]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if beside(t):
-                ids = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-            else:
-                head, *tail = t.split(" ")
-                ids = self.first[head] + b"".join(map(self.later.__getitem__, tail))
-            out.append(ids + END)
-        return out
+    def _ids(self, text: str) -> bytes:
+        if beside(text) or any(x in text for x in self.special):
+            return self._whole(text)
+        head, *tail = text.split(" ")
+        return self.first[head] + b"".join(map(self.later.__getitem__, tail))
 
-
-#: Encoders of this worker process by vocabulary file; they outlive a task.
-ENCODERS: dict[str, Encoder] = {}
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self._ids(t) + END for t in texts]
 
 
 def encoder_of(path: str) -> Encoder:
-    if path not in ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    """The worker's encoder for a vocabulary file; it outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 def frames(docs: Iterator[tuple[int | None, bytes]], level: int = 3, frame_bytes: int = FRAME_BYTES) -> Iterator[bytes]:
@@ -190,7 +192,7 @@ class Shard:
         self.index = json.loads(self.frame(n - 1))
 
     @classmethod
-    def of(cls, content: bytes) -> "Shard":
+    def of(cls, content: bytes | memoryview) -> "Shard":
         view = memoryview(content)
         return cls(lambda at, n: bytes(view[at : at + n]), len(content))
 
@@ -219,8 +221,10 @@ class Shard:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, level: int = 3, shard_bytes: int = SHARD_BYTES) -> str:
-    """Encode docs (doc_id, text) and write the shards to path; shards in name order hold ascending doc_ids."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    """Encode docs (doc_id, text) and write the shards to path; shards by their number hold ascending doc_ids."""
+    # rows that share an id, or have none, are told apart by where they are read, so they too are cut to shards
+    order = ["doc_id", "_p"]
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().alias("_p"))
     shards = max(1, -(-text_bytes(docs) // shard_bytes))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,42 +237,48 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, level: int = 3, sha
         for f in frames(documents(), level):
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary())], ["frame"])
 
-    rows = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, "frame binary")
+    rows = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, "frame binary")
     rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", PAD.decode()).option("compression", "none").text(path)
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document from the shards: shard (file name), place in it, doc_id, local_start, n_tokens, ids_crc32, ids."""
+def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """One row per document from the shards: shard (file name), place in it, doc_id, local_start, n_tokens, ids_crc32, and ids if they are wanted."""
+    names = ["shard", "place", "doc_id", "local_start", "n_tokens", "ids_crc32"] + ["ids"] * ids
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * ids
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                if not content:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                content = memoryview(content.as_buffer())
+                if not len(content):
                     continue
                 at, rows = 0, []
-                for place, (doc_id, ids) in enumerate(Shard.of(content).documents()):
-                    rows.append((name.rpartition("/")[2], place, doc_id, at, len(ids) // 4, zlib.crc32(ids), ids))
-                    at += len(ids) // 4
+                for place, (doc_id, raw) in enumerate(Shard.of(content).documents()):
+                    rows.append((name.as_py().rpartition("/")[2], place, doc_id, at, len(raw) // 4, zlib.crc32(raw), *[raw] * ids))
+                    at += len(raw) // 4
                     if len(rows) == 512:
-                        yield _rows(rows)
+                        yield table(rows)
                         rows = []
                 if rows:
-                    yield _rows(rows)
+                    yield table(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(decode, "shard string, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary")
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["shard", "place", "doc_id", "local_start", "n_tokens", "ids_crc32", "ids"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    return files.mapInArrow(decode, "shard string, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards of path."""
-    rows = materialize(read_tokens(spark, path).select("shard", "doc_id", "local_start", "n_tokens", "ids_crc32"), "digest")
+    rows = materialize(read_tokens(spark, path, ids=False).select("shard", "doc_id", "local_start", "n_tokens", "ids_crc32"), "digest")
+    return placed(rows)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of rows (shard, doc_id, local_start, n_tokens, ids_crc32); shards in the order of their numbers."""
+    rows = rows.withColumn("shard", F.regexp_extract("shard", r"^part-(\d+)", 1).cast("long"))
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
