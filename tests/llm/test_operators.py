@@ -541,6 +541,22 @@ def test_contamination_in_blocks_keeps_every_row(spark):
         assert len(one) == d.count() and one == many
 
 
+def test_contamination_by_a_benchmark_of_one_text(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(i % 40, text) for i in range(400)], "item_id long, text string")
+    d = documents(spark, ["a b " + text, "nothing"])
+    one = sorted(map(repr, rows(decontam.hit_spans(d, bench, "doc_id"))))
+    sizes, phrases = [], decontam._phrases
+
+    def counted(items, window):
+        sizes.append(items.count())
+        return phrases(items, window)
+
+    monkeypatch.setattr(decontam, "_phrases", counted)
+    many = sorted(map(repr, rows(decontam.hit_spans(d, bench, "doc_id", block_bytes=len(text) * 100))))
+    assert one == many and sum(sizes) == 40 and max(sizes) < 30
+
+
 def test_contamination_of_awkward_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
     d = awkward(spark)

@@ -217,7 +217,9 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, key: str, window: int = WIN
         return _search(docs, _phrases(benchmark, window), key)
     # written, so that a row has the same number for every block; ids may repeat or be null
     rows = materialize(docs.select(key, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = [_search(rows, _phrases(benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b), window), "_row") for b in range(blocks)]
+    # dealt by id and text, so that neither items of one text nor repeated rows fill a block
+    items = benchmark.select("item_id", "text").distinct()
+    parts = [_search(rows, _phrases(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window), "_row") for b in range(blocks)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
