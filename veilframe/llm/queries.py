@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, substrings
+from . import decontam, embeddings, fim, substrings
 from .classlm import op7_class_lm
 from .decontam import op8_benchmark_decontamination
 from .embeddings import op4_embedding_near_dedup
+from .fim import op13_fill_in_middle
 from .jaccard import op6_ngram_jaccard_join
 from .langid import op2_language_id
 from .mixing import op1_source_mixing
+from .packing import op11_pattern_packing
 from .pii import op5_pii_pseudonyms
 from .substrings import op3_substring_dedup
 from .tokens import op10_token_files
 from .toxicity import op9_toxicity
+from .whitening import op12_embedding_whitening
 
 
 OPERATORS = (
@@ -30,6 +33,9 @@ OPERATORS = (
     op8_benchmark_decontamination,
     op9_toxicity,
     op10_token_files,
+    op11_pattern_packing,
+    op12_embedding_whitening,
+    op13_fill_in_middle,
 )
 
 
@@ -42,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substrings.ORACLE,
         "op4_embedding_near_dedup": embeddings.ORACLE,
         "op8_benchmark_decontamination": decontam.ORACLE,
+        "op13_fill_in_middle": fim.ORACLE,
     }
