@@ -11,7 +11,8 @@ item of fewer, but not none, is one window. Null and empty texts have no words a
 once; items with a null id mark words but aren't listed. Repeated documents are judged each for itself. No documents
 give no rows; an empty benchmark hits nothing. Extra columns of documents are kept by decontaminate(), whatever their names.
 
-The benchmark is the stated query set: it is searched in blocks of a bounded size, each against all documents.
+The benchmark is the stated query set: it is searched in blocks of a bounded size, one after the other, each against all
+documents; the driver and the executors hold one block at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,16 +216,19 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, key: str, window: int = WIN
     size = benchmark.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
     if blocks == 1:
-        return _search(docs, _phrases(benchmark, window), key)
+        return _search(docs, _phrases(benchmark, window), key)[0]
     # written, so that a row has the same number for every block; ids may repeat or be null
     rows = materialize(docs.select(key, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
     # dealt by id and text, so that neither items of one text nor repeated rows fill a block
     items = benchmark.select("item_id", "text").distinct()
-    parts = [_search(rows, _phrases(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window), "_row") for b in range(blocks)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    found = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = None
+    for b in range(blocks):
+        # one block at a time is on the driver and with the executors: its hits are written, then it goes
+        part, shared = _search(rows, _phrases(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window), "_row")
+        part = materialize(part if b == 0 else part.where(F.size("spans") > 0), "hits")
+        shared.destroy()
+        every = part if every is None else every.unionByName(part)
+    found = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return rows.select("_row", key).join(found, "_row").select(key, "n_words", merged("spans").alias("spans"), "items")
 
 
@@ -239,7 +244,8 @@ def merged(spans: str):
     )
 
 
-def _search(docs: DataFrame, phrases: Phrases, key: str) -> DataFrame:
+def _search(docs: DataFrame, phrases: Phrases, key: str) -> tuple[DataFrame, Broadcast]:
+    """What hit_spans() gives for the items of one block, and the broadcast that holds these."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # bounded by BLOCK_BYTES of benchmark text
 
@@ -257,7 +263,7 @@ def _search(docs: DataFrame, phrases: Phrases, key: str) -> DataFrame:
             items = pa.array([sorted(i for i in s if i is not None) for _, s in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([t[key].combine_chunks(), pa.array(counts, pa.int64()), spans, items], [key, "n_words", "spans", "items"])
 
-    return small_batches(docs).select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {SPANS}, items array<string>")
+    return small_batches(docs).select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {SPANS}, items array<string>"), shared
 
 
 def n_hit():
