@@ -312,6 +312,11 @@ def compare(t: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
             yield ids[x], ids[y]
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """k and text, once for all rows alike in id and text: these are made one where they are read, before any shuffle."""
+    return docs.select(row_key(), F.col("text").cast("binary").alias("text")).groupBy("k").agg(F.min("text").alias("text"))
+
+
 def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, links: for each class a its links to others by whole sets, in parts to be summed, and a link to b that holds a family's linked classes together (null where it is the smallest).
 
@@ -323,7 +328,7 @@ def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     members = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("c", "d", "m", "k", "part", F.xxhash64("family", F.least("part", "o"), F.greatest("part", "o")).alias("g"), (F.col("part") != F.col("o")).alias("cross"))
-    rows = members.join(docs.select(row_key(), F.col("text").cast("binary").alias("text")), "k").select("g", "cross", "part", "c", "d", "m", "text")
+    rows = members.join(texts(docs), "k").select("g", "cross", "part", "c", "d", "m", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +339,8 @@ def proven(families: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
                 yield from prove(rows, similarity)
 
         for b in it:
-            texts = shingle_sets(as_bytes(pa.chunked_array([b["text"]])))
-            for g, cross, part, c, d, m, found in zip(*(b[x].to_pylist() for x in ("g", "cross", "part", "c", "d", "m")), texts, strict=True):
+            sets = shingle_sets(as_bytes(pa.chunked_array([b["text"]])))
+            for g, cross, part, c, d, m, found in zip(*(b[x].to_pylist() for x in ("g", "cross", "part", "c", "d", "m")), sets, strict=True):
                 if g != group:
                     yield from done()
                     group, rows = g, {}
@@ -411,10 +416,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """docs with one document of each group that links hold together: that of the smallest id, and of rows that repeat it one. All columns as they were; rows without words stay."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
-    kept = joined(docs, similarity, recall).where("kept and d is not null").groupBy("k").agg(F.count("*").alias("copies"))
-    out = own.where("_words").join(kept, "k")
-    one, many = out.where("copies = 1"), out.where("copies > 1").dropDuplicates(["k"])
-    return one.unionByName(many).unionByName(own.where("not _words").select("row", "k", "_words", F.lit(1).cast("long").alias("copies"))).select("row.*")
+    kept = joined(docs, similarity, recall).where("kept and d is not null").select("k").distinct()
+    one = own.where("_words").groupBy("k").agg(F.first("row").alias("row"))  # of rows that repeat it, added up where they are read
+    return one.join(kept, "k").select("row").unionByName(own.where("not _words").select("row")).select("row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
