@@ -9,11 +9,12 @@ ending: the classes beside it are counted over all texts, and it takes the class
 staying where exchange left them (a batch step of exchange, in parallel over words). A word never seen has the class of
 its ending. Class bigrams are counted anew from the classes of all words. A class transition is smoothed towards the
 class frequencies (Witten-Bell), a word's emission is discounted, and what that frees goes to as many unseen words as
-the class has seen ones.
+the class has seen ones; where more than these occur in texts that weren't learned from, their probabilities pass 1 together.
 
 Documents are dealt to blocks of a bounded size. A block sends each of its distinct words once, as a 64-bit hash with
 its count in training texts; sums are added up before the shuffle, and go back to the blocks by a join whose large
-partitions Spark splits, so a word of all documents gives a row per block and not one task's load.
+partitions Spark splits. The bigrams of frequent words, a bounded number, are summed by class in the tasks that count
+them and again after a shuffle, so that no task holds what all texts say of one word.
 
 A null text is empty: one token, its end. Rows with a null id are scored but not learned from. Repeated rows count and
 are scored each. Without training texts nothing is known: base scores divide by the one unknown type, and the model's
@@ -230,32 +231,51 @@ def item_bigrams(train: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-NEAR = "h long, seed int, near binary"
+NEAR = "h long, seed int, near array<long>"
 COUNT = 40  # bits of a count beside a class
+#: Words that more than one in so many tokens is: no more than so many, whatever the corpus.
+HOT = 1 << 20
 
 
-def neighbours(train: DataFrame, items: Items, classes: np.ndarray) -> DataFrame:
-    """h, seed, near: each word that isn't an item of its own with its ending's class and the classes beside it in some texts: longs of (side * CLASSES + class) << COUNT | count."""
-    shared = train.sparkSession.sparkContext.broadcast((items, classes))
+def neighbours(train: DataFrame, items: Items, classes: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """h, seed, near: each word that isn't an item of its own with its ending's class and the classes beside it in some texts: longs of (side * CLASSES + class) << COUNT | count.
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, classes = shared.value
+    A hot word (hot: their hashes) has a row for each class beside it in all texts, 2 * CLASSES at most, as sums begin in
+    the tasks that count; any other has a row for each batch of texts that holds it, so no more than one in HOT tokens.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((items, classes, np.sort(hot.astype(np.uint64))))  # HOT hashes at most
+
+    def counted(it: Iterator[pa.RecordBatch], of_hot: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For batches of texts: hashes and seeds of the distinct words, and word, class beside it and count of their bigrams."""
+        items, classes, hot = shared.value
         for b in batches(it, 8 << 20):
             t = Tokens(as_bytes(b["text"]))
             item = items.of(t)
             now = classes[item][t.number]
-            at = np.flatnonzero((item > len(items.top))[t.number])
+            wanted = np.zeros(len(t.hashes), dtype=bool)
+            if len(hot):
+                wanted = hot[np.minimum(np.searchsorted(hot, t.hashes), len(hot) - 1)] == t.hashes
+            wanted = np.append(wanted == of_hot, False) & (item > len(items.top))
+            at = np.flatnonzero(wanted[t.number])
             word = t.number[at] * (2 * CLASSES)
             before, after = np.append(0, now[:-1])[at], now[np.minimum(at + 1, len(now) - 1)]  # an end follows each text
             key, n = np.unique(np.concatenate([word + before, word + CLASSES + after]), return_counts=True)
-            word = key // (2 * CLASSES)
+            yield t.hashes, classes[item], key // (2 * CLASSES), key % (2 * CLASSES), n
+
+    def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, seed, word, beside, n in counted(it, False):
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            cut = (np.append(first, len(key)) * 8).astype(np.int32)
-            near = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer((key % (2 * CLASSES) << COUNT | n).tobytes())])
-            own = word[first]
-            yield pa.RecordBatch.from_arrays([pa.array(t.hashes[own].view(np.int64)), pa.array(classes[item[own]].astype(np.int32)), near], ["h", "seed", "near"])
+            near = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.array(beside << COUNT | n))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[word[first]].view(np.int64)), pa.array(seed[word[first]].astype(np.int32)), near], ["h", "seed", "near"])
 
-    return train.select("text").mapInArrow(count, NEAR)
+    def often(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, seed, word, beside, n in counted(it, True):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[word].view(np.int64)), pa.array(seed[word].astype(np.int32)), pa.array(beside), pa.array(n)], ["h", "seed", "beside", "n"])
+
+    texts = train.select("text")
+    sums = texts.mapInArrow(often, "h long, seed int, beside long, n long").groupBy("h", "seed", "beside").agg(F.sum("n").alias("n"))
+    entry = F.shiftleft("beside", COUNT).bitwiseOR(F.col("n"))
+    return texts.mapInArrow(rare, NEAR).unionByName(sums.select("h", "seed", F.array(entry).alias("near")))
 
 
 def likeliest(table: np.ndarray, key: np.ndarray, n: np.ndarray, first: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -284,21 +304,26 @@ def placed(near: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
     """h, cls: the class of every word of near() by all its bigrams, given the class bigrams of exchange."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(h: np.ndarray, seed: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
+        def added(h: np.ndarray, seed: np.ndarray, entry: np.ndarray) -> list[np.ndarray]:
+            """The same words, sorted, with one entry for each class beside them."""
             word = np.cumsum(np.diff(h, prepend=h[0]) != 0)
-            at, inverse = np.unique(word * (2 * CLASSES) + (entry >> COUNT), return_inverse=True)
-            n = np.bincount(inverse, weights=entry & ((1 << COUNT) - 1))
-            first = np.flatnonzero(np.diff(at // (2 * CLASSES), prepend=-1))
-            begin = np.flatnonzero(np.diff(word, prepend=-1))
-            cls = likeliest(table, at % (2 * CLASSES), n, first, seed[begin])
+            at, first, inverse = np.unique(word * (2 * CLASSES) + (entry >> COUNT), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, weights=entry & ((1 << COUNT) - 1)).astype(np.int64)
+            return [h[first], seed[first], at % (2 * CLASSES) << COUNT | n]
+
+        def solved(h: np.ndarray, seed: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            cls = likeliest(table, entry >> COUNT, (entry & ((1 << COUNT) - 1)).astype(np.float64), begin, seed[begin])
             return pa.RecordBatch.from_arrays([pa.array(h[begin]), pa.array(cls.astype(np.int32))], ["h", "cls"])
 
         held = [np.empty(0, dtype=np.int64)] * 3
         for b in it:
-            size = pc.binary_length(b["near"]).to_numpy(zero_copy_only=False) // 8
-            new = [np.repeat(b["h"].to_numpy(), size), np.repeat(b["seed"].to_numpy().astype(np.int64), size), np.frombuffer(b"".join(b["near"].to_pylist()), dtype=np.int64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on
+            if not b.num_rows:
+                continue
+            size = pc.list_value_length(b["near"]).to_numpy(zero_copy_only=False)
+            new = [np.repeat(b["h"].to_numpy(), size), np.repeat(b["seed"].to_numpy().astype(np.int64), size), b["near"].flatten().to_numpy()]
+            held = added(*[np.concatenate(x) for x in zip(held, new, strict=True)])
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on: its sums are held, no more
             if cut:
                 yield solved(*[x[:cut] for x in held])
                 held = [x[cut:] for x in held]
@@ -318,7 +343,9 @@ def fit(train: DataFrame, types: DataFrame, top: int = TOP, parts: int = LEAST_B
     bigrams = item_bigrams(train, items)
     classes = exchange(bigrams)
     one = np.eye(CLASSES)[classes]
-    others = placed(neighbours(train, items, classes), one.T @ bigrams @ one, parts)
+    n = (whole["n"] or 0) + ends
+    hot = np.array([r["h"] for r in types.where((F.col("c") > n / HOT) & (F.col("c") > 1)).select("h").toLocalIterator()], dtype=np.int64)
+    others = placed(neighbours(train, items, classes, hot.view(np.uint64)), one.T @ bigrams @ one, parts)
     known = materialize(types.join(others, "h", "left").select("h", "c", "cls"), "classes")
     total, ones, twos = (np.zeros(CLASSES) for _ in range(3))
     for r in known.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
@@ -327,7 +354,6 @@ def fit(train: DataFrame, types: DataFrame, top: int = TOP, parts: int = LEAST_B
     np.add.at(total, at, c)
     np.add.at(ones, at[1:], c[1:] == 1)
     np.add.at(twos, at[1:], c[1:] == 2)
-    n = (whole["n"] or 0) + ends
     return Words(items, classes, total, discounts(ones, twos), n, whole["types"] + (ends > 0), ends), known
 
 
