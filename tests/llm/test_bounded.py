@@ -7,7 +7,7 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import functions as F
 
-from veilframe.llm import classlm, decontam, jaccard
+from veilframe.llm import classlm, decontam, jaccard, mixing
 
 from .helpers import documents, prose
 
@@ -77,3 +77,16 @@ def test_one_block_of_a_benchmark_lives_at_a_time(spark, monkeypatch):
     blocks = sorted(key(r) for r in decontam.hit_spans(d, bench, "doc_id", block_bytes=-(-size // 20)).collect())
     assert blocks == whole
     assert (len(made), most[0], len(alive)) == (20, 1, 0)
+
+
+def test_copies_of_one_row_are_counted_by_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    hot = spark.range(3000, numPartitions=5).select(F.lit(1).cast("long").alias("doc_id"), F.lit("web").alias("source"), F.lit("a few words here").alias("text"), F.lit(16).alias("n_chars"))
+    nulls = spark.createDataFrame([(5, None, "web", 3), (5, "web", None, 0), (None, "web", "one two", 7)], "doc_id long, source string, text string, n_chars int")
+    d = hot.union(nulls)
+    want = mixing.taken(mixing.mix(mixing.sized(d))).agg(F.sum("taken")).first()[0]
+    got = mixing.mixed_documents(d).collect()
+    assert sum(len(r.text.split()) for r in got) == want > 10_000
+    assert {r.doc_id for r in got} >= {1}
+    keys = d.select(mixing._key()).distinct().count()
+    assert keys == 4

@@ -195,17 +195,28 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(sizes)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+#: Copies of a document that one row stands for until its text is there.
+COPIES = 1024
+
+
+def _key() -> Column:
+    """key: alike only for rows alike in id, source and text; which of them are null counts too."""
+    of = ("doc_id", "source", "text")
+    return F.xxhash64(*of, *[F.col(c).isNull() for c in of]).alias("key")
+
+
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs as the mix takes them, a row for each time a document is begun; the last time its text may be cut at a word. All columns as they were, n_chars that of the text."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "source", "text").alias("key"))
-    sizes = materialize(sized(docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("key")), "key"), "sizes")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key())
+    sizes = materialize(sized(docs.select("doc_id", "source", "text", _key()), "key"), "sizes")
     got = taken(mix(sizes, seed), "key").where("taken > 0").select("key", "size", "taken")
-    cuts = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")
-    # rows alike in key are alike in text; their cuts are put together and meet one of them
-    cuts = got.groupBy("key", "size").agg(F.flatten(F.collect_list(cuts)).alias("cuts"))
+    cut = F.expr("explode(transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size)))")
+    # rows alike in key are alike in text: their cuts are counted, not listed, and meet one of them
+    cuts = got.select("key", "size", cut.alias("cut")).groupBy("key", "size", "cut").agg(F.count("*").alias("n"))
+    cuts = cuts.select("key", "size", "cut", F.expr(f"explode(transform(sequence(0L, (n - 1) div {COPIES}), i -> cast(least({COPIES}L, n - i * {COPIES}) as int)))").alias("n"))
     if not sizes.groupBy("key").count().where("count > 1").isEmpty():
         own = own.dropDuplicates(["key"])
-    rows = own.join(cuts, "key").select("row", "size", F.explode("cuts").alias("cut"))
+    rows = own.join(cuts, "key").select("row", "size", "cut", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")).drop("_copy")
     part = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), F.lit(1), F.col("cut").cast("int")), " ")
     rows = rows.withColumn("row", F.col("row").withField("text", F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(part)))
     if "n_chars" in docs.columns:
