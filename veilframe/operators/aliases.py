@@ -2,19 +2,17 @@
 
 The sequential process - look an original up, else count its kind up - is the numbering of first appearances within
 (session, kind). The key is the original alone, so its first appearance's kind names it for good. Calls are in the order
-of seq; those without one come last, and tie (the start of the text's MD5) orders those that share one. Numbers are prefix
-sums: first appearances are counted by buckets of seq, which keep its order, and numbered within a bucket; so a session
-of all documents is numbered by many tasks.
+of seq; those without one come last, and tie (the start of the text's MD5) orders those that share one. Numbers are
+running sums over range partitions (operators.ordered), so a session of all documents is numbered by as many tasks as its
+originals need.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
-
-BUCKETS = 128
+from . import ordered
 
 
 def order(seq: str = "seq", tie: str = "tie") -> list[Column]:
@@ -29,18 +27,8 @@ def first_seen(found: DataFrame, *more: str) -> DataFrame:
 
 
 def numbered(firsts: DataFrame, kind: str = "kind") -> DataFrame:
-    """firsts with n, the place of a row among its session's and kind's by (seq, tie, ord). Buckets are cut at quantiles of seq, so that ids far apart don't crowd one."""
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = materialize(firsts.groupBy(F.col("session").alias("_s")).agg(F.percentile_approx("seq", cuts, 10 * BUCKETS).alias("_bounds")), "bounds")
-    place = F.when(F.col("seq").isNull(), BUCKETS).otherwise(F.size(F.filter("_bounds", lambda x: x < F.col("seq"))))
-    b = firsts.join(bounds, F.col("session").eqNullSafe(F.col("_s"))).withColumn("_bucket", place).drop("_s", "_bounds")
-    sums = b.groupBy("session", kind, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("session", kind).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("session").alias("_s"), F.col(kind).alias("_k"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("session", kind, "_bucket").orderBy(*order(), "ord")
-    at = b.withColumn("_at", F.row_number().over(inside))
-    same = F.col("session").eqNullSafe(F.col("_s")) & F.col(kind).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
-    return at.join(bases, same).withColumn("n", (F.col("_base") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_base", "_s", "_k", "_b")
+    """firsts with n, the place of a row among its session's and kind's by (seq, tie, ord)."""
+    return ordered.numbered(firsts, ["session", kind], [*order(), F.col("ord")])
 
 
 def token(kind: Column, n: Column) -> Column:

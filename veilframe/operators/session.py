@@ -12,22 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import IDLE_SECONDS, KIND_NAMES
 from .aliases import first_seen, numbered, token
+from .ordered import running
 
 
 def _with_last_clear(events: DataFrame) -> DataFrame:
-    """events with cleared: the last clearing of the session up to the event, itself included.
-
-    Within an hour a window gives it, from earlier hours a running maximum over the hours' own; so a session of many
-    events is read by many tasks.
-    """
-    e = events.withColumn("_hour", F.date_trunc("hour", "ts"))
-    own = F.max(F.when(F.col("type") == "clear", F.col("ts")))
-    inside = Window.partitionBy("session", "_hour").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    hours = e.groupBy("session", "_hour").agg(own.alias("_most"))
-    before = Window.partitionBy("session").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("session", "_hour", F.max("_most").over(before).alias("_base"))
-    e = e.withColumn("_own", own.over(inside)).join(hours, ["session", "_hour"])
-    return e.withColumn("cleared", F.greatest("_own", "_base")).drop("_hour", "_own", "_base")
+    """events with cleared: the last clearing of the session up to the event, itself included."""
+    clear = F.col("type") == "clear"
+    return running(events, ["session"], [F.col("ts"), ~clear], last={"cleared": F.when(clear, F.col("ts"))})
 
 
 def epochs(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:

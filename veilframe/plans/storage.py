@@ -1,4 +1,8 @@
-"""Cutting lineage by written tables in the folder that all executors share."""
+"""Cutting lineage by written tables in the folder that all executors share.
+
+Such tables may hold clear text. scratch() removes those written within it; the others go when the session's process
+ends, and none outlives it.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The tables of each scratch() that is open, innermost last.
+_OPEN: list[list[str]] = []
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir and read it again. Where that is unset: a folder of our own in local mode (tests), else an error, as no other folder is known to be shared."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset: a folder of our own in local mode (tests), else an error, as no other folder is known to be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -22,11 +30,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again; the table is removed at the end of scratch(), or of the process."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _place(spark, path)
     df.write.parquet(path)
+    fs.deleteOnExit(p)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within it are removed at its end, also after an error; results must have been written or collected by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            fs, p = _place(spark, path)
+            fs.delete(p, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits, as a small table in one file has; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
