@@ -21,9 +21,10 @@ def order(seq: str = "seq", tie: str = "tie") -> list[Column]:
 
 
 def first_seen(found: DataFrame, *more: str) -> DataFrame:
-    """session, original, kind, seq, tie and ord of each original's first appearance. found: session, seq, tie, ord, kind, original."""
-    x = F.min(F.struct(*order(), "ord", "kind")).alias("x")
-    return found.groupBy("session", *more, "original").agg(x).select("session", *more, "original", "x.seq", "x.tie", "x.ord", "x.kind")
+    """session, original, kind, seq, tie and ord of each original's first appearance. found: session, seq, tie, ord, kind, original, and row, if rows alike in all else are to be told apart."""
+    row = [c for c in ("row",) if c in found.columns]
+    x = F.min(F.struct(*order(), "ord", "kind", *row)).alias("x")
+    return found.groupBy("session", *more, "original").agg(x).select("session", *more, "original", "x.seq", "x.tie", "x.ord", "x.kind", *[f"x.{c}" for c in row])
 
 
 def numbered(firsts: DataFrame, kind: str = "kind") -> DataFrame:
@@ -38,7 +39,7 @@ def token(kind: Column, n: Column) -> Column:
 def assign(found: DataFrame) -> DataFrame:
     """session, original, token, kind, seq, tie, ord: the alias of each original, with where it was made."""
     n = numbered(first_seen(found))
-    return n.select("session", "original", token(F.col("kind"), F.col("n")).alias("token"), "kind", "seq", "tie", "ord")
+    return n.select("session", "original", token(F.col("kind"), F.col("n")).alias("token"), "kind", "seq", "tie", "ord", *[c for c in ("row",) if c in n.columns])
 
 
 def over_capacity(aliases: DataFrame, most: int) -> DataFrame:

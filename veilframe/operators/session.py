@@ -3,6 +3,7 @@
 Events (session, ts, seq, original, kind, type) are touches of originals or clearings of the whole session. An entry
 lives while less than the idle time has passed since its last touch; touched later, or after a clearing, the original
 begins a new epoch and gets a new number. Counters run on through expiries and clearings, so no alias is used twice.
+Events of other types, such as restores, make nothing here; fold.settled() lets them renew what lives.
 """
 
 from __future__ import annotations
@@ -40,6 +41,13 @@ def lives(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     return spans.join(firsts.select("session", "original", "epoch", "kind", "seq", token(F.col("kind"), F.col("n")).alias("token")), ["session", "original", "epoch"])
 
 
+def touched(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """session, original, token, ts and seq of every touch, with the alias that it made or renewed."""
+    e = epochs(events, idle_seconds).select("session", "original", "epoch", "ts", "seq")
+    names = lives(events, idle_seconds).select("session", "original", "epoch", "token")
+    return e.join(names, ["session", "original", "epoch"]).select("session", "original", "token", "ts", "seq")
+
+
 def live_at(entries: DataFrame, clears: DataFrame, now, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Entries alive at now, a timestamp: those touched since, and not cleared after. listed() orders them."""
     now = F.lit(now).cast("timestamp_ntz")
