@@ -18,14 +18,15 @@ def table(spark, n, seed):
 def test_running_values(spark, rows):
     data, df = table(spark, 300, 1)
     order = [F.col("t"), F.col("id")]
-    got = {r.id: r for r in running(df, ["k"], order, last={"l": F.col("v")}, previous={"p": F.col("v")}, total={"s": F.col("v"), "c": F.lit(1)}, rows=rows).collect()}
+    got = {r.id: r for r in running(df, ["k"], order, last={"l": F.col("v")}, previous={"p": F.col("v")}, total={"s": F.col("v"), "c": F.lit(1)}, highest={"h": F.col("v")}, rows=rows).collect()}
     assert len(got) == 300
     for k in {r[0] for r in data}:
-        last = previous = total = None
+        last = previous = total = most = None
         for n, (_, _, i, v) in enumerate(sorted((r for r in data if r[0] == k), key=lambda r: (r[1], r[2])), 1):
             previous, last = last, v if v is not None else last
             total = total if v is None else v + (total or 0)
-            assert (got[i].l, got[i].p, got[i].s, got[i].c) == (last, previous, total, n)
+            most = v if most is None else most if v is None else max(v, most)
+            assert (got[i].l, got[i].p, got[i].s, got[i].c, got[i].h) == (last, previous, total, n, most)
 
 
 def test_the_number_of_tasks_follows_the_rows(spark):

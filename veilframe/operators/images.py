@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of an image and of its boxes, and what counts as a text region.
@@ -246,8 +246,23 @@ def recogniser_tensor(rgba: np.ndarray, box: tuple[int, int, int, int], height:
 
 
 def pixels_blacked(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The relational form: pixels (image_id, x, y, r, g, b, a) of a grid with those inside a box (image_id, x, y, w, h) in opaque black."""
-    b = boxes.select(F.col("image_id").alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("w").alias("_w"), F.col("h").alias("_h"))
-    inside = (F.col("image_id") == F.col("_i")) & (F.col("x") >= F.col("_x")) & (F.col("x") < F.col("_x") + F.col("_w")) & (F.col("y") >= F.col("_y")) & (F.col("y") < F.col("_y") + F.col("_h"))
-    black = pixels.join(b, inside, "left_semi").select("image_id", "x", "y", *[F.lit(0).alias(c) for c in "rgb"], F.lit(255).alias("a"))
-    return black.unionByName(pixels.join(b, inside, "left_anti").select("image_id", "x", "y", *"rgba"))
+    """The relational form: the pixels (image_id, x, y, r, g, b, a) of whole images, from (0, 0) on, with those inside a box (image_id, x, y, w, h) in opaque black.
+
+    By sweep, in time that grows with pixels plus boxes: a box is four corners, plus and minus ones, and how many boxes
+    cover a pixel is the sum of all corners above and left of it. Running sums down each column, then along each row,
+    give it, so no pixel meets a box, and no task reads more than a column or a row. Boxes are clipped to the image;
+    those without area, and rows with a null image or place, cover nothing and stay as they are.
+    """
+    sound = F.col("image_id").isNotNull() & (F.col("w") > 0) & (F.col("h") > 0)
+    left, top = F.greatest(F.col("x").cast("long"), F.lit(0)), F.greatest(F.col("y").cast("long"), F.lit(0))
+    right, low = F.col("x").cast("long") + F.col("w"), F.col("y").cast("long") + F.col("h")
+    corner = lambda x, y, d: F.struct(x.alias("_x"), y.alias("_y"), F.lit(d).alias("_d"))
+    corners = boxes.where(sound & (right > 0) & (low > 0)).select("image_id", F.explode(F.array(corner(left, top, 1), corner(right, top, -1), corner(left, low, -1), corner(right, low, 1))).alias("c")).select("image_id", "c.*")
+    corners = corners.groupBy("image_id", "_x", "_y").agg(F.sum("_d").alias("_d"))
+    own = pixels.select("image_id", F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), F.lit(0).cast("long").alias("_d"), F.struct("image_id", *"xyrgba").alias("_p"))
+    every = own.unionByName(corners.withColumn("_p", F.lit(None).cast(own.schema["_p"].dataType)))
+    down = Window.partitionBy("image_id", "_x").orderBy("_y").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("image_id", "_y").orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = every.withColumn("_n", F.sum("_d").over(down)).where("_p IS NOT NULL").withColumn("_n", F.sum("_n").over(along))
+    black = (F.col("_n") > 0) & F.col("image_id").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    return covered.select("_p.image_id", "_p.x", "_p.y", *[F.when(black, F.lit(255 if c == "a" else 0)).otherwise(F.col(f"_p.{c}")).alias(c) for c in "rgba"])

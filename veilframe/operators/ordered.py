@@ -12,6 +12,8 @@ no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,20 @@ ROWS = 1 << 20
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[Column], last: dict[str, Column] = {}, previous: dict[str, Column] = {}, total: dict[str, Column] = {}, rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column], last: dict[str, Column] = {}, previous: dict[str, Column] = {}, total: dict[str, Column] = {}, highest: dict[str, Column] = {}, rows: int | None = None
 ) -> DataFrame:
-    """df with the running values of its rows' keys in order: last (the last value that isn't null, up to the row), previous (the same up to the row before), total (the sum, up to the row)."""
-    values = {**last, **previous, **total}
+    """df with the running values of its rows' keys in order: last (the last value that isn't null, up to the row), previous (the same up to the row before), total and highest (the sum and the maximum, up to the row)."""
+    values = {**last, **previous, **total, **highest}
     o, v = [f"_o{i}" for i in range(len(order))], {name: f"_v_{name}" for name in values}
     t = materialize(df.select("*", *[c.alias(n) for c, n in zip(order, o, strict=True)], *[c.alias(v[n]) for n, c in values.items()]), "ordered")
     parts = -(-t.count() // (rows or ROWS))
 
+    def joined(name: str) -> Callable[[Column], Column]:
+        return F.sum if name in total else F.max if name in highest else lambda x: F.last(x, ignorenulls=True)
+
     def within(w, name: str) -> Column:
         up_to = w.rowsBetween(Window.unboundedPreceding, -1 if name in previous else Window.currentRow)
-        return F.sum(v[name]).over(up_to) if name in total else F.last(v[name], ignorenulls=True).over(up_to)
+        return joined(name)(F.col(v[name])).over(up_to)
 
     if parts <= 1:
         w = Window.partitionBy(*keys).orderBy(*o)
@@ -43,23 +48,24 @@ def running(
 
     def whole(name: str) -> Column:
         x = F.col(v[name])
-        return (F.sum(x) if name in total else F.max_by(x, F.when(x.isNotNull(), F.struct(*o)))).alias(name)
+        return (F.max_by(x, F.when(x.isNotNull(), F.struct(*o))) if name in last or name in previous else joined(name)(x)).alias(name)
 
     ends = t.groupBy("_part", *keys).agg(*[whole(name) for name in values])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[(F.sum(name) if name in total else F.last(name, ignorenulls=True)).over(before).alias(f"_c_{name}") for name in values],
+        *[joined(name)(F.col(name)).over(before).alias(f"_c_{name}") for name in values],
     )
     same = F.col("_part") == F.col("_p")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
 
-    def both(name: str) -> Column:
+    def result(name: str) -> Column:
         own, carried = F.col(f"_w_{name}"), F.col(f"_c_{name}")
-        return (F.coalesce(own + carried, own, carried) if name in total else F.coalesce(own, carried)).alias(name)
+        both = own + carried if name in total else F.greatest(own, carried) if name in highest else own
+        return F.coalesce(both, own, carried).alias(name)
 
-    return t.join(carry, same).select(*[F.col(f"`{c}`") for c in df.columns], *[both(name) for name in values])
+    return t.join(carry, same).select(*[F.col(f"`{c}`") for c in df.columns], *[result(name) for name in values])
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], name: str, rows: int | None = None) -> DataFrame:
