@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,22 @@ def with_status(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_spans(docs: DataFrame, rules: Rules = Rules(), text: str = "text", kinds: set[str] | None = None, tagged: Column | None = None) -> DataFrame:
     """docs with status and spans (resolved; none for refused texts). tagged: spans of a name tagger to be resolved with the rest."""
+    own = tuple(rules.always), tuple(rules.never), rules.money_dates, None if kinds is None else frozenset(kinds)
+    spans = _spans(text, *own) if tagged is None else _resolved(text, *own, tagged)
+    # exploding an array of one keeps the optimizer from copying the detection to each place where spans are used
+    return with_status(docs, text).select("*", F.explode_outer(F.array(spans)).alias("spans"))
+
+
+def _resolved(text: str, always: tuple[str, ...], never: tuple[str, ...], money_dates: bool, kinds: frozenset[str] | None, tagged: Column | None = None) -> Column:
     t = F.col(text)
-    found = all_spans(t, rules.always, rules.money_dates, kinds)
+    found = all_spans(t, list(always), money_dates, kinds)
     if tagged is not None:
         found = F.concat(found, F.coalesce(tagged, F.expr(EMPTY)))
-    never = never_found(t, rules.never) if rules.never else None
-    spans = F.when(status(t) == OK, resolved(found, never)).otherwise(resolved(F.expr(EMPTY)))
-    # exploding an array of one keeps the optimizer from copying the detection to each place where spans are used
-    return with_status(docs, text).select("*", F.explode_outer(F.array(spans)).alias("spans"))
+    return F.when(status(t) == OK, resolved(found, never_found(t, list(never)) if never else None)).otherwise(resolved(F.expr(EMPTY)))
+
+
+#: The expression of a column's name and rules, made once: its thousands of nodes cost the driver seconds, and nothing in it depends on the table.
+_spans = lru_cache(maxsize=32)(_resolved)
 
 
 def exploded(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:

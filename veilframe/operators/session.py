@@ -8,7 +8,7 @@ Events of other types, such as restores, make nothing here; fold.settled() lets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import IDLE_SECONDS, KIND_NAMES
@@ -77,3 +77,45 @@ def search(mappings: DataFrame, query: str, most: int = 50) -> DataFrame:
     """The first mappings, in the order in which they were made, whose token, kind, shown kind or original holds the query, whatever its case."""
     line = F.lower(F.concat_ws(" ", "token", "kind", kind_name(F.col("kind")), "original"))
     return mappings.where(line.contains(query.lower())).orderBy("session", "seq", "ord").limit(most)
+
+
+#: Letters of a gram, and parts of the index: of grams by their hashes, of rows by their places.
+GRAM, PARTS, BLOCK = 3, 64, 1 << 16
+KEY = ["session", "seq", "ord", "token"]
+
+
+def _line() -> Column:
+    return F.lower(F.concat_ws(" ", "token", "kind", kind_name(F.col("kind")), "original"))
+
+
+def write_search_index(mappings: DataFrame, path: str) -> None:
+    """An index for search_pages() at path: mappings (session, seq, ord, token, kind, original) in blocks, and which rows hold each run of three characters, in parts by its hash."""
+    spark = mappings.sparkSession
+    m = mappings.select(*KEY, "kind", "original", F.xxhash64(*KEY).alias("id"))
+    m.withColumn("block", F.pmod("id", F.greatest(F.lit(1), F.lit(-(-mappings.count() // BLOCK)))).cast("int")).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
+    line = spark.read.parquet(f"{path}/rows").select("id", "block", _line().alias("line"))
+    at = F.sequence(F.lit(1), F.length("line") - (GRAM - 1))
+    grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("line"), i, F.lit(GRAM))))
+    grams = line.where(F.length("line") >= GRAM).select(F.explode(grams).alias("gram"), "id", "block").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
+    # a gram that many rows hold is dealt to several tasks; within one, rows of a gram lie together, so a scan skips the others
+    grams.repartition("part", F.pmod("id", F.lit(8))).sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(f"{path}/grams")
+
+
+def search_pages(spark: SparkSession, path: str, query: str, after: tuple | None = None, page: int = 50) -> DataFrame:
+    """The next page of mappings whose token, kind, shown kind or original holds the query, whatever its case, in the order of (session, seq, ord, token), after the row of that key, None for the first.
+
+    Only the parts of the query's grams are read, and of the rows only blocks that hold all of these; a query shorter
+    than a gram reads all rows. Nulls in the key come first, as Spark sorts them.
+    """
+    q = query.lower()
+    rows = spark.read.parquet(f"{path}/rows")
+    if len(q) >= GRAM:
+        grams = sorted({q[i : i + GRAM] for i in range(len(q) - GRAM + 1)})
+        parts = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(PARTS)).cast("int")).distinct().collect()]
+        found = spark.read.parquet(f"{path}/grams").where(F.col("part").isin(parts) & F.col("gram").isin(grams))
+        every = found.groupBy("id", "block").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("id", "block")
+        rows = rows.join(every, ["block", "id"], "left_semi")
+    rows = rows.where(_line().contains(q))
+    if after is not None:
+        rows = rows.where(F.struct(*KEY) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(KEY, after, strict=True)]))
+    return rows.orderBy(*KEY).limit(page).select(*KEY, "kind", "original")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fold, protect, session
+from . import storage
 from .queries import _SQL_EPOCHS, _touches, query, table
 
 _ASOF = f"""{_SQL_EPOCHS},
@@ -72,3 +73,15 @@ def alias_capacity_atomic(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "events").selectExpr("cast(user_id % 3 as string) AS session", "ts", "event_id AS seq", "CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'clear' WHEN event_type = 'error' THEN 'restore' ELSE 'protect' END AS type",
         "array(concat('u', user_id % 50), concat('w', event_id % 4), concat('x', event_id % 3)) AS originals")
     return fold.within_capacity(calls, most=6).select("session", "seq", "status")
+
+
+@query("""SELECT seq, token, original FROM (SELECT c_custkey AS seq, 'EMAIL_' || CAST(c_custkey AS STRING) AS token, c_name || ' ' || c_mktsegment AS original FROM customer)
+WHERE contains(lower(concat_ws(' ', token, 'EMAIL', 'Email', original)), 'mer#00000') ORDER BY seq LIMIT 50 OFFSET 50""")
+def mapping_search_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of a search of all customers' mappings, by an index of their grams."""
+    m = table(spark, sf, "customer").selectExpr("'all' AS session", "c_custkey AS seq", "0 AS ord", "concat('EMAIL_', c_custkey) AS token", "'EMAIL' AS kind", "concat(c_name, ' ', c_mktsegment) AS original")
+    path = storage.new_path(spark, "index")
+    session.write_search_index(m, path)
+    first = session.search_pages(spark, path, "MER#00000")
+    last = first.orderBy(F.desc("seq")).first()
+    return session.search_pages(spark, path, "MER#00000", after=tuple(last[:4]) if last else None).select("seq", "token", "original")

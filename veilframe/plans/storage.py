@@ -39,15 +39,22 @@ def _place(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again; the table is removed at the end of scratch(), or of the process."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed at the end of scratch(), or of the process: a folder is made there, as the JVM's hook looks for what is there now."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, p = _place(spark, path)
-    df.write.parquet(path)
-    fs.deleteOnExit(p)
     if _OPEN:
         _OPEN[-1].append(path)
+    fs, p = _place(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again; the table is removed at the end of scratch(), or of the process."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
