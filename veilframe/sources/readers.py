@@ -50,9 +50,15 @@ def data_url_payload(s: Column) -> Column:
 
 
 def rules_file(spark: SparkSession, path: str) -> Rules:
-    """Rules of a JSON file; the default ones if it can't be read or its rules are refused."""
+    """Rules of a JSON file, or of the version that CURRENT names in a folder of versions; the default ones if it can't be read or its rules are refused."""
+    whole = lambda p: "\n".join(r[0] for r in spark.read.option("wholetext", True).text(p).collect())
     try:
-        raw = json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+        try:
+            path = f"{path}/{whole(f'{path}/CURRENT').strip()}"
+        except Exception as e:  # no folder of versions
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "Not a directory" not in str(e) and "not a directory" not in str(e):
+                raise
+        raw = json.loads(whole(path))
         return Rules.checked(raw.get("always", []), raw.get("never", []), raw.get("moneyDates", raw.get("money_dates", False)))
     except (BadRule, ConflictingRule, ValueError, AttributeError, TypeError):
         return Rules()
