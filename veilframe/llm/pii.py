@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Values found in a text - cards (Luhn), IBANs (mod 97), dates, IPv4 addresses, phone numbers, social security numbers,
+Values found in a text - cards (Luhn), IBANs (mod 97), dates, IPv4 addresses, UUIDs, phone numbers, social security numbers,
 e-mail addresses and secrets - are replaced by others of the same format: a keyed Feistel network permutes the values of
-a format, so equal values get equal pseudonyms in all documents, different ones different, and the key undoes it.
+a format, so equal values get equal pseudonyms in all documents, and different ones different; with the key and a
+pseudonym's kind original() undoes it. A card or IBAN is linked whether or not spaces or dashes stand between its parts.
 
 The network's symbols are a value's digits and letters, each of its own radix; other characters stay. In each round the
 symbols at even (then odd) places are shifted by a keyed hash of those at the others. A card's last digit and an IBAN's
@@ -34,16 +35,17 @@ _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # without a bound are possessive, so that the matcher neither goes back nor recurses over a long text.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{20,}+|sk-(?:live|test)-[A-Za-z0-9]{16,}+|xox[abps]-[A-Za-z0-9-]{10,}+|(?<=token = \")[A-Za-z0-9]{16,}+|(?<=password=)[A-Za-z0-9]{8,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|(?<=Bearer\s{1,8})[A-Za-z0-9._~+/=-]{16,}+|(?<=(?i:api[_-]?key)\s{0,8}[:=]\s{0,8}['\"]?)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
-IBAN = _L + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _R
+IBAN = _L + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _R
+UUID = _L + r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}" + _R
 PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[\s.-][0-9]{3}[\s.-][0-9]{4}|\+[0-9][0-9\s().-]{6,18}[0-9]|(?:91|0)?[6-9][0-9]{9})" + _R
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
 DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![A-Za-z0-9_])|(?=T[0-9]))|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9_])|(?<![0-9][/-])[0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{4}|[0-9]{2})(?![A-Za-z0-9_]|[/-][0-9]))"
 IPV4 = r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])"
 CARD = _L + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R
-KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ssn": SSN, "date": DATE, "ip": IPV4, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "secret": SECRET, "uuid": UUID, "iban": IBAN, "ssn": SSN, "date": DATE, "ip": IPV4, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 #: What every value holds; texts without it aren't searched further.
-GATE = r"[0-9]{2}|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
+GATE = r"[0-9]{2}|[0-9A-Fa-f]{8}-|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
 
 
 def chars(s: Column) -> Column:
@@ -55,22 +57,23 @@ def prf(key: str, kind: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(symbols: Column, key: str, kind: str) -> Column:
-    """symbols, an array of struct<base, radix, value>, permuted by rounds of keyed shifts."""
+def feistel(symbols: Column, key: str, kind: str, back: bool = False) -> Column:
+    """symbols, an array of struct<base, radix, value>, permuted by rounds of keyed shifts; back: what they were."""
 
     def turn(acc: Column, k: Column) -> Column:
         # hashed once, so that a long value costs no more a symbol than a short one
         others = F.sha2(F.concat_ws(",", F.transform(F.filter(acc, lambda x, i: i % 2 != k % 2), lambda x: x["value"].cast("string"))), 256)
 
         def shift(seen: Column) -> Callable:
-            return lambda x, i: F.struct(x["base"].alias("base"), x["radix"].alias("radix"), F.when(i % 2 == k % 2, ((x["value"] + prf(key, kind, k, i, seen)) % x["radix"]).cast("int")).otherwise(x["value"]).alias("value"))
+            return lambda x, i: F.struct(x["base"].alias("base"), x["radix"].alias("radix"), F.when(i % 2 == k % 2, F.pmod(x["value"] + (-1 if back else 1) * prf(key, kind, k, i, seen), x["radix"]).cast("int")).otherwise(x["value"]).alias("value"))
 
         return let(others, lambda seen: F.transform(acc, shift(seen)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols, turn)
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(F.reverse(rounds) if back else rounds, symbols, turn)
 
 
-def permuted(s: Column, key: str, kind: str) -> Column:
+def permuted(s: Column, key: str, kind: str, back: bool = False) -> Column:
     """A string with its digits and letters permuted within their places' alphabets."""
 
     def symbol(c: Column) -> Column:
@@ -79,7 +82,24 @@ def permuted(s: Column, key: str, kind: str) -> Column:
         radix = F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), 26).otherwise(1)
         return F.struct(base.cast("int").alias("base"), radix.cast("int").alias("radix"), (a - base).cast("int").alias("value"))
 
-    return F.array_join(F.transform(feistel(F.transform(chars(s), symbol), key, kind), lambda x: F.char(x["base"] + x["value"])), "")
+    return F.array_join(F.transform(feistel(F.transform(chars(s), symbol), key, kind, back), lambda x: F.char(x["base"] + x["value"])), "")
+
+
+def apart(s: Column, change: Callable[[Column], Column]) -> Column:
+    """What change makes of a value without its spaces and dashes, with these put back; so a value is linked across the ways it is written."""
+
+    def put_back(new: Column) -> Column:
+        nth = lambda i: F.length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), "[ -]", F.lit("")))
+        return F.array_join(F.transform(chars(s), lambda c, i: F.when(c.isin(" ", "-"), c).otherwise(F.substring(new, nth(i), F.lit(1)))), "")
+
+    return let(F.regexp_replace(s, "[ -]", F.lit("")), lambda bare: let(change(bare), put_back))
+
+
+def uuid(s: Column, key: str, back: bool = False) -> Column:
+    """Hex digits, each of radix 16; upper case where the value has an upper-case letter."""
+    digit = lambda c: F.struct(F.lit(0).alias("base"), F.lit(16).alias("radix"), F.conv(c, 16, 10).cast("int").alias("value"))
+    new = lambda bare: F.array_join(F.transform(feistel(F.transform(chars(bare), digit), key, "uuid", back), lambda x: F.conv(x["value"].cast("string"), 10, 16)), "")
+    return let(apart(s, new), lambda v: F.when(s.rlike("[A-F]"), v).otherwise(F.lower(v)))
 
 
 def mod97(s: Column) -> Column:
@@ -92,20 +112,46 @@ def luhn(s: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(s, "[^0-9]", F.lit("")))
 
 
-def card(s: Column, key: str) -> Column:
-    body = permuted(F.substring(s, F.lit(1), F.length(s) - 1), key, "card")
-    return let(body, lambda b: F.concat(b, F.filter(F.array(*[F.lit(str(i)) for i in range(10)]), lambda c: luhn(F.concat(b, c)))[0]))
+def card(s: Column, key: str, back: bool = False) -> Column:
+    """Digits but the last permuted, whatever stands between them; the last makes the check right."""
+
+    def new(bare: Column) -> Column:
+        body = permuted(F.substring(bare, F.lit(1), F.length(bare) - 1), key, "card", back)
+        return let(body, lambda b: F.concat(b, F.filter(F.array(*[F.lit(str(i)) for i in range(10)]), lambda c: luhn(F.concat(b, c)))[0]))
+
+    return apart(s, new)
+
 
+def iban(s: Column, key: str, back: bool = False) -> Column:
+    """What follows country and check digits permuted, printed in groups or not; the check digits made right."""
 
-def iban(s: Column, key: str) -> Column:
-    country = F.substring(s, 1, 2)
-    body = permuted(F.substring(s, F.lit(5), F.length(s)), key, "iban")
-    return let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+    def new(bare: Column) -> Column:
+        country = F.substring(bare, 1, 2)
+        body = permuted(F.substring(bare, F.lit(5), F.length(bare)), key, "iban", back)
+        return let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
 
+    return apart(s, new)
 
-def ip(s: Column, key: str) -> Column:
+
+def ip(s: Column, key: str, back: bool = False) -> Column:
     octets = F.transform(F.split(s, "\\."), lambda x: F.struct(F.lit(0).alias("base"), F.lit(256).alias("radix"), x.cast("int").alias("value")))
-    return F.array_join(F.transform(feistel(octets, key, "ip"), lambda x: x["value"].cast("string")), ".")
+    return F.array_join(F.transform(feistel(octets, key, "ip", back), lambda x: x["value"].cast("string")), ".")
+
+
+def email(s: Column, key: str, back: bool = False) -> Column:
+    parts = r"^(.*)(\.[^.]*)$"
+    return F.concat(permuted(F.regexp_extract(s, parts, 1), key, "email", back), F.regexp_extract(s, parts, 2))
+
+
+def phone(s: Column, key: str, back: bool = False) -> Column:
+    head = r"(?s)^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?(.*)$"
+    return F.concat(F.regexp_extract(s, head, 1), permuted(F.regexp_extract(s, head, 2), key, "phone", back))
+
+
+def original(s: Column, kind: str, key: str) -> Column:
+    """The value that a pseudonym of that kind stands for. Dates, whose day and month can't be told apart in all forms, aren't undone."""
+    undo = {"email": email, "ip": ip, "card": card, "iban": iban, "phone": phone, "uuid": uuid}
+    return undo[kind](s, key, True) if kind in undo else permuted(s, key, kind, True)
 
 
 def ymd(s: Column) -> Column:
@@ -156,21 +202,20 @@ def date(s: Column, key: str) -> Column:
 def pseudonym(s: Column, key: str) -> Column:
     """kind and pseudonym of a value found; the kind is null and the value as it was if it fails its check."""
     of = {k: s.rlike(f"^(?:{p})$") for k, p in KINDS.items() if k != "secret"}
-    email = F.concat(permuted(F.regexp_extract(s, r"^(.*)(\.[^.]*)$", 1), key, "email"), F.regexp_extract(s, r"^(.*)(\.[^.]*)$", 2))
-    head = r"(?s)^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?(.*)$"
-    phone = F.concat(F.regexp_extract(s, head, 1), permuted(F.regexp_extract(s, head, 2), key, "phone"))
     low = F.forall(F.split(s, "\\."), lambda x: F.coalesce(x.try_cast("int") <= 255, F.lit(False)))
+    bare = F.regexp_replace(s, " ", F.lit(""))
     kind = (
         F.when(of["email"], "email")
         .when(of["ip"], F.when(low, "ip"))
         .when(of["date"], F.when(is_date(s), "date"))
         .when(of["ssn"], "ssn")
         .when(of["card"], F.when(luhn(s), "card").when(of["phone"], "phone"))
-        .when(of["iban"] & (F.length(s) <= 34), F.when(mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1, "iban"))
+        .when(of["uuid"], "uuid")
+        .when(of["iban"] & (F.length(bare) <= 34), F.when(mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1, "iban"))
         .when(of["phone"], "phone")
         .when(s.rlike("^[A-Za-z0-9._~+/=-]+$"), "secret")
     )
-    new = {"email": email, "ip": ip(s, key), "date": date(s, key), "ssn": permuted(s, key, "ssn"), "card": card(s, key), "iban": iban(s, key), "phone": phone, "secret": permuted(s, key, "secret")}
+    new = {"email": email(s, key), "uuid": uuid(s, key), "ip": ip(s, key), "date": date(s, key), "ssn": permuted(s, key, "ssn"), "card": card(s, key), "iban": iban(s, key), "phone": phone(s, key), "secret": permuted(s, key, "secret")}
 
     def made(k: Column) -> Column:
         value = F.when(k.isNull(), s)
