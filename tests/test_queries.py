@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from veilframe.plans import parts  # noqa: F401
+from veilframe.plans import files, lists, parts, sessions  # noqa: F401
 from veilframe.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

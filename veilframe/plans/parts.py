@@ -231,8 +231,10 @@ def ocr_native_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ix, l_partkey % 3 = 0 AS mail, l_partkey % 20 AS u FROM lineitem)
-SELECT image_id, CAST(count(*) FILTER (WHERE mail) AS INT) AS count, CAST(count(DISTINCT u) FILTER (WHERE mail) AS INT) AS redactions, CAST(count(*) FILTER (WHERE mail) AS INT) AS boxes FROM w GROUP BY image_id
+WITH w AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ix, l_partkey % 3 = 0 AS mail, l_partkey % 20 AS u FROM lineitem),
+t AS (SELECT image_id, u, 'EMAIL_' || CAST(row_number() OVER (PARTITION BY image_id ORDER BY min(ix)) AS STRING) AS token FROM w WHERE mail GROUP BY image_id, u),
+b AS (SELECT image_id, string_agg(token || ':' || CAST(greatest(ix * 200 - 2, 0) AS STRING) || ',3,34,14', ';' ORDER BY token, ix) AS keys FROM w JOIN t USING (image_id, u) WHERE mail GROUP BY image_id)
+SELECT image_id, CAST(count(*) FILTER (WHERE mail) AS INT) AS count, CAST(count(DISTINCT u) FILTER (WHERE mail) AS INT) AS redactions, coalesce(any_value(keys), '') AS keys FROM w LEFT JOIN b USING (image_id) GROUP BY image_id
 """)
 def ocr_detect(spark: SparkSession, sf: str) -> DataFrame:
     """Recognised words joined, protected and mapped to boxes."""
@@ -240,8 +242,8 @@ def ocr_detect(spark: SparkSession, sf: str) -> DataFrame:
     text = "CASE WHEN l_partkey % 3 = 0 THEN concat('u', l_partkey % 20, 'z@ex.com') ELSE 'word' END AS text"
     words = table(spark, sf, "lineitem").selectExpr("l_orderkey AS image_id", f"{ix} AS word_ix", text, "30 AS w", "10 AS h", "0.9F AS conf").withColumn("x", F.col("word_ix") * 200).withColumn("y", F.lit(5))
     d = screenshots.detected_words(words)
-    boxes = F.aggregate("redactions", F.lit(0), lambda n, r: n + F.size(r["boxes"]))
-    return d.select("image_id", "count", F.size("redactions").alias("redactions"), boxes.alias("boxes"))
+    keys = F.transform("redactions", lambda r: F.transform(r["boxes"], lambda b: F.concat(r["token"], F.lit(":"), F.concat_ws(",", b["x"], b["y"], b["w"], b["h"]))))
+    return d.select("image_id", "count", F.size("redactions").alias("redactions"), F.array_join(F.flatten(keys), ";").alias("keys"))
 
 
 def _png(spark: SparkSession, sf: str) -> DataFrame:

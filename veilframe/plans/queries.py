@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ALIAS, BY_ORDER, KIND_NAMES, Detector
+from ..functions.patterns import ALIAS, BY_ORDER, Detector
 from ..functions.spans import all_spans, detected, resolved
 from ..functions import text as checks
 from ..operators import audit, detect, layout, names, protect, session
@@ -70,11 +70,22 @@ SQL_CHECKS = {
     "phone": lambda v: f"length(regexp_replace({v}, '[^0-9]', '', 'g')) BETWEEN 7 AND 15",
     "date": lambda v: f"(CASE WHEN {v} LIKE '%-%' THEN len(string_split({v}, '-')) = 3 AND CAST(string_split({v}, '-')[CASE WHEN length(string_split({v}, '-')[1]) = 4 THEN 2 ELSE 1 END] AS INT) BETWEEN 1 AND 12 AND CAST(string_split({v}, '-')[CASE WHEN length(string_split({v}, '-')[1]) = 4 THEN 3 ELSE 2 END] AS INT) BETWEEN 1 AND 31"
     f" ELSE CAST(string_split({v}, '/')[1] AS INT) BETWEEN 1 AND 12 AND CAST(string_split({v}, '/')[2] AS INT) BETWEEN 1 AND 31 END)",
-    "iban": lambda v: f"(regexp_matches({v}, '^[A-Z]{{2}}[0-9]+$') AND CAST(substr({v}, 5) || CAST(ascii(substr({v}, 1, 1)) - 55 AS STRING) || CAST(ascii(substr({v}, 2, 1)) - 55 AS STRING) || substr({v}, 3, 2) AS HUGEINT) % 97 = 1)",
-    "ipv6": lambda v: f"(len(string_split({v}, '::')) = 2)",
+    # remainders of growing prefixes, letters of two digits each
+    "iban": lambda v: f"(regexp_matches({v}, '^[A-Z0-9]{{15,34}}$') AND list_reduce(list_prepend(0, list_transform(string_split(substr({v}, 5) || substr({v}, 1, 4), ''), lambda c: CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda r, x: (CASE WHEN x < 10 THEN r * 10 ELSE r * 100 END + x) % 97) = 1)",
+    "ipv6": lambda v: sql_ipv6(v),
 }
 
 
+def sql_ipv6(v: str) -> str:
+    """Eight groups, or fewer around one `::`; dotted octets as the last stand for two."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    dotted, groups = f"'({octet}[.]){{3}}{octet}'", f"list_filter(list_concat(string_split(string_split({v}, '::')[1], ':'), CASE WHEN {v} LIKE '%::%' THEN string_split(string_split({v}, '::')[2], ':') ELSE [] END), lambda x, i: NOT (x = '' AND {v} LIKE '%::%' AND ({v} LIKE '::%' OR {v} LIKE '%::')))"
+    last_dotted = f"regexp_full_match(string_split({v}, ':')[-1], {dotted})"
+    hexes = f"(CASE WHEN {last_dotted} THEN {groups}[:-2] ELSE {groups} END)"
+    count = f"(len({groups}) + CASE WHEN {last_dotted} THEN 1 ELSE 0 END)"
+    return f"(len(string_split({v}, '::')) <= 2 AND len(list_filter({hexes}, lambda x: NOT regexp_full_match(x, '[0-9A-Fa-f]{{1,4}}'))) = 0 AND CASE WHEN {v} LIKE '%::%' THEN {count} <= 7 ELSE {count} = 8 END)"
+
+
 def found(df: DataFrame, key: str, text: str, order: int) -> DataFrame:
     """key, start, stop and value of a detector's finds."""
     d = BY_ORDER[order]
@@ -111,7 +122,10 @@ _detector_query("det_bearer", "orders", "o_orderkey", 5, f"concat('Authorization
 _detector_query("det_apikey", "orders", "o_orderkey", 6, f"concat('api_key = \"', {_md}, '\" API-KEY:', {_k})")
 _detector_query("det_uuid", "orders", "o_orderkey", 7, f"concat('id ', substr({_md}, 1, 8), '-', substr({_md}, 9, 4), '-', substr({_md}, 13, 4), '-', substr({_md}, 17, 4), '-', substr({_md}, 21, 12), ' x', {_md})")
 _detector_query("det_iban", "orders", "o_orderkey", 8, f"concat('pay DE', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), lpad({_k}, 18, '7'), ' or AB12')")
-_detector_query("det_ipv6", "orders", "o_orderkey", 11, f"concat('at ', substr({_md}, 1, 4), ':', substr({_md}, 5, 4), '::1, not ', substr({_md}, 1, 4), '::', substr({_md}, 5, 4), '::1 end')")
+_a, _b = f"substr({_md}, 1, 4)", f"substr({_md}, 5, 4)"
+# right and wrong: groups left out, two times left out, all eight, nine, dotted octets, too large ones, nothing before or after
+_V6 = f"CASE o_orderkey % 9 WHEN 0 THEN concat({_a}, ':', {_b}, '::1') WHEN 1 THEN concat({_a}, '::', {_b}, '::1') WHEN 2 THEN concat('1:2:3:4:5:6:', {_a}, ':', {_b}) WHEN 3 THEN concat('1:2:3:4:5:6:7:', {_a}, ':', {_b}) WHEN 4 THEN concat({_a}, ':', {_b}, '::', CAST(o_custkey % 300 AS STRING), '.2.3.4') WHEN 5 THEN concat('::', {_a}, ':', {_b}) WHEN 6 THEN concat('1:2:3:4:5:', {_a}, ':', {_b}, '::') WHEN 7 THEN concat('1:2:3:4:', {_a}, ':', {_b}, ':1.2.3.', CAST(o_custkey % 300 AS STRING)) ELSE concat({_a}, '0:', {_b}, '::2') END"
+_detector_query("det_ipv6", "orders", "o_orderkey", 11, f"concat('at ', {_V6}, ', not ', {_a}, '::', {_b}, '::1 end')")
 _detector_query("det_money", "orders", "o_orderkey", 13, f"concat('cost $', {_k}, '.50 or ', {_k}, '.25 USD, 12 EUR')")
 _detector_query("det_date", "orders", "o_orderkey", 14, f"concat('on ', CAST(CAST(o_orderdate AS DATE) AS STRING), ' or ', CAST(o_orderkey % 15 AS STRING), '/', CAST(o_orderkey % 40 AS STRING), '/2025')")
 
@@ -135,7 +149,7 @@ def rollup_lang_kind(spark: SparkSession, sf: str) -> DataFrame:
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 _CARD = "lpad(CAST((o_orderkey * 7919 + 4000000000000000) AS STRING), 16, '0')"
-_IBAN = "concat('DE', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), lpad(CAST(o_orderkey * 7 AS STRING), 18, '3'))"
+_IBAN = "concat('DE', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey * 7 AS STRING), 18, '3') ELSE upper(substr(md5(CAST(o_orderkey AS STRING)), 1, CAST(8 + o_orderkey % 7 * 3 AS INT))) END)"
 _DATE = "concat(CAST(o_orderkey % 15 AS STRING), '/', CAST(o_orderkey % 40 AS STRING), '/2025')"
 _IP = "concat(CAST(o_orderkey % 300 AS STRING), '.0.', CAST(o_custkey % 300 AS STRING), '.7')"
 
@@ -152,6 +166,7 @@ _check_query("val_luhn", _CARD, "luhn")
 _check_query("val_iban", _IBAN, "iban")
 _check_query("val_date", _DATE, "date")
 _check_query("val_ipv4", _IP, "ipv4")
+_check_query("val_ipv6", _V6, "ipv6")
 _check_query("val_phone", "concat('+', CAST(o_orderkey AS STRING), ' ', CAST(o_custkey AS STRING))", "phone")
 
 
@@ -246,12 +261,14 @@ def kinds_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, concat('mail ', CASE WHEN e BETWEEN 1 AND 5 THEN concat('user', CAST(e AS STRING), '@ex.com') ELSE concat('email_', CAST(e AS STRING)) END, ' or PERSON_', CAST(c_custkey % 3 AS STRING), ' end') AS text,
-  CASE WHEN e BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS known, CASE WHEN e BETWEEN 1 AND 5 THEN 1 ELSE 2 END AS unknown,
-  CASE WHEN e BETWEEN 1 AND 5 THEN '' ELSE concat('email_', CAST(e AS STRING), ',') END || concat('PERSON_', CAST(c_custkey % 3 AS STRING)) AS unknown_tokens FROM (SELECT *, c_custkey % 9 AS e FROM customer)
+SELECT c_custkey, concat('mail ', CASE WHEN e BETWEEN 1 AND 5 THEN concat('user', CAST(e AS STRING), '@ex.com') ELSE concat('email_', CAST(e AS STRING)) END, ' or PERSON_', CAST(c_custkey % 3 AS STRING), ' end', array_to_string(list_transform(more, lambda i: ' ORG_' || CAST(i AS STRING)), ''), ' ORG_1') AS text,
+  CASE WHEN e BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS known, CAST(CASE WHEN e BETWEEN 1 AND 5 THEN 2 ELSE 3 END + len(more) AS INT) AS unknown,
+  array_to_string(list_concat(CASE WHEN e BETWEEN 1 AND 5 THEN [] ELSE ['email_' || CAST(e AS STRING)] END, ['PERSON_' || CAST(c_custkey % 3 AS STRING)], list_transform(more, lambda i: 'ORG_' || CAST(i AS STRING)))[1:20], ',') AS unknown_tokens
+FROM (SELECT *, c_custkey % 9 AS e, range(1, c_custkey % 30 + 2) AS more FROM customer)
 """)
 def restore_unknown(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "customer").selectExpr("c_custkey", "concat('mail email_', cast(c_custkey % 9 as string), ' or PERSON_', cast(c_custkey % 3 as string), ' end') AS text")
+    """Up to 32 unknown aliases a text, of which 20 are listed, each spelling once."""
+    docs = table(spark, sf, "customer").selectExpr("c_custkey", "concat('mail email_', cast(c_custkey % 9 as string), ' or PERSON_', cast(c_custkey % 3 as string), ' end', array_join(transform(sequence(1, c_custkey % 30 + 1), i -> concat(' ORG_', i)), ''), ' ORG_1') AS text")
     known = spark.range(1, 6).selectExpr("'all' AS session", "concat('EMAIL_', id) AS token", "concat('user', id, '@ex.com') AS original")
     return protect.restore(docs, known, seq="c_custkey").select("c_custkey", "text", "known", "unknown", F.array_join("unknown_tokens", ",").alias("unknown_tokens"))
 
@@ -300,10 +317,13 @@ def mapping_search(spark: SparkSession, sf: str) -> DataFrame:
     return session.search(m, "#0000001").select("token", "kind", "original")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in [*KIND_NAMES.items(), ("OTHER", "OTHER")]) + ") t(kind, shown)")
+_KIND = "CASE c_custkey % 16 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PHONE' WHEN 2 THEN 'URL' WHEN 3 THEN 'IP' WHEN 4 THEN 'CARD' WHEN 5 THEN 'IBAN' WHEN 6 THEN 'KEY' WHEN 7 THEN 'UUID' WHEN 8 THEN 'PERSON' WHEN 9 THEN 'ORG' WHEN 10 THEN 'LOC' WHEN 11 THEN 'TERM' WHEN 12 THEN 'MONEY' WHEN 13 THEN 'DATE' WHEN 14 THEN c_mktsegment END"
+
+
+@query("SELECT c_custkey, CASE c_custkey % 16 WHEN 0 THEN 'Email' WHEN 1 THEN 'Phone' WHEN 2 THEN 'Link' WHEN 3 THEN 'IP address' WHEN 4 THEN 'Payment card' WHEN 5 THEN 'Bank account' WHEN 6 THEN 'Secret' WHEN 7 THEN 'ID' WHEN 8 THEN 'Person' WHEN 9 THEN 'Organization' WHEN 10 THEN 'Location' WHEN 11 THEN 'Custom term' WHEN 12 THEN 'Amount' WHEN 13 THEN 'Date' WHEN 14 THEN c_mktsegment END AS shown FROM customer")
 def kind_display(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k,) for k in [*KIND_NAMES, "OTHER"]], "kind string")
-    return kinds.select("kind", session.kind_name(F.col("kind")).alias("shown"))
+    """Kinds as they are shown; any other is shown as it is."""
+    return table(spark, sf, "customer").selectExpr("c_custkey", f"{_KIND} AS kind").select("c_custkey", session.kind_name(F.col("kind")).alias("shown"))
 
 
 # --- layout ----------------------------------------------------------------------------------------------------------
