@@ -1,6 +1,7 @@
 """Pseudonyms against a plain Feistel network, across the ways a value is written, and back."""
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -59,3 +60,34 @@ def test_uuids_keep_their_form_and_all_kinds_come_back(spark):
             assert spark.range(1).select(pii.original(F.lit(new), kind, KEY).alias("v")).first().v == v
     low, high = (shown(spark, [v])[0][0] for v in values["uuid"])
     assert low.upper() == high and re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low)
+
+
+def test_ipv6_addresses_are_linked_across_their_forms_and_come_back(spark):
+    forms = {
+        "2001:db8::1:2": ["2001:0DB8:0:0:0:0:0001:2", "2001:db8:0:0::1:2", "2001:0db8:0000::0001:0002"],
+        "::ffff:10.2.0.255": ["::FFFF:a02:ff", "0:0:0:0:0:ffff:10.2.0.255"],
+        "1:22:333:4444:5:66:777:8888": ["0001:0022:0333:4444:0005:0066:0777:8888"],
+        "fe80:1::": ["FE80:1:0:0:0:0:0:0"],
+    }
+    every = [v for k, more in forms.items() for v in [k, *more]]
+    got = shown(spark, [f"at [{v}]: up" for v in every])
+    assert [n for _, n in got] == [1] * len(every)
+    new = dict(zip(every, (t.removeprefix("at [").removesuffix("]: up") for t, _ in got), strict=True))
+    values = set()
+    for k, more in forms.items():
+        same = {ipaddress.ip_address(new[v]) for v in [k, *more]}
+        assert len(same) == 1 and same != {ipaddress.ip_address(k)}
+        values |= same
+    assert len(values) == len(forms)
+    for v in every:
+        assert re.sub("[0-9A-Fa-f]", "x", new[v].rpartition(":")[0] if "." in v else new[v]) == re.sub("[0-9A-Fa-f]", "x", v.rpartition(":")[0] if "." in v else v)
+        back = spark.range(1).select(pii.original(F.lit(new[v]), "ip6", KEY).alias("v")).first().v
+        assert back.lower() == v.lower()
+    assert spark.range(1).select(pii.original(F.lit(new["fe80:1::"]), "ip6", KEY).alias("v")).first().v == "fe80:1::"
+
+
+def test_what_only_looks_like_ipv6_stays(spark):
+    texts = ["at 12:34:56 h", "mac aa:bb:cc:dd:ee:ff", "std::vector a :: b", "a::b::c", "1:2:3:4:5:6:7:8:9", "::1.2.3.400 x", "x fe80::1g", None, "", ":" * 100_000, "a:" * 50_000]
+    assert shown(spark, texts) == [(t, 0) for t in texts]
+    assert shown(spark, ["up fe80::1: ok"])[0][1] == 1
+    assert shown(spark, ["1:2:192.168.0.1"])[0][1] == 1  # the IPv4 address in it

@@ -1,15 +1,17 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Values found in a text - cards (Luhn), IBANs (mod 97), dates, IPv4 addresses, UUIDs, phone numbers, social security numbers,
+Values found in a text - cards (Luhn), IBANs (mod 97), dates, IP addresses, UUIDs, phone numbers, social security numbers,
 e-mail addresses and secrets - are replaced by others of the same format: a keyed Feistel network permutes the values of
 a format, so equal values get equal pseudonyms in all documents, and different ones different; with the key and a
-pseudonym's kind original() undoes it. A card or IBAN is linked whether or not spaces or dashes stand between its parts.
+pseudonym's kind original() undoes it. A card or IBAN is linked whether or not spaces or dashes stand between its parts, an
+IPv6 address whether groups of zeros are left out or not, in either case (undone in lower case if its pseudonym has no letter).
 
 The network's symbols are a value's digits and letters, each of its own radix; other characters stay. In each round the
 symbols at even (then odd) places are shifted by a keyed hash of those at the others. A card's last digit and an IBAN's
 check digits are computed anew, so pseudonyms pass the same checks. A date is permuted as year and day of the year,
 within 1900-2099 or outside it; 29 February stays one, in another leap year. An e-mail address keeps its top-level
-domain and a phone number its country code.
+domain and a phone number its country code. A group of an IPv6 address keeps its number of digits without leading zeros,
+so zeros stay and it can be written as it was.
 
 Null texts stay null and hold nothing. Numbers that fail their check aren't touched. Repeated rows are changed alike.
 An empty table gives no rows. Extra columns are kept by pseudonymized(), whatever their names, but one named n_pii: the
@@ -23,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import IPV6
 from .common import docs_table
 from .mixing import let
 
@@ -41,11 +44,12 @@ PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
 DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![A-Za-z0-9_])|(?=T[0-9]))|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9_])|(?<![0-9][/-])[0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{4}|[0-9]{2})(?![A-Za-z0-9_]|[/-][0-9]))"
 IPV4 = r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])"
+IP6 = r"(?<![A-Za-z0-9_:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?!::(?![0-9A-Fa-f]))" + IPV6[1:-1] + r"(?![A-Za-z0-9_]|:[0-9A-Fa-f:]|\.[0-9])"
 CARD = _L + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R
-KINDS = {"email": EMAIL, "secret": SECRET, "uuid": UUID, "iban": IBAN, "ssn": SSN, "date": DATE, "ip": IPV4, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "secret": SECRET, "uuid": UUID, "iban": IBAN, "ssn": SSN, "date": DATE, "ip6": IP6, "ip": IPV4, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 #: What every value holds; texts without it aren't searched further.
-GATE = r"[0-9]{2}|[0-9A-Fa-f]{8}-|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
+GATE = r"[0-9]{2}|:[0-9A-Fa-f]{0,4}:|[0-9A-Fa-f]{8}-|[0-9]\.[0-9]{1,3}\.[0-9]|\+[0-9]|eyJ|Bearer|(?i:api[_-]?key)|@|gh[opusr]_|xox[abps]-|sk-|AKIA|token = \"|password="
 
 
 def chars(s: Column) -> Column:
@@ -138,6 +142,39 @@ def ip(s: Column, key: str, back: bool = False) -> Column:
     return F.array_join(F.transform(feistel(octets, key, "ip", back), lambda x: x["value"].cast("string")), ".")
 
 
+def ip6(s: Column, key: str, back: bool = False) -> Column:
+    """The eight groups permuted, each among those of as many digits, and written in the places that s writes, octets where s has them."""
+    dotted = s.contains(".")
+    octets = F.transform(F.split(F.element_at(F.split(s, ":"), -1), "\\."), lambda x: x.try_cast("int"))
+    two = lambda i: F.lower(F.hex(F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))))
+    plain = F.when(dotted, F.concat(F.regexp_extract(s, "^(.*:)", 1), two(0), F.lit(":"), two(2))).otherwise(s)
+
+    def symbol(group: Column) -> Column:
+        v = F.conv(group, 16, 10).cast("int")
+        low = F.when(v == 0, 0).when(v < 16, 1).when(v < 256, 16).when(v < 4096, 256).otherwise(4096)
+        return F.struct(low.cast("int").alias("base"), F.greatest(15 * low, F.lit(1)).cast("int").alias("radix"), (v - low).cast("int").alias("value"))
+
+    def whole(sides: Column) -> Column:
+        left, right = sides[0], F.coalesce(F.get(sides, F.lit(1)), F.expr("cast(array() as array<string>)"))
+        groups = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+
+        def write(new: Column) -> Column:
+            text = lambda x, width: F.lpad(F.conv((x["base"] + x["value"]).cast("string"), 10, 16), width, "0")
+            side = lambda of, first: F.array_join(F.transform(of, lambda g, i: text(F.get(new, first + i), F.length(g))), ":")
+            return F.concat(side(left, F.lit(0)), F.when(F.size(sides) == 2, F.concat(F.lit("::"), side(right, 8 - F.size(right)))).otherwise(""))
+
+        return let(feistel(F.transform(groups, symbol), key, "ip6", back), write)
+
+    def with_octets(new: Column) -> Column:
+        number = lambda i: F.conv(F.element_at(F.split(new, ":"), i), 16, 10).cast("int")
+        quad = F.concat_ws(".", *[part.cast("string") for i in (-2, -1) for part in (F.shiftright(number(i), 8), number(i) % 256)])
+        shown = F.when(s.rlike("[A-F]"), new).otherwise(F.lower(new))
+        return F.when(dotted, F.concat(F.regexp_extract(shown, "^(.*:)[^:]+:[^:]+$", 1), quad)).otherwise(shown)
+
+    sides = F.transform(F.split(plain, "::"), lambda half: F.filter(F.split(half, ":"), lambda g: g != ""))
+    return let(let(sides, whole), with_octets)
+
+
 def email(s: Column, key: str, back: bool = False) -> Column:
     parts = r"^(.*)(\.[^.]*)$"
     return F.concat(permuted(F.regexp_extract(s, parts, 1), key, "email", back), F.regexp_extract(s, parts, 2))
@@ -150,7 +187,7 @@ def phone(s: Column, key: str, back: bool = False) -> Column:
 
 def original(s: Column, kind: str, key: str) -> Column:
     """The value that a pseudonym of that kind stands for. Dates, whose day and month can't be told apart in all forms, aren't undone."""
-    undo = {"email": email, "ip": ip, "card": card, "iban": iban, "phone": phone, "uuid": uuid}
+    undo = {"email": email, "ip": ip, "ip6": ip6, "card": card, "iban": iban, "phone": phone, "uuid": uuid}
     return undo[kind](s, key, True) if kind in undo else permuted(s, key, kind, True)
 
 
@@ -207,6 +244,7 @@ def pseudonym(s: Column, key: str) -> Column:
     kind = (
         F.when(of["email"], "email")
         .when(of["ip"], F.when(low, "ip"))
+        .when(of["ip6"], "ip6")
         .when(of["date"], F.when(is_date(s), "date"))
         .when(of["ssn"], "ssn")
         .when(of["card"], F.when(luhn(s), "card").when(of["phone"], "phone"))
@@ -215,7 +253,7 @@ def pseudonym(s: Column, key: str) -> Column:
         .when(of["phone"], "phone")
         .when(s.rlike("^[A-Za-z0-9._~+/=-]+$"), "secret")
     )
-    new = {"email": email(s, key), "uuid": uuid(s, key), "ip": ip(s, key), "date": date(s, key), "ssn": permuted(s, key, "ssn"), "card": card(s, key), "iban": iban(s, key), "phone": phone(s, key), "secret": permuted(s, key, "secret")}
+    new = {"email": email(s, key), "uuid": uuid(s, key), "ip": ip(s, key), "ip6": ip6(s, key), "date": date(s, key), "ssn": permuted(s, key, "ssn"), "card": card(s, key), "iban": iban(s, key), "phone": phone(s, key), "secret": permuted(s, key, "secret")}
 
     def made(k: Column) -> Column:
         value = F.when(k.isNull(), s)
