@@ -245,6 +245,42 @@ def recogniser_tensor(rgba: np.ndarray, box: tuple[int, int, int, int], height:
     return ((np.rint(out) / 255 - 0.5) / 0.5).astype(np.float32)
 
 
+def rasters_blacked(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Images (image_id, width, height, raster: RGBA, rows from the top) with the pixels inside a box (image_id, x, y, w, h) in opaque black; other columns give way.
+
+    The same pixels as pixels_blacked() makes of rows, but an image is a row and meets its distinct boxes once, so what
+    is shuffled grows with images and boxes, not with pixels. Boxes are clipped to the image; those without area, or
+    with a null image or place, cover nothing. A null raster stays null.
+    """
+    box = F.struct(*[F.col(c).cast("long").alias(c) for c in "xywh"])
+    sound = F.col("image_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("w") > 0) & (F.col("h") > 0)
+    own = boxes.where(sound).groupBy("image_id").agg(F.collect_set(box).alias("_boxes"))
+    none = F.expr("cast(array() as array<struct<x: bigint, y: bigint, w: bigint, h: bigint>>)")
+    d = images.select("image_id", "width", "height", "raster").join(own, "image_id", "left").withColumn("_boxes", F.coalesce("_boxes", none))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b["_boxes"]
+            each = lists.flatten()
+            x, y, w, h = (each.field(i).to_numpy() for i in range(4))
+            x0, y0, x1, y1 = (v.tolist() for v in (np.maximum(x, 0), np.maximum(y, 0), np.maximum(x + w, 0), np.maximum(y + h, 0)))
+            ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+            out, at = [], 0
+            for end, width, height, raw in zip(ends, b["width"].to_pylist(), b["height"].to_pylist(), b["raster"].to_pylist(), strict=True):
+                if raw is not None and end > at:
+                    px = np.frombuffer(raw, "<u4").reshape(height, width).copy()
+                    for i in range(at, end):
+                        px[y0[i] : y1[i], x0[i] : x1[i]] = 0xFF000000
+                    raw = px.tobytes()
+                out.append(raw)
+                at = end
+            yield pa.RecordBatch.from_arrays([b["image_id"], b["width"], b["height"], pa.array(out, pa.binary())], ["image_id", "width", "height", "raster"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    size = images.schema["width"].dataType.simpleString(), images.schema["height"].dataType.simpleString()
+    return d.mapInArrow(run, f"image_id {kind}, width {size[0]}, height {size[1]}, raster binary")
+
+
 def pixels_blacked(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """The relational form: the pixels (image_id, x, y, r, g, b, a) of whole images, from (0, 0) on, with those inside a box (image_id, x, y, w, h) in opaque black.
 
