@@ -89,15 +89,32 @@ def terms_found(text: Column, terms: list[str]) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(EMPTY))
 
 
+#: ASCII letters, and the code points that a pattern takes for one whatever its case, and the letters that they stand for.
+_LETTERS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u0130\u0131\u017f\u212a", "abcdefghijklmnopqrstuvwxyziisk"
+
+
 def never_found(text: Column, terms: list[str]) -> Column:
-    """start and end of each never-term, each looked for by itself in texts that hold any."""
+    """start and end of each never-term, each looked for by itself in texts that hold it.
+
+    Which ASCII terms a text holds whatever their case is a plain search of the text in small letters; no pattern is made
+    for those that it lacks. The other terms are tried one by one in texts that hold any of them.
+    """
     none = F.expr(f"cast(array() as {FOUND})")
-    if not terms:
-        return none
-    some = "(?iu)(?:" + "|".join(quoted(t) for t in terms) + ")"
-    held = F.filter(F.array(*[F.lit(quoted(t)) for t in terms]), lambda t: F.rlike(text, F.concat(F.lit("(?iu)"), t)))
-    free = F.transform(held, lambda t: F.filter(find_all(text, F.concat(F.lit("(?iu)"), t)), lambda x: word_boundary(text, x["start"], x["end"])))
-    return F.when(text.rlike(some), F.flatten(free)).otherwise(none)
+    plain, others = [t for t in terms if t.isascii()], [t for t in terms if not t.isascii()]
+
+    def places(held: Column) -> Column:
+        return F.flatten(F.transform(held, lambda t: F.filter(find_all(text, F.concat(F.lit("(?iu)"), t)), lambda x: word_boundary(text, x["start"], x["end"]))))
+
+    out = []
+    if plain:
+        every = F.array(*[F.struct(F.lit(t.lower()).alias("t"), F.lit(quoted(t)).alias("q")) for t in plain])
+        held = let(F.translate(text, _LETTERS, _SMALL), lambda small: F.filter(every, lambda t: F.contains(small, t["t"])))
+        out.append(places(F.transform(held, lambda t: t["q"])))
+    if others:
+        some = "(?iu)(?:" + "|".join(quoted(t) for t in others) + ")"
+        held = F.filter(F.array(*[F.lit(quoted(t)) for t in others]), lambda t: F.rlike(text, F.concat(F.lit("(?iu)"), t)))
+        out.append(F.when(text.rlike(some), places(held)).otherwise(none))
+    return F.coalesce(F.concat(*out), none) if out else none
 
 
 def all_spans(text: Column, always: list[str] = (), money_dates: bool = False, kinds: set[str] | None = None) -> Column:
@@ -113,7 +130,9 @@ def resolved(spans: Column, never: Column | None = None) -> Column:
     and has a higher priority. Spans that touch stay apart.
     """
     if never is not None:
-        spans = F.filter(spans, lambda s: ~F.exists(never, lambda m: (s["start"] >= m["start"]) & (s["end"] <= m["end"])))
+        # never-terms are looked for once, and only beside spans
+        kept = lambda own, ranges: F.filter(own, lambda s: ~F.exists(ranges, lambda m: (s["start"] >= m["start"]) & (s["end"] <= m["end"])))
+        spans = let(spans, lambda own: F.when(F.size(own) > 0, let(never, lambda ranges: kept(own, ranges))).otherwise(own))
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["priority"]).alias("p"), s["det"].alias("det"), s["seq"].alias("seq"), s["end"].alias("end"), s["kind"].alias("kind")))
 
     def fold(acc: Column, s: Column) -> Column:
