@@ -139,8 +139,9 @@ def row_key():
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (key, c) of buckets with two classes at least, with the bucket's size."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    """Rows (key, c, and g if classes are in groups) of buckets with two classes at least, of two groups at least, with the bucket's size: one sum and one join for both."""
+    g = "g" if "g" in rows.columns else "c"
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(g).alias("_l"), F.max(g).alias("_h")).where("_l < _h").drop("_l", "_h")
     return rows.join(sizes, "key")
 
 
@@ -217,10 +218,10 @@ def leaves(classes: DataFrame, similarity: float, depth: int) -> tuple[DataFrame
     else:
         found = groups(widest, classes, similarity)
         own = found.select(F.col("a").alias("c"), F.col("b").alias("_g"))
-        large = _several(large.join(own, "c", "left").withColumn("g", F.coalesce("_g", "c")).drop("_g"))
+        large = _counted(large.select("key", "c").join(own, "c", "left").select("key", "c", F.coalesce("_g", "c").alias("g")))
     rest = None
     for level in range(2, depth + 1):
-        rows = materialize(_several(_counted(_split(large, classes, similarity))), f"level{level}")
+        rows = materialize(_counted(_split(large, classes, similarity)), f"level{level}")
         tables.append(rows)
         out = out.unionByName(rows.where(F.col("size") <= (LARGE if level == depth else SMALL)).select("key", "c"))
         large = rows.where(F.col("size") > SMALL)
@@ -230,12 +231,6 @@ def leaves(classes: DataFrame, similarity: float, depth: int) -> tuple[DataFrame
     return made, found
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold classes of two groups at least."""
-    seen = rows.groupBy("key").agg(F.min("g").alias("_l"), F.max("g").alias("_h")).where("_l < _h").select("key")
-    return rows.join(seen, "key", "left_semi")
-
-
 def _chunks(whole: DataFrame, rest: DataFrame | None = None) -> DataFrame:
     """key, c, part, low, high: whole buckets, and chunks of the rest: those of the group of a bucket's smallest class meet all others', and these each other's."""
     zero = F.lit(0)
