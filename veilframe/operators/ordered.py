@@ -24,12 +24,14 @@ ROWS = 1 << 20
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[Column], last: dict[str, Column] = {}, previous: dict[str, Column] = {}, total: dict[str, Column] = {}, highest: dict[str, Column] = {}, rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column | str], last: dict[str, Column | str] = {}, previous: dict[str, Column] = {}, total: dict[str, Column] = {}, highest: dict[str, Column] = {}, rows: int | None = None
 ) -> DataFrame:
-    """df with the running values of its rows' keys in order: last (the last value that isn't null, up to the row), previous (the same up to the row before), total and highest (the sum and the maximum, up to the row)."""
+    """df with the running values of its rows' keys in order: last (the last value that isn't null, up to the row), previous (the same up to the row before), total and highest (the sum and the maximum, up to the row). Columns of df given by name aren't written and shuffled twice."""
     values = {**last, **previous, **total, **highest}
-    o, v = [f"_o{i}" for i in range(len(order))], {name: f"_v_{name}" for name in values}
-    t = materialize(df.select("*", *[c.alias(n) for c, n in zip(order, o, strict=True)], *[c.alias(v[n]) for n, c in values.items()]), "ordered")
+    o = [c if isinstance(c, str) else f"_o{i}" for i, c in enumerate(order)]
+    v = {name: c if isinstance(c, str) else f"_v_{name}" for name, c in values.items()}
+    made = [c.alias(n) for c, n in [*zip(order, o, strict=True), *((c, v[name]) for name, c in values.items())] if not isinstance(c, str)]
+    t = materialize(df.select("*", *made), "ordered")
     parts = -(-t.count() // (rows or ROWS))
 
     def joined(name: str) -> Callable[[Column], Column]:
@@ -75,13 +77,16 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], n
     equal in all of them. Rows of right that are equal in all of them are ordered by their other columns.
     """
     columns = [c for c in left.columns if c != name]
-    held = F.struct(*[F.col(f"`{c}`") for c in columns])
-    given = F.struct(*[F.col(f"`{c}`") for c in right.columns])
+    # what both sides are ordered by stands beside the structs, and isn't held in them again
+    held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c not in keys and c not in order])
+    given = F.struct(*[F.col(f"`{c}`") for c in right.columns if c not in keys])
     same = [F.col(c) for c in [*keys, *order]]
     mine = left.select(*same, held.alias("_left"), F.lit(None).cast(right.select(given.alias("x")).schema["x"].dataType).alias("_right"), F.lit(1).alias("_side"))
     theirs = right.select(*same, F.lit(None).cast(mine.schema["_left"].dataType).alias("_left"), given.alias("_right"), F.lit(0).alias("_side"))
-    out = running(mine.unionByName(theirs), keys, [*[F.col(c) for c in order], F.col("_side"), F.col("_right")], last={"_found": F.col("_right")}, rows=rows)
-    return out.where("_side = 1").select(*[F.col(f"_left.`{c}`") for c in columns], F.col("_found").alias(name))
+    out = running(mine.unionByName(theirs), keys, [*order, "_side", "_right"], last={"_found": "_right"}, rows=rows)
+    own = [(F.col(c).cast(left.schema[c].dataType) if c in keys or c in order else F.col(f"_left.`{c}`")).alias(c) for c in columns]
+    found = F.struct(*[(F.col(c).cast(right.schema[c].dataType) if c in keys else F.col(f"_found.`{c}`")).alias(c) for c in right.columns])
+    return out.where("_side = 1").select(*own, F.when(F.col("_found").isNotNull(), found).alias(name))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n", rows: int | None = None) -> DataFrame:

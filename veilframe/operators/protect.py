@@ -123,11 +123,13 @@ def restore_asof(docs: DataFrame, touches: DataFrame, clears: DataFrame, ts: str
     gone = clears.select(F.col("session").cast("string").alias("_session"), F.col("ts").cast("timestamp_ntz").alias("_ts"))
 
     def look_up(found: DataFrame) -> DataFrame:
-        dated = asof(asof(found.where("_ts IS NOT NULL"), last, ["_session", "_token"], ["_ts"], "_touch"), gone, ["_session"], ["_ts"], "_clear")
-        age = F.unix_micros(F.col("_ts").cast("timestamp")) - F.unix_micros(F.col("_touch._ts").cast("timestamp"))
-        lives = (age < idle_seconds * 1_000_000) & ~F.coalesce(F.col("_clear._ts") > F.col("_touch._ts"), F.lit(False))
-        dated = dated.select(*found.columns, F.when(lives, F.col("_touch.original")).alias("original"))
-        return dated.unionByName(found.where("_ts IS NULL").withColumn("original", F.lit(None).cast("string")))
+        dated = asof(found.where("_ts IS NOT NULL"), last, ["_session", "_token"], ["_ts"], "_touch")
+        dated = dated.select(*[c for c in found.columns if c != "_token"], F.col("_touch._ts").alias("_touched"), F.col("_touch.original").alias("original"))
+        dated = asof(dated, gone, ["_session"], ["_ts"], "_clear")
+        age = F.unix_micros(F.col("_ts").cast("timestamp")) - F.unix_micros(F.col("_touched").cast("timestamp"))
+        lives = (age < idle_seconds * 1_000_000) & ~F.coalesce(F.col("_clear._ts") > F.col("_touched"), F.lit(False))
+        dated = dated.select(*found.columns[:-1], F.when(lives, F.col("original")).alias("original"))
+        return dated.unionByName(found.where("_ts IS NULL").drop("_token").withColumn("original", F.lit(None).cast("string")))
 
     return _restored(docs, session, text, look_up, at)
 

@@ -35,7 +35,11 @@ def epochs(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
 
 def lives(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """session, original, epoch, token, kind, created, last_touch and touches of every entry that ever lived."""
-    e = epochs(events, idle_seconds)
+    return _lives(epochs(events, idle_seconds))
+
+
+def _lives(e: DataFrame) -> DataFrame:
+    """lives() of touches with their epochs."""
     spans = e.groupBy("session", "original", "epoch").agg(F.min("ts").alias("created"), F.max("ts").alias("last_touch"), F.count("*").alias("touches"))
     firsts = numbered(first_seen(e.withColumn("ord", F.lit(0)).withColumn("tie", F.lit("")), "epoch"))
     return spans.join(firsts.select("session", "original", "epoch", "kind", "seq", token(F.col("kind"), F.col("n")).alias("token")), ["session", "original", "epoch"])
@@ -43,9 +47,9 @@ def lives(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
 
 def touched(events: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """session, original, token, ts and seq of every touch, with the alias that it made or renewed."""
-    e = epochs(events, idle_seconds).select("session", "original", "epoch", "ts", "seq")
-    names = lives(events, idle_seconds).select("session", "original", "epoch", "token")
-    return e.join(names, ["session", "original", "epoch"]).select("session", "original", "token", "ts", "seq")
+    e = epochs(events, idle_seconds)
+    names = _lives(e).select("session", "original", "epoch", "token")
+    return e.select("session", "original", "epoch", "ts", "seq").join(names, ["session", "original", "epoch"]).select("session", "original", "token", "ts", "seq")
 
 
 def live_at(entries: DataFrame, clears: DataFrame, now, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
