@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from . import ordered
 
 
@@ -42,6 +43,23 @@ def assign(found: DataFrame) -> DataFrame:
     return n.select("session", "original", token(F.col("kind"), F.col("n")).alias("token"), "kind", "seq", "tie", "ord", *[c for c in ("row",) if c in n.columns])
 
 
+def within(finds: Column) -> Column:
+    """ord, start, end, value (the token), original, kind and new (whether it makes the alias) of each of finds (start, end, kind, original; in order) of one text, in a session that holds nothing else. A text's finds are bounded by its size, which detection limits."""
+
+    def made(firsts: Column) -> Column:
+        of_kind = lambda k: F.transform(F.filter(firsts, lambda f: f["kind"] == k), lambda f, i: F.struct(f["original"], F.struct(token(k, i + 1).alias("token"), k.alias("kind"))))
+        return F.map_from_entries(F.flatten(F.transform(F.array_distinct(F.transform(firsts, lambda f: f["kind"])), of_kind)))
+
+    def named(originals: Column) -> Column:
+        firsts = F.transform(F.array_distinct(originals), lambda v: F.struct(v.alias("original"), F.get(finds, F.array_position(originals, v).cast("int") - 1)["kind"].alias("kind")))
+        return let(let(firsts, made), lambda names: F.transform(finds, lambda x, i: let(F.element_at(names, x["original"]), lambda a: F.struct(
+            i.alias("ord"), x["start"].alias("start"), x["end"].alias("end"), a["token"].alias("value"), x["original"].alias("original"), a["kind"].alias("kind"),
+            (F.array_position(originals, x["original"]) == i + 1).alias("new"),
+        ))))
+
+    return let(F.transform(finds, lambda x: x["original"]), named)
+
+
 def over_capacity(aliases: DataFrame, most: int) -> DataFrame:
     """session and seq of the first call that would bring a session's live originals over its capacity, where nothing expires: that of the original numbered most + 1 in its session."""
     more = [F.col(c) if c in aliases.columns else F.lit(v).alias(c) for c, v in (("tie", ""), ("ord", 0))]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import ALIAS, IDLE_SECONDS, MAX_BYTES, MAX_UNKNOWN
 from ..functions.spans import find_all, rewritten
+from ..functions.text import let
 from ..plans.storage import materialize
-from .aliases import assign
+from .aliases import assign, within
 from .detect import OK, TOO_LARGE, exploded, kinds_summary, with_spans
 from .ordered import asof
 from .rules import Rules
@@ -52,15 +53,29 @@ def protect(docs: DataFrame, rules: Rules = Rules(), session: str | None = None,
     pieces = named.select(F.col("row").alias("_row"), piece.alias("p")).groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("_pieces"))
     out = found.join(pieces, "_row", "left")
     none = F.expr("cast(array() as array<struct<ord: int, start: int, end: int, value: string, original: string, kind: string, new: boolean>>)")
-    out = out.withColumn("_pieces", F.coalesce("_pieces", none))
+    return _shown(out.withColumn("_pieces", F.coalesce("_pieces", none)), columns, text), aliases.drop("row")
+
+
+def protect_each(docs: DataFrame, rules: Rules = Rules(), text: str = "text", tagged: Column | None = None) -> DataFrame:
+    """docs protected as by protect(), each row a session of its own: its mappings are all the aliases that there are. All of a session is in one row, so nothing is shuffled, joined or written."""
+    columns = [c for c in docs.columns if c not in ("status", "count", "kinds", "mappings")]
+    own = _held(docs, None, F.col(f"`{text}`").alias("_text"), *([tagged.alias("_tagged")] if tagged is not None else []))
+    found = with_spans(own, rules, "_text", tagged=None if tagged is None else F.col("_tagged"))
+    original = lambda s: F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"])
+    finds = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), original(s).alias("original")))
+    # as in with_spans(), so that the pieces are worked out once
+    return _shown(found.select("*", F.explode_outer(F.array(let(finds, within))).alias("_pieces")), columns, text)
+
+
+def _shown(out: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The protected columns of _doc, _text, status, spans and _pieces."""
     out = out.withColumn("_status", F.when((F.col("status") == OK) & (F.size("_pieces") != F.size("spans")), INCOMPLETE).otherwise(F.col("status")))
     ok = F.col("_status") == OK
     mappings = F.transform(F.filter("_pieces", lambda p: p["new"]), lambda p: F.struct(p["value"].alias("token"), p["original"].alias("original"), p["kind"].alias("kind")))
     # worked out before docs' columns are named again: a name of theirs would be taken for one of ours
     out = out.select("_doc", F.when(ok, rewritten(F.col("_text"), F.col("_pieces"))).alias("_new"), "_status", F.when(ok, F.size("spans")).alias("_count"), F.when(ok, kinds_summary(F.col("spans"))).alias("_kinds"), F.when(ok, mappings).alias("_mappings"))
     kept = [F.col("_new" if c == text else f"_doc.`{c}`").alias(c) for c in columns]
-    shown = out.select(*kept, *[F.col(f"_{c}").alias(c) for c in ("status", "count", "kinds", "mappings")])
-    return shown, aliases.drop("row")
+    return out.select(*kept, *[F.col(f"_{c}").alias(c) for c in ("status", "count", "kinds", "mappings")])
 
 
 RESULTS = ("status", "known", "unknown", "unknown_tokens")

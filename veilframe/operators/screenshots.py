@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import layout
 from .images import normalised
-from .protect import protect
+from .protect import protect_each
 from .rules import Rules
 
 _WORD = [("word_ix", pa.int32()), ("text", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("conf", pa.float32())]
@@ -33,16 +33,13 @@ def recognised(images: DataFrame, recogniser: Callable[[bytes], list[tuple]]) ->
     return images.select("image_id", "content").mapInArrow(run, f"image_id {kind}, word_ix int, text string, x int, y int, w int, h int, conf float")
 
 
-def detected_words(words: DataFrame, rules: Rules = Rules(), session: str = "image_id") -> DataFrame:
-    """image_id, text (protected), status, count, kinds and redactions (token and boxes) of recognised words. Boxes are those of every alias in an image's text."""
-    joined = layout.joined(words)
-    shown, aliases = protect(layout.image_text(joined).withColumn("_seq", F.lit(0)), rules, session=session, seq="_seq")
-    mappings = aliases.select(F.col("session").alias("_s"), "token", "original")
-    images = joined.select("image_id").distinct()
-    own = images.join(mappings, F.col("image_id").cast("string") == F.col("_s")).select("image_id", "token", "original")
-    found = layout.boxes(joined, own).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("token", "boxes"))).alias("redactions"))
+def detected_words(words: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """image_id, text (protected), status, count, kinds and redactions (token and boxes) of recognised words, each image a session of its own. Boxes are those of every alias in an image's text. Words are gathered by image once; all else is worked out beside them."""
+    pages = layout.paged(layout.joined(words)).withColumn("page", F.col("text"))
+    shown = protect_each(pages, rules)
     none = F.expr("cast(array() as array<struct<token: string, boxes: array<struct<x: int, y: int, w: int, h: int>>>>)")
-    return shown.drop("_seq", "mappings").join(found, "image_id", "left").withColumn("redactions", F.coalesce("redactions", none))
+    redactions = F.coalesce(layout.boxes_within(F.col("page"), F.col("words"), F.col("mappings")), none)
+    return shown.select("image_id", "text", "status", "count", "kinds", redactions.alias("redactions"))
 
 
 def detected_images(images: DataFrame, recogniser: Callable[[bytes], list[tuple]], rules: Rules = Rules()) -> DataFrame:
