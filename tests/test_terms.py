@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.spans import all_spans, never_found, resolved, terms_found
 from veilframe.operators import terms
 from veilframe.operators.images import pixels_blacked
+from veilframe.plans import lists as list_queries
 
 TERMS = ["Acme", "acme corp", "corp", "Acme Corp Ltd", "a.b", "$x", "+++", "é l'an", "STRASSE", "x|y", "two  spaces", "a@b.io", "b.io"]
 PIECES = ["acme", "ACME", "corp", "Ltd", "a.b", "$x", "+++", "É L'AN", "strasse", "x|y", "two  spaces", "a@b.io", "c@d.io", ",", "(", "9", "ü"]
@@ -74,3 +75,29 @@ def test_boxes_by_sweep(spark):
     for i, x, y, *_ in pixels:
         inside = i is not None and any(b[0] == i and None not in b and b[1] <= x < b[1] + b[3] and b[2] <= y < b[2] + b[4] for b in boxes)
         assert got[i, x, y] == ((0, 0, 0, 255) if inside else (1, 2, 3, 4))
+
+
+def test_a_text_is_searched_once_whatever_is_asked_of_its_finds(spark):
+    q = list_queries.det_term_lists(spark, "/root/testdata/sf0.001")
+    p = q._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("aggregate(split(regexp_replace(") == 1
+
+
+def test_the_plain_search_keeps_every_term_that_a_pattern_finds(spark):
+    own = ["Kelvin risk", "b1@ex.com", "a+b", "aa", "stra", "i", "Straße", "ÉTÉ", "x\\y", "longer than any"]
+    some = ["KELVİN RıſK", "kelvin RISK", "B1@EX.COM", "A+B", "STRAẞE", "straße été", "İ", "ı", "X\\Y", "\u212aelvin ri\u017fk", "ﬁ", "İİaA", "", None]
+    d = spark.createDataFrame([(t,) for t in some], "t string").withColumn("terms", F.array(*[F.lit(t) for t in own]))
+    found = F.filter("terms", lambda t: F.rlike(F.col("t"), F.concat(F.lit("(?iu)"), terms.quoted(t))))
+    seen = 0
+    for r in d.select("t", terms.held(F.col("t"), F.col("terms")).alias("held"), found.alias("found")).collect():
+        if r.t is not None:
+            assert set(r.found) <= set(r.held) and not {"longer than any"} & set(r.held)
+            seen += len(r.found)
+    assert seen > 12
+
+
+def test_terms_without_words_are_looked_for_in_every_text(spark):
+    d = spark.createDataFrame([(1, "a", "x +++ y"), (2, "a", "+++"), (3, "b", "+++"), (4, "a", None), (5, "a", "")], "_row long, list_id string, text string")
+    t = spark.createDataFrame([("a", "+++"), ("b", "word")], "list_id string, term string")
+    got = {r._row: [(s.start, s.end) for s in r.found] for r in terms.always_spans(d, t, "_row").collect()}
+    assert got == {1: [(2, 5)], 2: [(0, 3)], 3: [], 4: [], 5: []}

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import TERM_ORDER, TERM_PRIORITY
-from ..functions.spans import EMPTY, _span, find_all
-from ..functions.text import word_boundary
+from ..functions.spans import _LETTERS, _SMALL, EMPTY, _span, find_all
+from ..functions.text import let, word_boundary
 from .ordered import running
 
 WORD = r"[\p{IsAlphabetic}\p{N}]+"
@@ -42,22 +42,31 @@ def quoted(term: Column) -> Column:
 def candidates(docs: DataFrame, terms: DataFrame, row: str) -> DataFrame:
     """row and terms: those of the text's list whose first word the text holds. docs: row (unique), list_id, text; terms: list_id, term."""
     word = F.regexp_extract(folded(F.col("term")), WORD, 0)
-    t = terms.where("list_id IS NOT NULL AND term <> ''").select("list_id", "term", word.alias("word")).distinct()
-    words = F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0)))
-    if not t.where("word = ''").isEmpty():
-        words = F.concat(words, F.array(F.lit("")))
+    t = terms.where("list_id IS NOT NULL AND term <> ''").select("list_id", "term").distinct().select("list_id", "term", word.alias("word"))
+    # every text holds the empty word, which is that of terms without any
+    words = F.concat(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0))), F.array(F.lit("")))
     d = docs.select(row, "list_id", F.explode(words).alias("word"))
     return d.join(t, ["list_id", "word"]).groupBy(row).agg(F.collect_set("term").alias("terms"))
 
 
+def held(text: Column, terms: Column) -> Column:
+    """Of terms those that may occur in a text: ASCII ones by a plain search, whatever their case, the others all. A pattern tries every term at every place; a plain search passes over a text far faster."""
+    # four letters beside ASCII's are taken for one of those by a pattern, but not by lower()
+    odd = text.contains(_LETTERS[-4]) | text.contains(_LETTERS[-3]) | text.contains(_LETTERS[-2]) | text.contains(_LETTERS[-1])
+    small = F.when(odd, F.translate(text, _LETTERS, _SMALL)).otherwise(F.lower(text))
+    return let(small, lambda s: F.filter(terms, lambda t: t.rlike(r"[^\x00-\x7F]") | F.contains(s, F.lower(t))))
+
+
 def always_spans(docs: DataFrame, terms: DataFrame, row: str) -> DataFrame:
     """docs with found: the spans of its list's terms, whatever their case; of terms that begin together the longest in bytes is tried first, and what a match covers isn't searched again."""
     by_size = F.transform(F.array_sort(F.transform("terms", lambda t: F.struct((-F.octet_length(t)).alias("n"), t.alias("t")))), lambda x: quoted(x["t"]))
     pattern = F.concat(F.lit("(?iu)(?:"), F.array_join(by_size, "|"), F.lit(")"))
-    d = docs.join(candidates(docs, terms, row), row, "left").withColumn("_pattern", pattern)
+    d = docs.join(candidates(docs, terms, row), row, "left").withColumn("terms", held(F.col("text"), F.col("terms"))).withColumn("_pattern", pattern)
     free = F.filter(find_all(F.col("text"), F.col("_pattern")), lambda x: word_boundary(F.col("text"), x["start"], x["end"]))
     spans = F.transform(free, lambda x, i: _span(x["start"], x["end"], "TERM", TERM_PRIORITY, TERM_ORDER, i))
-    return d.withColumn("found", F.when(F.col("terms").isNotNull(), spans).otherwise(F.expr(EMPTY))).drop("terms", "_pattern")
+    found = F.when(F.size("terms") > 0, spans).otherwise(F.expr(EMPTY))
+    # exploding an array of one keeps the optimizer from searching again for each filter on what is found
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.array(found)).alias("found"))
 
 
 def never_ranges(docs: DataFrame, terms: DataFrame, row: str) -> DataFrame:
